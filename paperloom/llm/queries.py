@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring
+from . import jaccard, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,7 +16,14 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_substrings(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {"op2_substring_dedup": op2_substring_dedup}
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op2_substring_dedup": op2_substring_dedup,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+}
 
 #: DuckDB reads these; see the tests for the queries that have none.
 ORACLE_SQL: dict[str, str] = {}

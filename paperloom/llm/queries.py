@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, rules, sharding, substring
+from . import bpe, jaccard, packing, rules, sharding, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,14 @@ def op4_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *names)
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.byte_shards(table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -42,6 +51,8 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op4_line_frequency_rules": op4_line_frequency_rules,
+    "op5_byte_bpe": op5_byte_bpe,
+    "op8_best_two_fit": op8_best_two_fit,
     "op6_byte_shards": op6_byte_shards,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
 }

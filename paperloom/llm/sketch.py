@@ -21,8 +21,8 @@ from . import kernels as K
 
 BUCKET, BLOCK = "_pl_bucket", "_pl_block"
 #: Text of a bucket and keys of a block, about: what one task holds.
-BUCKET_BYTES, BLOCK_KEYS = 4 << 20, 4 << 20
-ROWS, WIDTH_BITS = 2, 24
+BUCKET_BYTES, BLOCK_KEYS = 4 << 20, 2 << 20
+ROWS, WIDTH_BITS = 2, 23
 TOP = 255
 PART = f"{BUCKET} int, {BLOCK} int, keys binary, counts binary"
 REPLY = f"{BUCKET} int, {BLOCK} int, counts binary"
@@ -30,7 +30,7 @@ REPLY = f"{BUCKET} int, {BLOCK} int, counts binary"
 
 def layout(n_bytes: int) -> tuple[int, int]:
     """Numbers of buckets and blocks for a corpus of so many bytes (a key for each six bytes, about)."""
-    return max(32, -(-n_bytes // BUCKET_BYTES)), max(4, -(-n_bytes // (6 * BLOCK_KEYS)))
+    return max(32, -(-n_bytes // BUCKET_BYTES)), max(16, -(-n_bytes // (6 * BLOCK_KEYS)))
 
 
 def bucket_of(column: str, n: int):
@@ -38,11 +38,15 @@ def bucket_of(column: str, n: int):
     return F.pmod(F.xxhash64(F.col(column)), F.lit(n)).cast("int")
 
 
+def block_of(hashes: np.ndarray, n_blocks: int) -> np.ndarray:
+    return (hashes >> np.uint64(32)) % np.uint64(n_blocks)
+
+
 class Keys:
     """The distinct keys of one bucket, in an order that only their values decide."""
 
     def __init__(self, hashes: np.ndarray, n_blocks: int):
-        block = ((hashes >> np.uint64(32)) % np.uint64(n_blocks)).astype(np.uint64)
+        block = block_of(hashes, n_blocks)
         key = (block << np.uint64(32)) | (hashes & np.uint64(0xFFFFFFFF))
         self.keys, self.place, self.counts = np.unique(key, return_inverse=True, return_counts=True)
         self.cut = np.searchsorted(self.keys, np.arange(n_blocks + 1, dtype=np.uint64) << np.uint64(32))

@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import cluster, sketch
@@ -44,11 +43,6 @@ def _scan(texts: pa.ChunkedArray, k: int):
     return [np.concatenate(x or empty[i > 1]) for i, x in enumerate((a, b, row, start))]
 
 
-def _code(ids: np.ndarray, of: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """One number for each (id, start), given the bucket's sorted ids."""
-    return (np.searchsorted(ids, of).astype(np.int64) << 32) | start.astype(np.int64)
-
-
 def _first_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Indexes of the first of each distinct (a, b)."""
     order = np.lexsort((np.arange(len(a)), b, a))
@@ -58,6 +52,31 @@ def _first_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return order[new]
 
 
+_SENT = pa.schema(
+    [(BUCKET, pa.int32()), (BLOCK, pa.int32())] + [(n, pa.binary()) for n in ("h1", "h2", "ids", "runs")]
+)
+
+
+def _first_bits(key, parts):
+    """For each window that a bucket sent, whether no other bucket sent it with a smaller id.
+
+    A bucket sends a window once and owns its ids, so ids alone decide.
+    """
+    parts = parts.combine_chunks()
+    read = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in parts[name]]
+    h1, h2 = read("h1", np.uint64), read("h2", np.uint64)
+    ids = [np.repeat(i, n) for i, n in zip(read("ids", np.int64), read("runs", np.int64), strict=True)]
+    cut = np.cumsum([len(x) for x in h1])
+    a, b, ids = np.concatenate(h1), np.concatenate(h2), np.concatenate(ids)
+    order = np.lexsort((ids, b, a))
+    new = np.ones(len(a), bool)
+    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    first = np.zeros(len(a), bool)
+    first[order[new]] = True
+    bits = [np.packbits(x).tobytes() for x in np.split(first, cut[:-1])]
+    return pa.table({BUCKET: parts[BUCKET], BLOCK: parts[BLOCK], "firsts": pa.array(bits, pa.binary())})
+
+
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Cut from each text the words of windows that start earlier in the corpus.
 
@@ -69,13 +88,14 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     one space, and n_words, n_removed (long) and kept_sha256 (lowercase hex);
     input columns of those names are replaced.  Null and empty texts have no
     words and become empty texts.  Rows of a null id count as later than all
-    others.  Rows that share an id count as one document: the same window at
-    the same place in two of them starts earlier in neither, and both keep it.
+    others.  Rows that share an id follow one another in the order of their
+    texts, so a repeated row loses what its first copy keeps.
     An empty table gives an empty one.
 
     Plan: rows are dealt by a hash of the id once (that exchange serves all
     three passes); a corpus-sized count-min sketch is merged in blocks; only
-    windows estimated to repeat are grouped by a 128-bit hash.
+    windows estimated to repeat are grouped by a 128-bit hash, each sent once
+    by a bucket and answered with a bit.
     """
     spark = docs.sparkSession
     cluster.ship(spark)
@@ -103,37 +123,38 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
         maybe = np.flatnonzero(est >= 2)
         return table, ids, a[maybe], b[maybe], row[maybe], start[maybe]
 
+    def sent(a, b):
+        """The windows a bucket sends, each once, as (block, their indexes in document order)."""
+        i = np.sort(_first_of(a, b))
+        block = sketch.block_of(a[i], n_blocks)
+        order = np.argsort(block, kind="stable")
+        cut = np.searchsorted(block[order], np.arange(n_blocks + 1))
+        return [(x, i[order[cut[x] : cut[x + 1]]]) for x in range(n_blocks) if cut[x] < cut[x + 1]]
+
     def candidates(key, table, answer):
-        _, ids, a, b, row, start = judge(table, answer)
-        i = _first_of(a, b)
-        return pa.table(
-            {
-                "h1": a[i].view(np.int64),
-                "h2": b[i].view(np.int64),
-                "id": ids[row[i]],
-                "start": start[i].astype(np.int32),
-                BUCKET: pa.array(np.full(len(i), key[0].as_py()), pa.int32()),
-            }
-        )
-
-    found = grouped.cogroup(replies.groupBy(BUCKET)).applyInArrow(
-        candidates, f"h1 long, h2 long, id long, start int, {BUCKET} int"
-    )
-    firsts = (
-        found.groupBy("h1", "h2")
-        .agg(F.min(F.struct("id", "start", BUCKET)).alias("f"))
-        .select(f"f.{BUCKET}", F.col("f.id").alias("id"), F.col("f.start").alias("start"))
-    )
-    known = replies.withColumns({"id": F.lit(None).cast("long"), "start": F.lit(None).cast("int")}).unionByName(
-        firsts, allowMissingColumns=True
+        _, ids, a, b, row, _ = judge(table, answer)
+        out = {BUCKET: [], BLOCK: [], "h1": [], "h2": [], "ids": [], "runs": []}
+        for block, i in sent(a, b):
+            own, runs = np.unique(ids[row[i]], return_counts=True)
+            values = key[0].as_py(), block, a[i].tobytes(), b[i].tobytes(), own.tobytes(), runs.tobytes()
+            for name, value in zip(out, values, strict=True):
+                out[name].append(value)
+        return pa.table(out, schema=_SENT)
+
+    sent_windows = grouped.cogroup(replies.groupBy(BUCKET)).applyInArrow(
+        candidates, f"{BUCKET} int, {BLOCK} int, h1 binary, h2 binary, ids binary, runs binary"
     )
+    firsts = sent_windows.groupBy(BLOCK).applyInArrow(_first_bits, f"{BUCKET} int, {BLOCK} int, firsts binary")
+    known = replies.unionByName(firsts, allowMissingColumns=True)
 
     def cut(key, table, answer):
-        is_first = pc.is_valid(answer["id"])
+        is_first = pc.is_valid(answer["firsts"])
+        table, _, a, b, row, start = judge(table, answer.filter(pc.invert(is_first)))
         first = answer.filter(is_first)
-        table, ids, a, b, row, start = judge(table, answer.filter(pc.invert(is_first)))
-        kept = _code(ids, first["id"].to_numpy(), first["start"].to_numpy())
-        gone = ~np.isin(_code(ids, ids[row], start), kept)
+        bits = dict(zip(first[BLOCK].to_pylist(), first["firsts"].to_pylist(), strict=True))
+        gone = np.ones(len(row), bool)
+        for block, i in sent(a, b):
+            gone[i] = np.unpackbits(np.frombuffer(bits[block], np.uint8), count=len(i)) == 0
         return _rewrite(table, row[gone], start[gone])
 
     def _rewrite(table: pa.Table, row: np.ndarray, start: np.ndarray) -> pa.Table:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, packing, rules, sharding, substring
+from . import bpe, jaccard, packing, quality, rules, sharding, substring, urlfilter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,40 @@ def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.learn(docs, table(spark, sf_dir, "labels"))
+    return quality.classify(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
+#: The contract's rules (fixed values).
+URL_RULES = [
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+]
+
+
+def op9_trust_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urlfilter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op3_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = warc.resolve_revisits(warc.captures_of_pages(table(spark, sf_dir, "pages")))
+    return done.select(
+        F.col("record_id").alias("page_id"),
+        "canonical_url",
+        F.col("resolved_id").alias("resolved_page_id"),
+        "outcome",
+        F.col("headers")["cache-control"].alias("cache_control"),
+        F.col("headers")["content-length"].alias("content_length"),
+        F.col("headers")["etag"].alias("etag"),
+    )
+
+
 def op6_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.byte_shards(table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -49,6 +83,9 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_revisit_resolution": op3_revisit_resolution,
+    "op1_bradley_terry": op1_bradley_terry,
+    "op9_trust_propagation": op9_trust_propagation,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_line_frequency_rules": op4_line_frequency_rules,
     "op5_byte_bpe": op5_byte_bpe,
@@ -58,4 +95,38 @@ QUERIES = {
 }
 
 #: DuckDB reads these; see the tests for the queries that have none.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_revisit_resolution": r"""
+WITH parts AS (
+  SELECT page_id, coalesce(html, '') AS html, url LIKE '%://%' AS ok,
+         regexp_extract(url, '^[^:/?#]+://([^#]*)', 1) AS whole
+  FROM pages
+), keyed AS (
+  SELECT page_id, html,
+         CASE WHEN ok THEN
+           regexp_replace(regexp_replace(lower(regexp_extract(whole, '^([^/?]*)', 1)), '^www\.', ''), ':(80|443)$', '')
+           || regexp_replace(regexp_extract(whole, '^[^/?]*([^?]*)', 1), '/+$', '')
+           || coalesce('?' || nullif(array_to_string(list_sort(list_filter(
+                string_split(regexp_extract(whole, '^[^?]*\?(.*)$', 1), '&'),
+                lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))), '&'), ''), '')
+         END AS canonical_url
+  FROM parts
+), as_of AS (
+  SELECT v.page_id, v.canonical_url, v.html AS own_html, r.page_id AS found, r.html
+  FROM keyed v LEFT JOIN keyed r
+    ON r.canonical_url = v.canonical_url
+   AND (r.page_id < v.page_id + 500)
+  QUALIFY row_number() OVER (PARTITION BY v.page_id ORDER BY r.page_id DESC NULLS LAST) = 1
+), judged AS (
+  SELECT *, CASE WHEN found IS NULL THEN 'orphan'
+                 WHEN page_id % 4 <> 3 AND md5(own_html) = md5(html) THEN 'etag' ELSE 'mismatch' END AS outcome
+  FROM as_of
+)
+SELECT page_id, canonical_url, outcome,
+       CASE WHEN outcome = 'etag' THEN found END AS resolved_page_id,
+       CASE WHEN outcome = 'etag' THEN 'max-age=600' END AS cache_control,
+       CASE WHEN outcome = 'etag' THEN CAST(octet_length(encode(html)) AS VARCHAR) END AS content_length,
+       CASE WHEN outcome = 'etag' THEN 'W/"' || md5(own_html) || '"' END AS etag
+FROM judged
+""",
+}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, packing, quality, rules, sharding, substring, urlfilter, warc
+from . import bpe, images, jaccard, packing, quality, rules, sharding, substring, urlfilter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,13 @@ def op3_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edited crops of the tile images of every vector whose id is divisible by 50, against all vectors' images."""
+    vectors = table(spark, sf_dir, "embeddings")
+    asked = images.edited(images.tiles(vectors.where("vec_id % 50 = 0")))
+    return images.find_copies(asked, images.tiles(vectors))
+
+
 def op6_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.byte_shards(table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -83,6 +90,7 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op10_image_copies": op10_image_copies,
     "op3_revisit_resolution": op3_revisit_resolution,
     "op1_bradley_terry": op1_bradley_terry,
     "op9_trust_propagation": op9_trust_propagation,

@@ -104,6 +104,83 @@ QUERIES = {
 
 #: DuckDB reads these; see the tests for the queries that have none.
 ORACLE_SQL: dict[str, str] = {
+    "op7_ngram_jaccard_join": r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS i FROM t)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), both_ AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM t
+  UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b
+)
+SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.b) AS component_id
+FROM t LEFT JOIN n USING (doc_id) JOIN reach r ON r.a = t.doc_id GROUP BY 1, 2
+""",
+    "op2_substring_dedup": r"""
+WITH t AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), p AS (
+  SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t
+), g AS (
+  SELECT doc_id, i, w[i] AS word,
+         CASE WHEN i + 19 <= len(w) THEN array_to_string(w[i : i + 19], ' ') END AS win FROM p
+), r AS (
+  SELECT *, win IS NOT NULL AND row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1 AS again FROM g
+), c AS (
+  SELECT *, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM r
+), k AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id
+)
+SELECT t.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM t LEFT JOIN k USING (doc_id)
+""",
+    "op4_line_frequency_rules": r"""
+WITH t AS (
+  SELECT doc_id, source, coalesce(text, '') AS text,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), g AS (
+  SELECT doc_id, i, CASE WHEN i + 2 <= len(w) THEN count(*) OVER (PARTITION BY doc_id, array_to_string(w[i : i + 2], ' '), i + 2 <= len(w)) > 1
+                    ELSE false END AS again
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t)
+), r AS (
+  SELECT doc_id, count(*) FILTER (covered) AS n_repeat_words FROM (
+    SELECT doc_id, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS covered FROM g)
+  GROUP BY doc_id
+), l AS (
+  SELECT doc_id, source, text,
+         trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS line
+  FROM (SELECT doc_id, source, text, unnest(lines) AS line FROM t)
+), common AS (
+  SELECT source, line FROM l GROUP BY source, line
+  HAVING count(DISTINCT text) > 50
+     AND count(DISTINCT text) > 0.01 * (SELECT count(DISTINCT text) FROM t WHERE t.source = l.source)
+), cut AS (
+  SELECT doc_id, sum(len(string_split(line, ' '))) AS n_cut FROM l SEMI JOIN common USING (source, line) GROUP BY doc_id
+), m AS (
+  SELECT doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+         length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
+         len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+         coalesce(n_cut, 0) AS n_cut
+  FROM t LEFT JOIN r USING (doc_id) LEFT JOIN cut USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_cut >= 0.2 * n_words AS kept
+FROM m
+""",
     "op3_revisit_resolution": r"""
 WITH parts AS (
   SELECT page_id, coalesce(html, '') AS html, url LIKE '%://%' AS ok,

@@ -11,8 +11,10 @@ rank among pieces of their length, so no task packs more than a plan row.
 from __future__ import annotations
 
 import hashlib
+import os
 import zlib
 from bisect import bisect_right
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -88,50 +90,57 @@ class WordTokens:
     are its words' ids in a row.
     """
 
-    LIMIT = 400_000
+    LIMIT = 800_000
 
     def __init__(self, file: bytes):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks already use every core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(file.decode())
         self.tokenizer.encode_special_tokens = True
-        self._clear()
-
-    def _clear(self) -> None:
         self.place: dict[int, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.starts = np.zeros(1 << 14, np.int64)
-        self.sizes = np.zeros(1 << 14, np.int64)
-        self.n = self.n_flat = 0
-
-    def _add(self, key: int, ids: list[int]) -> int:
-        while self.n_flat + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        if self.n == len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
-        self.flat[self.n_flat : self.n_flat + len(ids)] = ids
-        self.starts[self.n], self.sizes[self.n] = self.n_flat, len(ids)
-        self.n_flat += len(ids)
-        self.place[key] = self.n
-        self.n += 1
-        return self.n - 1
+        self.keys = np.zeros(0, np.uint64)
+        self.uses = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+        self.starts = np.zeros(0, np.int64)
+        self.sizes = np.zeros(0, np.int64)
+
+    def _shrink(self) -> None:
+        """Keep the words that were met again since the last time."""
+        keep = np.flatnonzero(self.uses > 1)[: self.LIMIT // 2]
+        self.flat = self.flat[K.ragged(self.starts[keep], self.sizes[keep])]
+        self.keys, self.sizes, self.uses = self.keys[keep], self.sizes[keep], self.uses[keep] // 2
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.place = dict(zip(self.keys.tolist(), range(len(keep)), strict=True))
+
+    def _add(self, keys: np.ndarray, words: list[str]) -> np.ndarray:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        first = len(self.keys)
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
+        self.keys = np.concatenate([self.keys, keys])
+        self.uses = np.concatenate([self.uses, np.zeros(len(keys), np.int64)])
+        place = np.arange(first, len(self.keys))
+        self.place.update(zip(keys.tolist(), place.tolist(), strict=True))
+        return place
 
     def encode(self, texts):
         """(first row, token ids of a run of texts, n + 1 offsets by text); each text ends with END_ID."""
-        for row, data, off in K.chunks(texts):
-            if self.n > self.LIMIT:
-                self._clear()
+        for row, data, off in K.chunks(texts, 4 * K.CHUNK_BYTES):
+            if len(self.keys) > self.LIMIT:
+                self._shrink()
             s, e, fw = K.words(data, off)
             h, first, back = np.unique(K.slice_hash(data, s, e), return_index=True, return_inverse=True)
-            entry = np.array([self.place.get(x, -1) for x in h.tolist()], np.int64)
+            find = self.place.get
+            entry = np.fromiter([find(x, -1) for x in h.tolist()], np.int64, len(h))
             missing = np.flatnonzero(entry < 0)
             if len(missing):
                 raw = data.tobytes()
-                new = [raw[s[k] : e[k]].decode() for k in first[missing].tolist()]
-                found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-                for x, enc in zip(missing.tolist(), found, strict=True):
-                    entry[x] = self._add(int(h[x]), enc.ids)
+                at = zip(s[first[missing]].tolist(), e[first[missing]].tolist(), strict=True)
+                entry[missing] = self._add(h[missing], [raw[a:b].decode() for a, b in at])
+            self.uses[entry] += 1
             entry = entry[back]
             sizes = self.sizes[entry]
             upto = np.concatenate([[0], np.cumsum(sizes)])[fw]

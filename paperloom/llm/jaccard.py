@@ -6,9 +6,10 @@ so space is first cut where distances are below 1: sets that can link share
 one of their rarest shingles (prefix filter), and a *region* is the sets that
 share such a shingle.  Within regions the join is by pivots: a region's most
 central sets become pivots, exact distances to them are taken, links within r
-are found, and only the outer sets (beyond r of every pivot) and the boundary
-sets that the triangle inequality cannot exclude go on to the next, smaller
-regions, with four times as many pivots, until none is left.
+are found, and every set that the triangle inequality cannot exclude from a
+link with a set of another label goes on to the next, smaller regions, inner
+sets of different components too, with four times as many pivots, until none
+is left.
 """
 
 from __future__ import annotations
@@ -186,11 +187,14 @@ def components_of_sets(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFram
             now.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
         ).select("region")
         now = now.join(open_regions, "region")
-        slot = F.pmod(F.xxhash64("node", F.lit(slots)), F.lit(slots))
+        # A pivot a slot of sets and one a slot of labels, so that the few sets beside a large component come early.
+        slots_of = [F.pmod(F.xxhash64(c, F.lit(slots)), F.lit(slots)) for c in ("node", "label")]
         pivots = (
-            now.groupBy("region", slot.alias("slot"))
+            now.withColumn("slot", F.explode(F.array(*[F.struct(F.lit(k), s) for k, s in enumerate(slots_of)])))
+            .groupBy("region", "slot")
             .agg(F.min(F.struct("score", "node", "label", "n", "shared")).alias("p"))
             .select("region", *[F.col(f"p.{a}").alias(b) for a, b in _PIVOT.items()])
+            .distinct()
         )
         most = F.least("shared", "p_shared", "n", "p_n")
         seen = now.join(pivots, "region").withColumn("bound", most / (F.col("n") + F.col("p_n") - most))
@@ -207,32 +211,6 @@ def components_of_sets(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFram
             f"dist{slots}",
         )
         links = dist.where("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-        near = (
-            seen.join(dist, ["node", "pivot"], "left")
-            .withColumn("inner", F.coalesce("linked", F.col("label") == F.col("p_label")))
-            .withColumn("at_least", F.coalesce("d", 1 - F.col("bound")))
-        )
-        state = near.groupBy("region", "node", "n", "shared", "score").agg(
-            F.max("inner").alias("inner"),
-            F.max(F.col("node") == F.col("pivot")).alias("is_pivot"),
-            F.min(F.when(F.col("inner"), F.struct("pivot", "d"))).alias("home"),
-        )
-        outer = state.where("not inner").select("region", "node")
-        reach = (
-            near.join(outer, ["region", "node"], "left_semi")
-            .where(F.col("at_least") <= 2 * r + 1e-9)
-            .groupBy("region", "pivot")
-            .agg(F.min("at_least").alias("least"))
-        )
-        kept = (
-            state.where("not is_pivot")
-            .withColumn("pivot", F.col("home.pivot"))
-            .join(reach, ["region", "pivot"], "left")
-            .where("not inner or least is not null and (home.d is null or home.d >= least - %r)" % (r + 1e-9))
-            .select("region", "node", "n", "shared", "score")
-        )
-        alone = kept.groupBy("region").agg(F.count("*").alias("c")).where("c > 1").select("region")
-        active = scratch.write(kept.join(alone, "region"), f"active{4 * slots}")
         if not links.isEmpty():
             # Labels are joined by a link of their labels, so earlier components stay whole.
             a = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
@@ -247,6 +225,35 @@ def components_of_sets(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFram
                     "node", F.coalesce("to", "label").alias("label")
                 )
             )
+        # What a pivot P excludes: X links with no Y of another label where every such Y is beyond d(X, P) + r of P.
+        # An unmeasured pair has its bound as the least distance; only a measured distance excludes X.
+        near = (
+            seen.drop("label")
+            .join(labels, "node")
+            .join(pivots.select("region", F.col("pivot").alias("node"), F.lit(True).alias("is_pivot")), ["region", "node"], "left")
+            .where("is_pivot is null")
+            .join(dist, ["node", "pivot"], "left")
+            .withColumn("at_least", F.coalesce("d", 1 - F.col("bound")))
+        )
+        by_label = near.groupBy("region", "pivot", "label").agg(F.min("at_least").alias("least"))
+        # The two nearest labels of a pivot: for each set, one of them is not its own.
+        one = by_label.groupBy("region", "pivot").agg(F.min(F.struct("least", "label")).alias("one"))
+        two = (
+            by_label.join(one, ["region", "pivot"])
+            .groupBy("region", "pivot")
+            .agg(F.first("one").alias("one"), F.min(F.when(F.col("label") != F.col("one.label"), F.col("least"))).alias("two"))
+        )
+        least = F.when(F.col("label") != F.col("one.label"), F.col("one.least")).otherwise(F.col("two"))
+        kept = (
+            near.join(two, ["region", "pivot"])
+            .withColumn("least", least)
+            .groupBy("region", "node", "n", "shared", "score")
+            .agg(F.max(F.coalesce(F.col("least").isNull() | (F.col("least") > F.col("d") + (r + 1e-9)), F.lit(False))).alias("out"))
+            .where("not out")
+            .drop("out")
+        )
+        alone = kept.groupBy("region").agg(F.count("*").alias("c")).where("c > 1").select("region")
+        active = scratch.write(kept.join(alone, "region"), f"active{4 * slots}")
         for name in ("active", "dist"):
             scratch.drop(f"{name}{slots}")
         slots *= 4

@@ -101,6 +101,25 @@ def test_jaccard(spark, docs):
     assert jaccard.jaccard_components(empty(spark)).count() == 0
 
 
+def test_jaccard_two_versions_two_footers(spark):
+    """The versions link with each other and with their own mirrors only, which are the pivots."""
+    core = [f"c{i}" for i in range(90)]
+    versions = [core + [f"{v}{i}" for i in range(10)] for v in "xy"]
+    feet = [[f"{v}foot{i}" for i in range(20)] for v in "xy"]
+    sets = versions + [versions[v] + feet[v] + [f"m{v}at{k}"] for v in (0, 1) for k in range(8)]
+    sets += [feet[v] + [f"o{v}at{k}at{i}" for i in range(30)] for v in (0, 1) for k in range(40)]
+    df = spark.createDataFrame([(i, " ".join(s)) for i, s in enumerate(sets)], "doc_id int, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(df, shingle=1).collect()}
+    want = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(set(sets[i]) & set(sets[j]))
+            if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                want = [min(want[i], want[j]) if w in (want[i], want[j]) else w for w in want]
+    assert [got[i] for i in range(len(sets))] == want
+    assert want[:18] == [0] * 18 and len(set(want)) == 81
+
+
 def test_jaccard_chain_and_null_ids(spark):
     rng = random.Random(3)
     w = [f"t{i}" for i in range(120)]

@@ -131,3 +131,16 @@ def test_image_copies(spark):
     assert images.find_copies(queries, media.limit(0)).count() == 0
     same = images.find_copies(spark.createDataFrame([(3, rows[3][1])], "image_id long, image binary"), media).collect()
     assert [(r.image_id, r.class_size) for r in same] == [(3, 2)]
+
+
+def test_image_copies_on_large_images(spark):
+    """Crops whose corners are the weakest of the image; small shares of equal bands."""
+    rng = np.random.default_rng(3)
+    art = rng.integers(118, 138, (6, 24, 24))
+    art[:, :12] = rng.integers(0, 255, (6, 12, 24))  # the strong corners lie in the upper half
+    art = [np.kron(a, np.ones((8, 8))).astype(np.uint8) for a in art]
+    media = spark.createDataFrame([(i, images.pgm(a)) for i, a in enumerate(art)], "image_id long, image binary")
+    asked = [(i, images.pgm(a[125:185, 60 + i : 120 + i])) for i, a in enumerate(art)]
+    got = images.find_copies(spark.createDataFrame(asked, "image_id long, image binary"), media).collect()
+    assert {(r.query_id, r.image_id) for r in got} == {(i, i) for i in range(6)}
+    assert all(abs(r.dx - 60 - r.query_id) <= 1 and abs(r.dy - 125) <= 1 for r in got)

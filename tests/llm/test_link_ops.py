@@ -144,3 +144,20 @@ def test_image_copies_on_large_images(spark):
     got = images.find_copies(spark.createDataFrame(asked, "image_id long, image binary"), media).collect()
     assert {(r.query_id, r.image_id) for r in got} == {(i, i) for i in range(6)}
     assert all(abs(r.dx - 60 - r.query_id) <= 1 and abs(r.dy - 125) <= 1 for r in got)
+
+
+def test_image_copies_with_turned_bits(spark, monkeypatch):
+    """Descriptors of which every band differs in one bit still meet, as does a pair that shares one band only."""
+    rng = np.random.default_rng(4)
+    bits = rng.integers(0, 1 << 32, (4, images.BANDS), np.uint64).astype("<u4")
+    place = np.array([[20 + 9 * k, 30 + 5 * k, 0, 1] for k in range(4)], np.float32)
+    one_band = bits ^ np.uint32(6)  # two bits of each band: 16 in all
+    one_band[0, 0] = bits[0, 0]
+    rows = [(1, (bits ^ np.uint32(1)).tobytes(), place.tobytes()), (2, one_band.tobytes(), place.tobytes())]
+    points = spark.createDataFrame(rows, images.POINTS)
+    asked = spark.createDataFrame([(7, bits.tobytes(), place.tobytes())], images.POINTS)
+    tables = iter([points, asked])
+    monkeypatch.setattr(images, "descriptors", lambda *a: next(tables))
+    media = spark.createDataFrame([(1, b"a"), (2, b"b")], "image_id long, image binary")
+    got = images.find_copies(media.limit(0), media).collect()
+    assert {(r.query_id, r.image_id, r.agreeing) for r in got} == {(7, 1, 4), (7, 2, 4)}

@@ -174,8 +174,7 @@ def search(rows: list[dict], request: Request) -> list[dict]:
     def cross(a, b):
         left, child = dict(quotas), []
         cut = rng.below(len(a) + 1)
-        spare = [i for t in quotas for i in rng.shuffled(pool.by_type[t])]
-        for i in [*a[:cut], *b, *spare]:
+        for i in [*a[:cut], *b]:  # b alone fills what a leaves of a type's quota
             kind = pool.rows[i]["type"]
             if left[kind] and i not in child:
                 left[kind] -= 1
@@ -186,9 +185,11 @@ def search(rows: list[dict], request: Request) -> list[dict]:
         genes = list(genes)
         for k, i in enumerate(genes):
             if rng.unit() < request.mutation:
-                free = [j for j in pool.by_type[pool.rows[i]["type"]] if j not in genes]
-                if free:
-                    genes[k] = free[rng.below(len(free))]
+                own = pool.by_type[pool.rows[i]["type"]]
+                if len(own) > quotas[pool.rows[i]["type"]]:
+                    while (j := own[rng.below(len(own))]) in genes:
+                        pass
+                    genes[k] = j
         return genes
 
     def pick(people):
@@ -206,14 +207,15 @@ def search(rows: list[dict], request: Request) -> list[dict]:
     return [pool.rows[i] for i in people[0]]
 
 
-def generate(bank: DataFrame, requests: list[Request], per_type: int = 2_000) -> DataFrame:
+def generate(bank: DataFrame, requests: list[Request]) -> DataFrame:
     """(request_id, id, item_order, fitness) of the question sets found; requests that cannot be met give no rows.
 
     bank: id long, type, difficulty, subjects array, tags array, weight
-    double.  A request's search looks at ``per_type`` candidates of each type
-    at most, the first by a hash of seed and id, so one task's pool is bounded;
-    feasibility is judged on all of them.  The result does not depend on row
-    order.
+    double.  Fitness knows a question by its type, difficulty, weight, tags and
+    subjects only, so of questions that are equal in these a search gets as many
+    as the type's quota, the first by a hash of seed and id, and no others are
+    left out: what it can reach is what all candidates can reach.  The result
+    does not depend on row order.
     """
     spark = bank.sparkSession
     for r in requests:
@@ -227,8 +229,17 @@ def generate(bank: DataFrame, requests: list[Request], per_type: int = 2_000) ->
             F.greatest(F.coalesce("weight", F.lit(1.0)), F.lit(0.01)).alias("weight"), F.xxhash64(F.lit(r.seed), "id").alias("_h"),
         )
         parts = rows if parts is None else parts.union(rows)
-    w = Window.partitionBy("request_id", "type").orderBy("_h", "id")
-    pool = parts.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_type).drop("_n", "_h")
+    kind = [F.array_sort(F.array_distinct(F.transform(c, normal))) for c in ("tags", "subjects")]
+    w = Window.partitionBy("request_id", "type", "difficulty", "weight", *kind).orderBy("_h", "id")
+    quota = spark.createDataFrame(
+        [(r.request_id, t, n) for r in requests for t, n in r.quotas().items()], "request_id int, type string, _quota int"
+    )
+    pool = (
+        parts.withColumn("_n", F.row_number().over(w))
+        .join(F.broadcast(quota), ["request_id", "type"])
+        .where("_n <= _quota")
+        .select("request_id", "id", "type", "difficulty", "subjects", "tags", "weight")
+    )
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         request = own[int(frame["request_id"].iloc[0])]

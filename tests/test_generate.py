@@ -69,6 +69,14 @@ def test_generate_meets_quotas_and_ignores_order(spark):
     assert G.generate(bank(spark, rows), [short]).count() == 0
 
 
+def test_generate_sees_every_candidate(spark):
+    """One question of many has the required tag, the wanted difficulty and weight."""
+    rows = [(i, "essay", "hard", ["Math"], ["b", "a"][:: 1 - 2 * (i % 2)], 1.0) for i in range(20_000)]
+    rows[777] = (777, "essay", "easy", ["math"], [" Rare"], 9.0)
+    r = G.Request(7, 10, 0.0, (("essay", 2),), ("math",), ("rare",), (), 3, 16, 60)
+    assert 777 in {x.id for x in G.generate(bank(spark, rows), [r]).collect()}
+
+
 def test_requests_are_checked():
     assert G.Request(1, 1, 2.0, (("x", 3),), ()).errors()
     assert [G.SplitMix64(0).next() for _ in range(2)][0] == G.SplitMix64(0).next()

@@ -29,10 +29,16 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents the one of the least id stays; rows of a null id stay."""
-    found = jaccard.jaccard_components(docs)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each component of linked rows one stays: that of the least id, ids before null, then the least text hash.
+
+    Repeated ids and null ids are rows like others; texts without words link with nothing and stay.
+    """
+    made = docs.withColumn("_row", F.monotonically_increasing_id())
+    made = cluster.Scratch(spark).write(made, "numbered")  # the numbers must not change between reads
+    found = jaccard.jaccard_components(made, id_col="_row").select("_row", "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_row")
+    first = made.select("_row", order.alias("o")).join(found, "_row").groupBy("component_id").agg(F.min("o").alias("o"))
+    return made.join(first.select("o._row"), "_row", "left_semi").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,6 +28,15 @@ def test_stages(spark, tmp_path):
     assert docs.select("doc_id").distinct().count() == kept["substring_dedup"]
 
 
+def test_near_duplicates_with_repeated_and_null_ids(spark):
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    rows = [(None, text(1)), (4, text(1)), (4, text(1)), (9, text(1)), (None, text(2)), (None, text(2)), (4, text(3)), (6, ""), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, DATA).collect()]
+    want = [(4, text(1)), (None, text(2)), (4, text(3)), (6, ""), (6, "")]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, DATA)
     assert out.groupBy("sequence_id").agg({"length": "sum"}).where("`sum(length)` > 2048").isEmpty()

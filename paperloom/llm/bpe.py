@@ -177,7 +177,7 @@ class Vocabulary:
 
 
 class Coder:
-    """Encodes batches; distinct slices merge once while the bounded cache holds them."""
+    """Encodes batches; distinct slices merge once while the bounded cache, which is keyed by their bytes, holds them."""
 
     LIMIT = 300_000
 
@@ -186,7 +186,8 @@ class Coder:
         self._clear()
 
     def _clear(self) -> None:
-        self.place: dict[int, int] = {}
+        self.place: dict[bytes, int] = {}
+        self.sizes = np.zeros(0, np.int64)
         self.ids: list[np.ndarray] = []
         self.decimal: list[bytes] = []
         self.raw: list[bytes] = []
@@ -218,14 +219,16 @@ class Coder:
         is_slice = ~closing[edge]
         starts, stops = at[edge[is_slice]], at[np.append(edge[1:], len(cps))[is_slice]]
         per_text = np.searchsorted(edge[is_slice], np.concatenate([[0], ends + 1]))
-        h, first, back = np.unique(K.slice_hash(data, starts, stops), return_index=True, return_inverse=True)
-        entry = np.array([self.place.get(x, -1) for x in h.tolist()], np.int64)
+        first, back = K.distinct_slices(data, starts, stops)
+        raw = data.tobytes()
+        slices = [raw[a:b] for a, b in zip(starts[first].tolist(), stops[first].tolist(), strict=True)]
+        entry = np.fromiter([self.place.get(x, -1) for x in slices], np.int64, len(slices))
         missing = np.flatnonzero(entry < 0)
         if len(missing):
-            raw = joined.encode()
-            slices = [raw[starts[k] : stops[k]] for k in first[missing].tolist()]
-            for x, ids in zip(missing.tolist(), self.vocabulary.merge(slices), strict=True):
-                entry[x] = self.place[int(h[x])] = len(self.ids)
+            merged = self.vocabulary.merge([slices[k] for k in missing.tolist()])
+            self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, merged), np.int64, len(merged))])
+            for x, ids in zip(missing.tolist(), merged, strict=True):
+                entry[x] = self.place[slices[x]] = len(self.ids)
                 self.ids.append(ids.astype(np.int32))
                 self.decimal.append((" ".join(map(str, ids.tolist())) + " ").encode())
                 self.raw.append(self.vocabulary.decode(ids.tolist()))
@@ -312,8 +315,7 @@ def digests(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col:
         for batch in batches:
             n, ids, raw = [], [], []
             for _, entry, cut, _ in own.encode([t or "" for t in batch["text"].to_pylist()]):
-                size = np.fromiter(map(len, own.ids), np.int64, len(own.ids))[entry]
-                total = np.concatenate([[0], np.cumsum(size)])[cut]
+                total = np.concatenate([[0], np.cumsum(own.sizes[entry])])[cut]
                 n += np.diff(total).tolist()
                 all_entries = entry.tolist()
                 for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):

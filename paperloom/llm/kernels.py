@@ -6,6 +6,8 @@ run of bytes outside ``\x20 \x09-\x0D``; UTF-8 keeps that exact on bytes.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -36,20 +38,10 @@ def _stream(n: int, seed: int) -> np.ndarray:
         return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_GOLDEN) + np.uint64(seed))
 
 
-_BYTE = _stream(256, 11)
-_ROOT = int(_stream(1, 12)[0]) | 1
-_ROOT_INV = pow(_ROOT, -1, 1 << 64)
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "up" not in _POWERS or len(_POWERS["up"]) < n:
-        size = max(n, CHUNK_BYTES + (1 << 16))
-        for key, base in (("up", _ROOT), ("down", _ROOT_INV)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _POWERS[key] = np.cumprod(p, dtype=np.uint64)
-    return _POWERS["up"], _POWERS["down"]
+_SEEDS = [int(x) for x in _stream(8, 11)]
+_LANE_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+#: Slices of more lanes of eight bytes are digested whole.
+LANES = 16
 
 
 def lay(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,12 +77,69 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, ends, np.searchsorted(starts, off)
 
 
-def slice_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each non-empty slice, by prefix sums of one polynomial."""
-    up, down = _powers(len(data) + 1)
-    p = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], dtype=np.uint64, out=p[1:])
-    return mix((p[ends] - p[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place as one number; zeros follow the data."""
+    return np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
+
+
+def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seeds: tuple[int, ...]) -> list[np.ndarray]:
+    """A 64-bit hash of each slice for each seed: its lanes of eight bytes go one by one through ``mix``.
+
+    ``mix`` has an inverse, so slices of one length up to eight bytes never collide, and the hashes of
+    different seeds are independent for longer ones.
+    """
+    view, n = _lanes(data), ends - starts
+    first = view[starts] & _LANE_MASK[np.minimum(n, 8)]
+    out = [mix(first ^ np.uint64(_SEEDS[s])) for s in seeds]
+    more = np.flatnonzero((n > 8) & (n <= 8 * LANES))
+    for k in range(1, LANES):
+        if not len(more):
+            break
+        lane = view[starts[more] + 8 * k] & _LANE_MASK[np.minimum(n[more] - 8 * k, 8)]
+        for h in out:
+            h[more] = mix(h[more] ^ lane)
+        more = more[n[more] > 8 * (k + 1)]
+    for i in np.flatnonzero(n > 8 * LANES).tolist():
+        whole = hashlib.blake2b(data[starts[i] : ends[i]], digest_size=64).digest()
+        for h, s in zip(out, seeds, strict=True):
+            h[i] = int.from_bytes(whole[8 * s : 8 * s + 8], "little")
+    length = n.astype(np.uint64) * np.uint64(_GOLDEN)
+    return [mix(h + length) for h in out]
+
+
+def slice_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each slice."""
+    return slice_hashes(data, starts, ends, (seed,))[0]
+
+
+def distinct_slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One index of each distinct slice, and the place among them of every slice; equal means equal bytes."""
+    h, n = slice_hash(data, starts, ends), ends - starts
+    _, first, back = np.unique(h, return_index=True, return_inverse=True)
+    rep = first[back]
+    odd = n != n[rep]
+    view = _lanes(data)
+    at = np.flatnonzero(~odd & (n <= 8 * LANES))
+    for k in range(LANES):
+        at = at[n[at] > 8 * k]
+        if not len(at):
+            break
+        mask = _LANE_MASK[np.minimum(n[at] - 8 * k, 8)]
+        odd[at] |= ((view[starts[at] + 8 * k] ^ view[starts[rep[at]] + 8 * k]) & mask) != 0
+    for i in np.flatnonzero(~odd & (n > 8 * LANES)).tolist():
+        r = int(rep[i])
+        odd[i] = r != i and not np.array_equal(data[starts[i] : ends[i]], data[starts[r] : ends[r]])
+    if odd.any():  # two byte strings of one hash: number the odd ones by their bytes
+        own: dict[bytes, int] = {}
+        extra = []
+        for i in np.flatnonzero(odd).tolist():
+            raw = data[starts[i] : ends[i]].tobytes()
+            if raw not in own:
+                own[raw] = len(first) + len(extra)
+                extra.append(i)
+            back[i] = own[raw]
+        first = np.concatenate([first, np.array(extra, first.dtype)])
+    return first, back
 
 
 def windows(word_hash: np.ndarray, k: int, seed: int) -> np.ndarray:

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import zlib
 from bisect import bisect_right
 from itertools import chain
@@ -84,67 +85,72 @@ def _best_two(lengths: list[int], free: dict[int, int], gap: int, more_than: int
 
 
 class WordTokens:
-    """Token ids of blank-separated words from a library tokenizer, each distinct word once.
+    """Token ids of blank-separated words from a library tokenizer, each distinct word once while the cache holds it.
 
     Word vocabularies drop white space and no token spans it, so a text's ids
-    are its words' ids in a row.
+    are its words' ids in a row.  Added tokens are matched in the text before
+    words are; a text that holds one is encoded whole.
     """
 
-    LIMIT = 800_000
+    #: Bytes of cached words, about.
+    LIMIT = 16 << 20
 
     def __init__(self, file: bytes):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks already use every core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(file.decode())
-        self.tokenizer.encode_special_tokens = True
-        self.place: dict[int, int] = {}
-        self.keys = np.zeros(0, np.uint64)
-        self.uses = np.zeros(0, np.int64)
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.bytes = 0
         self.flat = np.zeros(0, np.uint32)
         self.starts = np.zeros(0, np.int64)
         self.sizes = np.zeros(0, np.int64)
 
-    def _shrink(self) -> None:
-        """Keep the words that were met again since the last time."""
-        keep = np.flatnonzero(self.uses > 1)[: self.LIMIT // 2]
-        self.flat = self.flat[K.ragged(self.starts[keep], self.sizes[keep])]
-        self.keys, self.sizes, self.uses = self.keys[keep], self.sizes[keep], self.uses[keep] // 2
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.place = dict(zip(self.keys.tolist(), range(len(keep)), strict=True))
-
-    def _add(self, keys: np.ndarray, words: list[str]) -> np.ndarray:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _add(self, words: list[bytes]) -> np.ndarray:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        first = len(self.keys)
+        place = np.arange(len(self.sizes), len(self.sizes) + len(words))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
-        self.keys = np.concatenate([self.keys, keys])
-        self.uses = np.concatenate([self.uses, np.zeros(len(keys), np.int64)])
-        place = np.arange(first, len(self.keys))
-        self.place.update(zip(keys.tolist(), place.tolist(), strict=True))
+        self.place.update(zip(words, place.tolist(), strict=True))
+        self.bytes += sum(map(len, words)) + 64 * len(words)
         return place
 
+    def _whole(self, raw: bytes, off: np.ndarray) -> list[int]:
+        """Texts of a chunk that hold an added token."""
+        return sorted({int(np.searchsorted(off, m.start(), "right")) - 1 for t in self.added for m in re.finditer(re.escape(t), raw)})
+
     def encode(self, texts):
         """(first row, token ids of a run of texts, n + 1 offsets by text); each text ends with END_ID."""
-        for row, data, off in K.chunks(texts, 4 * K.CHUNK_BYTES):
-            if len(self.keys) > self.LIMIT:
-                self._shrink()
+        for row, data, off in K.chunks(texts, 2 * K.CHUNK_BYTES):
+            if self.bytes > self.LIMIT:
+                self.clear()
             s, e, fw = K.words(data, off)
-            h, first, back = np.unique(K.slice_hash(data, s, e), return_index=True, return_inverse=True)
+            first, back = K.distinct_slices(data, s, e)
+            raw = data.tobytes()
+            words = [raw[a:b] for a, b in zip(s[first].tolist(), e[first].tolist(), strict=True)]
             find = self.place.get
-            entry = np.fromiter([find(x, -1) for x in h.tolist()], np.int64, len(h))
+            entry = np.fromiter([find(w, -1) for w in words], np.int64, len(words))
             missing = np.flatnonzero(entry < 0)
             if len(missing):
-                raw = data.tobytes()
-                at = zip(s[first[missing]].tolist(), e[first[missing]].tolist(), strict=True)
-                entry[missing] = self._add(h[missing], [raw[a:b].decode() for a, b in at])
-            self.uses[entry] += 1
+                entry[missing] = self._add([words[k] for k in missing.tolist()])
             entry = entry[back]
             sizes = self.sizes[entry]
             upto = np.concatenate([[0], np.cumsum(sizes)])[fw]
             ids = self.flat[K.ragged(self.starts[entry], sizes)]
+            own = self._whole(raw, off)
+            if own:
+                parts = [ids[upto[i] : upto[i + 1]] for i in range(len(off) - 1)]
+                for i in own:
+                    text = raw[off[i] : off[i + 1] - 1].decode()
+                    parts[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+                upto = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+                ids = np.concatenate(parts)
             yield row, np.insert(ids, upto[1:], END_ID), upto + np.arange(len(upto))
 
 
@@ -169,6 +175,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, id_col: str, tex
 
     def run(batches):
         own = word_tokens(file.value)
+        own.clear()  # a worker that is used again starts without the last task's words
         for batch in batches:
             for row, tokens, off in own.encode(batch["text"]):
                 tokens = tokens.astype("<u4", copy=False)
@@ -190,6 +197,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, id_col: str, tex
                 if ids:
                     columns.append(pa.array([c.astype(np.int32) for c in cut], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names)
+        own.clear()
 
     schema = f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids
     return docs.selectExpr(f"`{id_col}` as id", f"`{text_col}` as text").mapInArrow(run, schema)

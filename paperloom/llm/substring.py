@@ -29,14 +29,14 @@ def _ordered(table: pa.Table, id_col: str, text_col: str) -> tuple[pa.Table, np.
 
 
 def _scan(texts: pa.ChunkedArray, k: int):
-    """Two hashes, row and start of each window of a bucket, in order."""
+    """Two hashes, from two hashes of its words, and row and start of each window of a bucket, in order."""
     a, b, row, start = [], [], [], []
     for first, data, off in K.chunks(texts):
         s, e, fw = K.words(data, off)
-        wh = K.slice_hash(data, s, e)
+        h, g = K.slice_hashes(data, s, e, (0, 1))
         place, doc = K.within(fw, k)
-        a.append(K.windows(wh, k, 1)[place])
-        b.append(K.windows(wh, k, 2)[place])
+        a.append(K.windows(h, k, 1)[place])
+        b.append(K.windows(g, k, 2)[place])
         row.append(doc + first)
         start.append(place - fw[doc])
     empty = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
@@ -94,8 +94,8 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
 
     Plan: rows are dealt by a hash of the id once (that exchange serves all
     three passes); a corpus-sized count-min sketch is merged in blocks; only
-    windows estimated to repeat are grouped by a 128-bit hash, each sent once
-    by a bucket and answered with a bit.
+    windows estimated to repeat are grouped, by two independent 64-bit hashes,
+    each sent once by a bucket and answered with a bit.
     """
     spark = docs.sparkSession
     cluster.ship(spark)

@@ -74,6 +74,50 @@ def test_substring_null_and_repeated_ids(spark):
     assert sorted((r.doc_id or 0, r.n_removed) for r in got) == [(0, 25), (1, 0), (1, 25)]
 
 
+def thue_morse(n):
+    """A string of a and b and its complement, which polynomial hashes modulo a power of two confuse."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return ["".join("ab"[b ^ flip] for b in bits) for flip in (0, 1)]
+
+
+def test_hashes_tell_thue_morse_strings_apart(spark):
+    import pyarrow as pa
+
+    for n in (64, 128, 256, 1024, 2048, 4096):
+        pair = thue_morse(n)
+        _, data, off = next(kernels.chunks(pa.array([*pair, pair[0]]), 1 << 30))
+        s, e, _ = kernels.words(data, off)
+        for h in kernels.slice_hashes(data, s, e, (0, 1)):
+            assert h[0] == h[2] != h[1]
+        first, back = kernels.distinct_slices(data, s, e)
+        assert len(first) == 2 and back[0] == back[2] != back[1]
+    a, b = thue_morse(1024)
+    rest = " ".join(f"w{i}" for i in range(19))
+    rows = spark.createDataFrame([(1, f"{a} {rest}", "s"), (2, f"{b} {rest}", "s")], "doc_id long, text string, source string")
+    assert {r.doc_id: r.n_removed for r in substring.dedup_substrings(rows).collect()} == {1: 0, 2: 0}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(rows).collect()}
+    assert got == components_by_force([(1, f"{a} {rest}"), (2, f"{b} {rest}")])
+    both = spark.createDataFrame([(0, thue_morse(2048)[0]), (1, thue_morse(2048)[1])], "doc_id long, text string").coalesce(1)
+    enc = reference_encoding()
+    ids = {r.doc_id: r.ids for r in bpe.encode(both, public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()}
+    assert [ids[k] for k in (0, 1)] == [enc.encode_ordinary(t) for t in thue_morse(2048)]
+    words_of_pack = packing.WordTokens(open(public_tokenizers.path("word_bpe_49k.json"), "rb").read())
+    one, two = ([own[1][own[2][i] : own[2][i + 1]].tolist() for own in words_of_pack.encode(pa.array(thue_morse(2048))) for i in range(2)])
+    assert one != two
+
+
+def test_distinct_slices_where_hashes_collide(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(kernels, "slice_hash", lambda data, s, e, seed=0: (e - s).astype("uint64") // 4)
+    texts = ["aa bb aa c", "dddd dddd eeee", "x" * 300 + " " + "x" * 299 + "y " + "x" * 300]
+    _, data, off = next(kernels.chunks(pa.array(texts)))
+    s, e, _ = kernels.words(data, off)
+    first, back = kernels.distinct_slices(data, s, e)
+    raw = data.tobytes()
+    assert [raw[s[first[k]] : e[first[k]]] for k in back] == [raw[a:b] for a, b in zip(s, e, strict=True)] and len(first) == 7
+
+
 def shingles(text):
     w = words((text or "").translate({c: c + 32 for c in range(65, 91)}))
     return {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
@@ -213,9 +257,9 @@ def test_word_tokens_equal_whole_texts():
     letters = "aAb B'sSllé́ \u0085\x1c中1½!?<|endoftext|>\u200d🙂İΣς\t\n Å"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(1500)] + ["<|endoftext|> a"]
     whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    whole.encode_special_tokens = True
+    texts += ["a <|endoftext|>b", "<|startoftext|>", "x<|endoftext|><|endoftext|> y\nz", "<|ENDOFTEXT|>", "<|endoftext|"]
     own = packing.WordTokens(open(public_tokenizers.path("word_bpe_49k.json"), "rb").read())
-    own.LIMIT = 200  # the cache shrinks many times
+    own.LIMIT = 20_000  # the cache is emptied many times
     got = []
     for a in range(0, len(texts), 100):
         for _, ids, off in own.encode(pa.array(texts[a : a + 100])):

@@ -2,14 +2,20 @@
 
 Distance is 1 - J, a metric; two sets link within radius r = 1 - threshold.
 Most sets are at distance 1 from all others, where no pivot tells them apart,
-so space is first cut where distances are below 1: sets that can link share
-one of their rarest shingles (prefix filter), and a *region* is the sets that
-share such a shingle.  Within regions the join is by pivots: a region's most
-central sets become pivots, exact distances to them are taken, links within r
-are found, and every set that the triangle inequality cannot exclude from a
-link with a set of another label goes on to the next, smaller regions, inner
-sets of different components too, with four times as many pivots, until none
-is left.
+so space is first cut where distances are below 1: two sets that link have a
+rarest common shingle, and it stands so early in both, rarest first, that
+enough others can follow (the prefix filter, with the bound on the partner's
+size that the place gives).  The sets that hold a shingle so early are a cell.
+
+Cells join by pivots.  A cell's central sets become its pivots and exact
+distances to them are measured; distances within r are links, and what they
+connect has one label from then on.  A set's home is its nearest pivot, and it
+is replicated into the Voronoi cell of each other pivot q with
+d(x, q) - d(x, home) <= 2r, since no set with home q can link with it
+elsewhere.  The new cells join in the same way, until a cell is small or its
+windows no longer part it; then its pairs of different labels are measured
+that size, place and distance to a common pivot do not exclude.  A cell of one
+label is done.  Every step keeps each link that could join two labels.
 """
 
 from __future__ import annotations
@@ -27,10 +33,14 @@ from .sketch import BLOCK, BUCKET
 
 SHINGLE, THRESHOLD = 5, 75
 _NO_ID = np.iinfo(np.int64).max
-PROFILE = "id long, n long, s1 long, s2 long, shared long, candidate boolean, elems binary, sigs array<long>, score double"
-
-
-_PIVOT = {"node": "pivot", "label": "p_label", "n": "p_n", "shared": "p_shared"}
+PROFILE = "id long, n long, s1 long, s2 long, candidate boolean, elems binary, sigs array<long>, mosts array<long>, score double"
+#: Members of a cell that is not parted, pivots of a larger one.
+LEAF, PIVOTS = 64, 4
+#: A cell is parted if its Voronoi cells hold at most these shares of its members, in all and each.
+ALL_SHARE, ONE_SHARE = 1.5, 0.75
+#: Members of a cell that one task pairs with others.
+BLOCK_MEMBERS = 4096
+_DIST = "a long, b long, n_a long, n_b long, both long"
 
 
 def _sets(texts: pa.ChunkedArray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -65,10 +75,10 @@ def _sums(values: np.ndarray, cut: np.ndarray) -> np.ndarray:
 def _overlap(batches):
     for batch in batches:
         n = [
-            len(np.intersect1d(np.frombuffer(a.as_buffer(), np.int64), np.frombuffer(b.as_buffer(), np.int64), True))
-            for a, b in zip(batch["elems"], batch["p_elems"], strict=True)
+            len(np.intersect1d(np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64), True))
+            for x, y in zip(batch["elems"], batch["b_elems"], strict=True)
         ]
-        keep = batch.select(["node", "pivot", "n", "p_n"])
+        keep = batch.select(["a", "b", "n_a", "n_b"])
         yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(n, pa.int64())], [*keep.schema.names, "both"])
 
 
@@ -108,15 +118,19 @@ def jaccard_components(
         shared = _sums((df >= 2).astype(np.int64), cut)
         ids = pc.fill_null(table["id"], _NO_ID).to_numpy()
         candidate = (n > 0) & (100 * shared >= threshold * n)
-        seen, elems, sigs, score = set(), [None] * n_rows, [None] * n_rows, [None] * n_rows
+        seen, elems, sigs, mosts, score = set(), *([None] * n_rows for _ in range(4))
         for i in np.lexsort((np.arange(n_rows), ids)):
             if not candidate[i] or (same := (int(n[i]), int(s1[i]), int(s2[i]))) in seen:
                 continue
             seen.add(same)
             own, d = h[cut[i] : cut[i + 1]], df[cut[i] : cut[i + 1]]
             prefix = np.lexsort((own, d))[: n[i] - (-(-threshold * n[i] // 100)) + 1]
+            # If the first common shingle is here, at most the rest is common: a bound on the partner's size.
+            most = (100 + threshold) * (n[i] - np.arange(len(prefix))) // threshold - n[i]
+            use = (d[prefix] >= 2) & (100 * most >= threshold * n[i])
             elems[i] = np.sort(own.view(np.int64)).tobytes()
-            sigs[i] = own[prefix[d[prefix] >= 2]].view(np.int64)
+            sigs[i] = own[prefix[use]].view(np.int64)
+            mosts[i] = most[use]
             score[i] = -float(d.mean())
         return pa.table(
             {
@@ -124,137 +138,171 @@ def jaccard_components(
                 "n": pa.array(n, pa.int64()),
                 "s1": s1.view(np.int64),
                 "s2": s2.view(np.int64),
-                "shared": pa.array(shared, pa.int64()),
                 "candidate": candidate,
                 "elems": pa.array(elems, pa.binary()),
                 "sigs": pa.array(sigs, pa.list_(pa.int64())),
+                "mosts": pa.array(mosts, pa.list_(pa.int64())),
                 "score": pa.array(score, pa.float64()),
             }
         )
 
     scratch = cluster.Scratch(spark)
     prof = scratch.write(grouped.cogroup(replies.groupBy(BUCKET)).applyInArrow(profile, PROFILE), "profile")
-    # Equal sets are one node, named by the set's hash; each bucket sent its elements once.
+    # Equal sets, by size and two hashes, are one node; each bucket sent its elements once.
     nodes = scratch.write(
         prof.where("elems is not null")
-        .select(F.col("s1").alias("node"), "n", "shared", "elems", "sigs", "score")
-        .dropDuplicates(["node"]),
+        .select("s1", "s2", "n", "elems", "sigs", "mosts", "score")
+        .dropDuplicates(["s1", "s2", "n"])
+        .withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
-    label = components_of_sets(nodes, threshold)
-    named = prof.where("candidate").groupBy(F.col("s1").alias("node")).agg(F.min("id").alias("least"))
-    least = named.join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "least")
+    label = components_of_sets(nodes, threshold, scratch)
+    same = ["s1", "s2", "n"]
+    named = prof.where("candidate").groupBy(*same).agg(F.min("id").alias("least")).join(nodes.select(*same, "node"), same)
+    least = named.join(label, "node", "left").select(*same, F.coalesce("label", "node").alias("label"), "least")
     top = least.groupBy("label").agg(F.min("least").alias("component_id"))
-    found = least.join(top, "label").select(F.col("node").alias("s1"), "component_id", F.lit(True).alias("candidate"))
-    return prof.join(found, ["s1", "candidate"], "left").select(
+    found = least.join(top, "label").select(*same, "component_id", F.lit(True).alias("candidate"))
+    return prof.join(found, [*same, "candidate"], "left").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         F.when(F.col("candidate"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
     )
 
 
-def components_of_sets(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(node, label) for nodes (node, n, shared, elems, sigs, score): regions and pivots, round by round.
+def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels joined by links (a, b) of nodes, so that earlier components stay whole."""
+    of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
+    between = cluster.checkpoint(
+        links.join(of("a"), "a").join(of("b"), "b").where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
+    )
+    if between.isEmpty():
+        return labels
+    ends = between.select(F.col("a").alias("node")).union(between.select("b")).distinct()
+    moved = components(ends.select("node", F.col("node").alias("label")), between)
+    moved = moved.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return cluster.checkpoint(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+
 
-    shared counts a set's shingles that some other set may have, so two sets
-    share the smaller count at most: pairs that this keeps out of r are not
-    measured, and the bound stands for their distance where it decides what
-    goes on.
+def components_of_sets(nodes: DataFrame, threshold: int = THRESHOLD, scratch: cluster.Scratch | None = None) -> DataFrame:
+    """(node, label) for nodes (node, n, elems, sigs, score[, mosts]) that share a cell with another.
+
+    elems are a set's n hashes, sorted, as bytes of int64; two sets can link
+    only where they share an entry of sigs and each one's size is no more than
+    the other's entry of mosts at that place (no bound without the column).
+    Pivots are the sets of least score.  Equal scores go by node; repeated
+    sigs are harmless; a node without sigs has no row.
     """
+    cluster.ship(nodes.sparkSession)
     r = 1 - threshold / 100
-    slots = 4
+    scratch = scratch or cluster.Scratch(nodes.sparkSession)
     sets = nodes.select("node", "n", "elems")
-    active = nodes.select(F.explode("sigs").alias("region"), "node", "n", "shared", "score")
-    # Copies share many shingles: of regions with the same sets one is enough.
-    same = (
-        active.groupBy("region")
+    entry = F.arrays_zip("sigs", "mosts") if "mosts" in nodes.columns else F.transform("sigs", lambda x: F.struct(x.alias("sigs"), F.lit(_NO_ID).alias("mosts")))
+    meet = nodes.select("node", "n", "score", F.explode(entry).alias("e")).select(
+        "node", "n", "score", F.col("e.sigs").alias("cell"), F.col("e.mosts").alias("most")
+    )
+
+    def measured(pairs: DataFrame, name: str) -> DataFrame:
+        """(a, b, linked, d) for pairs (a, b) of nodes."""
+        a = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), "elems")
+        b = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("elems").alias("b_elems"))
+        union = F.col("n_a") + F.col("n_b") - F.col("both")
+        return scratch.write(
+            pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "elems", "b_elems").mapInArrow(_overlap, _DIST)
+            .select("a", "b", (100 * F.col("both") >= threshold * union).alias("linked"), (1 - F.col("both") / union).alias("d")),
+            name,
+        )
+
+    # Copies share many shingles: cells of the same sets are one, with the wider bound.
+    stats = (
+        meet.groupBy("cell")
         .agg(
             F.count("*").alias("c"),
+            F.min("n").alias("lo"),
+            F.max("most").alias("hi"),
             F.bit_xor(F.xxhash64("node")).alias("x"),
             F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
         )
         .where("c > 1")
-        .groupBy("c", "x", "y")
-        .agg(F.min("region").alias("region"))
-        .select("region")
     )
-    scratch = cluster.Scratch(nodes.sparkSession)
-    active = scratch.write(active.join(same, "region"), "active4")
-    labels = cluster.checkpoint(active.select("node", F.col("node").alias("label")).distinct())
-    while not active.isEmpty():
-        now = active.join(labels, "node")
-        open_regions = (
-            now.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-        ).select("region")
-        now = now.join(open_regions, "region")
-        # A pivot a slot of sets and one a slot of labels, so that the few sets beside a large component come early.
-        slots_of = [F.pmod(F.xxhash64(c, F.lit(slots)), F.lit(slots)) for c in ("node", "label")]
+    cells = (
+        meet.join(stats, "cell")
+        .where("most >= lo and n <= hi")
+        .groupBy(F.xxhash64("c", "x", "y").alias("cell"), "node", "n", "score")
+        .agg(F.max("most").alias("most"))
+        .withColumns({"homes": F.lit(0).cast("long"), "d": F.lit(None).cast("double")})
+    )
+    cells = scratch.write(cells, "cells0")
+    labels = cluster.checkpoint(cells.select("node", F.col("node").alias("label")).distinct())
+    leaves, depth = None, 0
+    while True:
+        now = _open(cells, labels)
+        slots = F.when(F.col("size") <= LEAF, 1).otherwise(PIVOTS)
         pivots = (
-            now.withColumn("slot", F.explode(F.array(*[F.struct(F.lit(k), s) for k, s in enumerate(slots_of)])))
-            .groupBy("region", "slot")
-            .agg(F.min(F.struct("score", "node", "label", "n", "shared")).alias("p"))
-            .select("region", *[F.col(f"p.{a}").alias(b) for a, b in _PIVOT.items()])
-            .distinct()
-        )
-        most = F.least("shared", "p_shared", "n", "p_n")
-        seen = now.join(pivots, "region").withColumn("bound", most / (F.col("n") + F.col("p_n") - most))
-        other = (F.col("label") != F.col("p_label")) & (F.col("bound") >= threshold / 100 - 1e-9)
-        want = seen.where(other).select("node", "pivot", "n", "p_n").distinct()
-        p_sets = sets.select(F.col("node").alias("pivot"), F.col("elems").alias("p_elems"))
-        dist = scratch.write(
-            want.join(sets.drop("n"), "node")
-            .join(p_sets, "pivot")
-            .mapInArrow(_overlap, "node long, pivot long, n long, p_n long, both long")
-            .withColumn("linked", 100 * F.col("both") >= threshold * (F.col("n") + F.col("p_n") - F.col("both")))
-            .withColumn("d", 1 - F.col("both") / (F.col("n") + F.col("p_n") - F.col("both")))
-            .select("node", "pivot", "linked", "d"),
-            f"dist{slots}",
+            now.groupBy("cell", F.pmod(F.xxhash64("node", F.lit(depth)), slots).alias("slot"))
+            .agg(F.min(F.struct("score", "node", "n", "most", "label")).alias("p"))
+            .select("cell", F.col("p.node").alias("pivot"), F.col("p.n").alias("p_n"), F.col("p.most").alias("p_most"), F.col("p.label").alias("p_label"))
         )
-        links = dist.where("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-        if not links.isEmpty():
-            # Labels are joined by a link of their labels, so earlier components stay whole.
-            a = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
-            b = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-            between = cluster.checkpoint(
-                links.join(a, "a").join(b, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
-            )
-            ends = between.select(F.col("a").alias("node")).union(between.select("b")).distinct()
-            moved = components(ends.select("node", F.col("node").alias("label")), between)
-            labels = cluster.checkpoint(
-                labels.join(moved.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select(
-                    "node", F.coalesce("to", "label").alias("label")
-                )
-            )
-        # What a pivot P excludes: X links with no Y of another label where every such Y is beyond d(X, P) + r of P.
-        # An unmeasured pair has its bound as the least distance; only a measured distance excludes X.
+        seen = now.join(pivots, "cell")
+        # Where a cell is not to be parted, only what may link is measured.
+        may_link = (F.col("most") >= F.col("p_n")) & (F.col("p_most") >= F.col("n")) & (F.col("label") != F.col("p_label"))
+        want = seen.where((F.col("node") != F.col("pivot")) & ((F.col("size") > LEAF) | may_link))
+        dist = measured(want.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), f"dist{depth}")
+        before, labels = labels, _relabel(labels, dist.where("linked"))
+        at = dist.select(F.col("a").alias("node"), F.col("b").alias("pivot"), F.col("d").alias("p_d"))
         near = (
-            seen.drop("label")
-            .join(labels, "node")
-            .join(pivots.select("region", F.col("pivot").alias("node"), F.lit(True).alias("is_pivot")), ["region", "node"], "left")
-            .where("is_pivot is null")
-            .join(dist, ["node", "pivot"], "left")
-            .withColumn("at_least", F.coalesce("d", 1 - F.col("bound")))
-        )
-        by_label = near.groupBy("region", "pivot", "label").agg(F.min("at_least").alias("least"))
-        # The two nearest labels of a pivot: for each set, one of them is not its own.
-        one = by_label.groupBy("region", "pivot").agg(F.min(F.struct("least", "label")).alias("one"))
-        two = (
-            by_label.join(one, ["region", "pivot"])
-            .groupBy("region", "pivot")
-            .agg(F.first("one").alias("one"), F.min(F.when(F.col("label") != F.col("one.label"), F.col("least"))).alias("two"))
-        )
-        least = F.when(F.col("label") != F.col("one.label"), F.col("one.least")).otherwise(F.col("two"))
-        kept = (
-            near.join(two, ["region", "pivot"])
-            .withColumn("least", least)
-            .groupBy("region", "node", "n", "shared", "score")
-            .agg(F.max(F.coalesce(F.col("least").isNull() | (F.col("least") > F.col("d") + (r + 1e-9)), F.lit(False))).alias("out"))
-            .where("not out")
-            .drop("out")
-        )
-        alone = kept.groupBy("region").agg(F.count("*").alias("c")).where("c > 1").select("region")
-        active = scratch.write(kept.join(alone, "region"), f"active{4 * slots}")
-        for name in ("active", "dist"):
-            scratch.drop(f"{name}{slots}")
-        slots *= 4
-    return labels
+            _open(cells, before).drop("label", "d")
+            .join(pivots.select("cell", "pivot"), "cell")
+            .join(at, ["node", "pivot"], "left")
+            .groupBy("cell", "node", "n", "score", "most", "homes", "size")
+            .agg(F.collect_list(F.struct("p_d", "pivot")).alias("ds"), F.max(F.col("node") == F.col("pivot")).alias("is_pivot"))
+            .where("not is_pivot")  # a pivot has met the whole cell
+        )
+        near = scratch.write(near.withColumn("first", F.array_min(F.transform("ds", lambda x: F.struct(x["pivot"], x["p_d"]))))
+                             .withColumn("home", F.array_min("ds")), f"near{depth}")
+        wide = near.where(F.col("size") > LEAF)
+        parted = wide.withColumn("to", F.explode(F.filter("ds", lambda x: x["p_d"] - F.col("home.p_d") <= 2 * r + 1e-9)))
+        fine = (
+            parted.groupBy("cell", "size", "to.pivot").count()
+            .groupBy("cell", "size").agg(F.sum("count").alias("all"), F.max("count").alias("one"))
+            .where((F.col("all") <= ALL_SHARE * F.col("size")) & (F.col("one") <= ONE_SHARE * F.col("size")))
+            .select("cell")
+        )
+        keep = ["cell", "node", "n", "score", "most", "homes"]
+        whole = near.join(fine, "cell", "left_anti").select(*keep, F.col("first.p_d").alias("d"), F.lit(depth).alias("depth"))
+        leaves = whole if leaves is None else leaves.union(whole)
+        child = parted.join(fine, "cell").select(
+            F.xxhash64("cell", "to.pivot", F.lit(depth)).alias("cell"), "node", "n", "score", "most",
+            (F.col("homes") * 2 + (F.col("to.pivot") == F.col("home.pivot")).cast("long")).alias("homes"), F.col("to.p_d").alias("d"),
+        )
+        depth += 1
+        cells = scratch.write(child, f"cells{depth}")
+        if cells.isEmpty():
+            break
+    # In a leaf cell, what does not have its commonest label meets what has another label.
+    rest = _open(leaves, labels, "depth")
+    common = rest.groupBy("cell", "label").count().groupBy("cell").agg(F.max(F.struct("count", "label")).alias("m"))
+    blocks = F.ceil(F.col("size") / BLOCK_MEMBERS).cast("long")
+    odd = rest.join(common, "cell").where("label <> m.label").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    odd = odd.select("cell", "block", *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "most", "homes", "d", "label")])
+    all_homes = F.expr("shiftleft(1L, depth) - 1")
+    pairs = (
+        rest.withColumn("block", F.pmod(F.xxhash64("node"), blocks))
+        .join(odd, ["cell", "block"])
+        .where("label <> o_label and most >= o_n and o_most >= n")
+        .where(F.coalesce(F.abs(F.col("d") - F.col("o_d")) <= r + 1e-9, F.lit(True)))
+        .where(F.col("homes").bitwiseOR(F.col("o_homes")) == all_homes)
+        .select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b"))
+        .distinct()
+    )
+    return _relabel(labels, measured(pairs, "last").where("linked"))
+
+
+def _open(cells: DataFrame, labels: DataFrame, *also: str) -> DataFrame:
+    """The members, with label and size, of cells of several labels; without those for which no member has a fitting size."""
+    now = cells.join(labels, "node")
+    spread = (
+        now.groupBy("cell")
+        .agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("n").alias("lo"), F.max("most").alias("hi"), F.count("*").alias("size"))
+        .where("l0 <> l1")
+    )
+    return now.join(spread, "cell").where("most >= lo and n <= hi").select(*cells.columns, "label", "size")

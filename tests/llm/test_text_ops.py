@@ -164,6 +164,39 @@ def test_jaccard_two_versions_two_footers(spark):
     assert want[:18] == [0] * 18 and len(set(want)) == 81
 
 
+def labels_by_force(sets, threshold=75):
+    label = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if label[i] != label[j] and 100 * both >= threshold * (len(sets[i]) + len(sets[j]) - both):
+                low, high = sorted((label[i], label[j]))
+                label = [low if v == high else v for v in label]
+    return label
+
+
+def test_cells_join_exactly(spark, monkeypatch):
+    """Chains and loose copies that share one cell: it is parted by windows many times, and no link is lost."""
+    import numpy as np
+
+    monkeypatch.setattr(jaccard, "LEAF", 8)
+    rng = random.Random(11)
+    sets = [{5, *range(10_000 * c + j * (8 + 4 * c), 10_000 * c + j * (8 + 4 * c) + 90)} for c in range(5) for j in range(30)]
+    core = [rng.randrange(1 << 40) for _ in range(90)]
+    for _ in range(80):
+        s = core.copy()
+        for k in rng.sample(range(90), rng.randrange(25)):
+            s[k] = rng.randrange(1 << 41, 1 << 42)
+        sets.append({5, *s})
+    sets += [{5, *range(500_000 + 100 * g + k, 500_000 + 100 * g + k + 20)} for g in range(30) for k in range(2)]
+    packed = [np.sort(np.array(list(s), np.int64)).tobytes() for s in sets]
+    rows = [(i, len(s), p, [5], rng.random()) for i, (s, p) in enumerate(zip(sets, packed, strict=True))]
+    nodes = spark.createDataFrame(rows, "node long, n long, elems binary, sigs array<long>, score double")
+    got = {r.node: r.label for r in jaccard.components_of_sets(nodes).collect()}
+    want = labels_by_force(sets)
+    assert len(set(zip(want, map(got.get, range(len(sets))), strict=True))) == len(set(want)) == len(set(got.values()))
+
+
 def test_jaccard_chain_and_null_ids(spark):
     rng = random.Random(3)
     w = [f"t{i}" for i in range(120)]

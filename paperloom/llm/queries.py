@@ -19,7 +19,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = rules.quality_rules(table(spark, sf_dir, "documents"))
+    judged = rules.judged(table(spark, sf_dir, "documents"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return judged.select("doc_id", *names)
 
@@ -67,10 +67,10 @@ def op3_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edited crops of the tile images of every vector whose id is divisible by 50, against all vectors' images."""
+    """Edited crops of the tile images of every vector whose id is divisible by 50, against all vectors' images: a row each."""
     vectors = table(spark, sf_dir, "embeddings")
     asked = images.edited(images.tiles(vectors.where("vec_id % 50 = 0")))
-    return images.find_copies(asked, images.tiles(vectors))
+    return images.best_copies(asked, images.tiles(vectors))
 
 
 def op6_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,15 +160,16 @@ WITH t AS (
     SELECT doc_id, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS covered FROM g)
   GROUP BY doc_id
 ), l AS (
-  SELECT doc_id, source, text,
-         trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS line
-  FROM (SELECT doc_id, source, text, unnest(lines) AS line FROM t)
+  SELECT doc_id, source, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS line
+  FROM (SELECT doc_id, source, unnest(lines) AS line FROM t)
+), hosts AS (
+  SELECT source, least(greatest(5.0, count(*) * 0.1), greatest(50.0, count(*) * 0.01), 1000.0) AS most FROM t GROUP BY source
 ), common AS (
-  SELECT source, line FROM l GROUP BY source, line
-  HAVING count(DISTINCT text) > 50
-     AND count(DISTINCT text) > 0.01 * (SELECT count(DISTINCT text) FROM t WHERE t.source = l.source)
+  SELECT l.source, line FROM l JOIN hosts ON l.source IS NOT DISTINCT FROM hosts.source
+  GROUP BY l.source, line, most HAVING count(DISTINCT doc_id) > most
 ), cut AS (
-  SELECT doc_id, sum(len(string_split(line, ' '))) AS n_cut FROM l SEMI JOIN common USING (source, line) GROUP BY doc_id
+  SELECT doc_id, sum(len(string_split(l.line, ' '))) AS n_cut
+  FROM l JOIN common c ON l.source IS NOT DISTINCT FROM c.source AND l.line = c.line GROUP BY doc_id
 ), m AS (
   SELECT doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
          length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,

@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import cluster
+
 BLANK = r"[\x20\x09-\x0D]+"
+WORD = r"[^\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
-#: A line goes where more distinct texts of its host hold it than both limits allow.
-MAX_TEXTS, MAX_SHARE = 50, 0.01
+#: A line goes where more documents of its host hold it than the least of these: a count with a share for
+#: small hosts, the same for large ones, and a count for any.
+SMALL, LARGE, ANY = (5, 0.1), (50, 0.01), 1000
 #: A document is depleted when less than this share of its words stays.
 MIN_KEPT_SHARE = 0.2
-_INDEX_BITS = 20
+METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def words_of(text: Column) -> Column:
@@ -20,83 +24,39 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANK), "")
 
 
-def _packed_windows(words: Column, n: Column) -> tuple[Column, int]:
-    """A text's 3-word windows, sorted: high bits of their hash, with their place in the low bits.
+def base_metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long); needs no shuffle.
 
-    Windows of equal high bits are then neighbours, to be compared word for word.
+    Null, empty and blank texts have zeros.  3-word windows are told apart by
+    a 64-bit hash within their text, whatever its length.
     """
-    low = (1 << _INDEX_BITS) - 1
-
-    def gram(i):
-        # element_at counts from 1, as places do here
-        return F.xxhash64(F.element_at(words, i), F.element_at(words, i + 1), F.element_at(words, i + 2))
-
-    packed = F.sort_array(
-        F.transform(F.sequence(F.lit(1), n - 2), lambda i: gram(i).bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long")))
-    )
-    return packed, low
-
-
-def base_metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long); needs no shuffle."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_replace(x, BLANK, "") != "")
-    out = docs.withColumns({"_pl_words": words_of(F.col(text_col)), "_pl_lines": lines}).withColumns(
-        {
-            "n_words": F.size("_pl_words").cast("long"),
-            "word_chars": F.length(F.regexp_replace(text, BLANK, "")).cast("long"),
-            "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-            "n_dup_lines": (F.size("_pl_lines") - F.size(F.array_distinct("_pl_lines"))).cast("long"),
-        }
-    )
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
+    out = docs.withColumns({"_pl_words": words_of(F.col(text_col)), "_pl_lines": lines})
     words, n = F.col("_pl_words"), F.size("_pl_words")
-    grams, low = _packed_windows(words, n)
-    # Texts of 2^20 words and more have places beyond the low bits; they sort as structs.
-    wide = F.array_sort(
-        F.transform(
-            F.sequence(F.lit(1), n - 2),
-            lambda i: F.struct(
-                F.xxhash64(F.element_at(words, i), F.element_at(words, i + 1), F.element_at(words, i + 2)).alias("h"),
-                i.alias("i"),
-            ),
-        )
+    grams = F.transform(
+        F.sequence(F.lit(1), n - 2), lambda i: F.xxhash64(F.element_at(words, i), F.element_at(words, i + 1), F.element_at(words, i + 2))
     )
     none = F.array().cast("array<bigint>")
     out = out.withColumns(
         {
-            "_pl_grams": F.when((n >= 3) & (n <= low), grams).otherwise(none),
-            "_pl_wide": F.when(n > low, wide),
+            "n_words": n.cast("long"),
+            "word_chars": F.length(F.array_join(words, "")).cast("long"),
+            "n_symbols": (F.size(F.split(text, f"[{SYMBOLS}]")) - 1).cast("long"),
+            "n_dup_lines": (F.size("_pl_lines") - F.size(F.array_distinct("_pl_lines"))).cast("long"),
+            "_pl_grams": F.when(n >= 3, grams).otherwise(none),
         }
-    )
-    g, w = F.col("_pl_grams"), F.col("_pl_wide")
-    size = F.size("_pl_grams")
-
-    def same(x, y):
-        i, j = (x.bitwiseAND(F.lit(low))).cast("int"), (y.bitwiseAND(F.lit(low))).cast("int")
-        return (
-            (F.shiftright(x, _INDEX_BITS) == F.shiftright(y, _INDEX_BITS))
-            & (F.element_at(words, i) == F.element_at(words, j))
-            & (F.element_at(words, i + 1) == F.element_at(words, j + 1))
-            & (F.element_at(words, i + 2) == F.element_at(words, j + 2))
-        )
-
+    ).drop("_pl_words", "_pl_lines")
+    # Most texts repeat no window: only the others are sorted.
+    g = F.col("_pl_grams")
+    placed = F.array_sort(F.transform(g, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    out = out.withColumn("_pl_sorted", F.when(F.size(F.array_distinct(g)) < F.size(g), placed)).drop("_pl_grams")
+    s = F.col("_pl_sorted")
     hit = F.filter(
-        g,
-        lambda x, k: ((k > 0) & same(x, F.get(g, k - 1))) | ((k < size - 1) & same(x, F.get(g, k + 1))),
-    )
-    hit = F.transform(hit, lambda x: x.bitwiseAND(F.lit(low)).cast("int"))
-    wide_hit = F.transform(
-        F.filter(
-            w,
-            lambda x, k: ((k > 0) & (x["h"] == F.get(w, k - 1)["h"]))
-            | ((k < F.size(w) - 1) & (x["h"] == F.get(w, k + 1)["h"])),
-        ),
-        lambda x: x["i"],
+        s, lambda x, k: (x["h"] == F.get(s, k - 1)["h"]) | ((k < F.size(s) - 1) & (x["h"] == F.get(s, k + 1)["h"]))
     )
-    out = out.withColumn("_pl_hit", F.when(w.isNull(), hit).otherwise(wide_hit))
-    cover = F.array_distinct(F.flatten(F.transform("_pl_hit", lambda i: F.array(i, i + 1, i + 2))))
-    out = out.withColumn("n_repeat_words", F.size(cover).cast("long"))
-    return out.drop("_pl_words", "_pl_lines", "_pl_grams", "_pl_wide", "_pl_hit")
+    cover = F.array_distinct(F.flatten(F.transform(hit, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))
+    return out.withColumn("n_repeat_words", F.coalesce(F.size(cover), F.lit(0)).cast("long")).drop("_pl_sorted")
 
 
 def base_failed() -> Column:
@@ -104,46 +64,70 @@ def base_failed() -> Column:
 
 
 def normal_line(line: Column) -> Column:
-    """A line for comparison: lower case, digits as 0, single spaces."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"\d+", "0"), BLANK, " "))
+    """A line for comparison: lower case, single spaces; digits stay, as they may be all that tells two lines apart."""
+    return F.trim(F.regexp_replace(F.lower(line), BLANK, " "))
 
 
-def line_frequency(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    host_col: str = "source",
-    max_texts: int = MAX_TEXTS,
-    max_share: float = MAX_SHARE,
+def line_limit(documents: Column, small: tuple = SMALL, large: tuple = LARGE, any_host: int = ANY) -> Column:
+    """Documents of a host that may hold a line, for a host of so many."""
+    count, share = zip(small, large, strict=True)
+    return F.least(*[F.greatest(F.lit(float(c)), documents * p) for c, p in zip(count, share, strict=True)], F.lit(float(any_host)))
+
+
+def _keys(id_col: str, text_col: str, host_col: str) -> dict[str, Column]:
+    """Two hashes that name a row: equal rows have equal ones and are judged alike."""
+    own = [x for c in (id_col, host_col, text_col) for x in (F.col(c).cast("string"), F.col(c).isNull())]
+    return {"_pl_1": F.xxhash64(*own), "_pl_2": F.xxhash64(F.lit(1), *own[::-1])}
+
+
+def judged(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits
 ) -> DataFrame:
-    """(_pl_id, _pl_text, _pl_host, _pl_cut): hashes of each document's lines above the limits.
+    """A row for each row of docs: _pl_1, _pl_2, id_col, the base metrics, n_left, base_failed, kept, _pl_cut.
+
+    Lines are normalised and hashed; a row is one document, and counts once
+    for a line however often it holds it.  A line of more documents of its
+    host than ``line_limit`` allows is cut: _pl_cut holds the hashes of a
+    document's cut lines, null for none.  Rules as in ``quality_rules``.
 
-    Lines are normalised and hashed.  A document is counted by its text, so
-    exact copies of a page do not make its lines boilerplate.  A line is over
-    the limits when more than ``max_texts`` distinct texts of its host, and
-    more than ``max_share`` of them, hold it.
+    Plan: one scan of the texts writes metrics and line hashes; counts by
+    (host, line) and the cut lines' words come from that small table.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(
-        F.col(id_col).alias("_pl_id"), F.xxhash64(text).alias("_pl_text"), F.col(host_col).alias("_pl_host"), text.alias("t")
+    rows = docs.select(
+        F.col(id_col).alias("_pl_id"), F.col(text_col).alias("_pl_text"), F.col(host_col).alias("_pl_host"), *[c.alias(n) for n, c in _keys(id_col, text_col, host_col).items()]
     )
-    lines = (
-        keyed.select("_pl_id", "_pl_text", "_pl_host", F.explode(F.split("t", "\n")).alias("line"))
-        .withColumn("line", normal_line(F.col("line")))
-        .where("line <> ''")
-        .select("_pl_id", "_pl_text", "_pl_host", F.xxhash64("line").alias("h"))
+    line = lambda x: F.struct(F.xxhash64(normal_line(x)).alias("h"), F.size(words_of(x)).alias("w"))
+    lines = F.filter(F.transform(F.split(F.coalesce("_pl_text", F.lit("")), "\n"), line), lambda x: x["w"] > 0)
+    seen = base_metrics(rows.withColumn("_pl_lines_h", lines), "_pl_text").drop("_pl_text")
+    seen = cluster.Scratch(docs.sparkSession).write(seen, "seen")
+    hosts = seen.groupBy("_pl_host").agg(line_limit(F.count("*"), **limits).alias("most"))
+    held = (
+        seen.select("_pl_host", F.explode(F.array_distinct(F.transform("_pl_lines_h", lambda x: x["h"]))).alias("h"))
+        .groupBy("_pl_host", "h")
+        .agg(F.count("*").alias("held"))
     )
-    hosts = keyed.groupBy("_pl_host").agg(F.countDistinct("_pl_text").alias("texts"))
     common = (
-        lines.groupBy("_pl_host", "h")
-        .agg(F.countDistinct("_pl_text").alias("held"))
-        .where(F.col("held") > max_texts)
-        .join(hosts.withColumnRenamed("_pl_host", "_pl_of"), F.col("_pl_host").eqNullSafe(F.col("_pl_of")))
-        .where(F.col("held") > max_share * F.col("texts"))
+        held.join(hosts.withColumnRenamed("_pl_host", "_pl_of"), F.col("_pl_host").eqNullSafe(F.col("_pl_of")))
+        .where("held > most")
         .select(F.col("_pl_host").alias("_pl_of"), F.col("h").alias("_pl_h"))
     )
-    hit = lines.join(common, F.col("_pl_host").eqNullSafe(F.col("_pl_of")) & (F.col("h") == F.col("_pl_h")))
-    return hit.groupBy("_pl_id", "_pl_text", "_pl_host").agg(F.collect_set("h").alias("_pl_cut"))
+    hit = (
+        seen.select("_pl_1", "_pl_2", "_pl_host", F.posexplode("_pl_lines_h").alias("at", "e"))
+        .select("_pl_1", "_pl_2", "_pl_host", "at", "e.h", "e.w")
+        .join(common, F.col("_pl_host").eqNullSafe(F.col("_pl_of")) & (F.col("h") == F.col("_pl_h")))
+        .select("_pl_1", "_pl_2", "at", "h", "w")
+        .distinct()  # repeated rows have one key
+        .groupBy("_pl_1", "_pl_2")
+        .agg(F.sum("w").alias("_pl_gone"), F.collect_set("h").alias("_pl_cut"))
+    )
+    return (
+        seen.join(hit, ["_pl_1", "_pl_2"], "left")
+        .withColumn("n_left", F.col("n_words") - F.coalesce("_pl_gone", F.lit(0)))
+        .withColumn("base_failed", base_failed())
+        .withColumn("kept", ~F.col("base_failed") & (F.col("n_left") >= MIN_KEPT_SHARE * F.col("n_words")))
+        .select("_pl_1", "_pl_2", F.col("_pl_id").alias(id_col), *METRICS, "n_left", "base_failed", "kept", "_pl_cut")
+    )
 
 
 def quality_rules(
@@ -155,31 +139,18 @@ def quality_rules(
     than half of them in repeated 3-word windows.  Of the others, a document
     is rejected when under ``MIN_KEPT_SHARE`` of its words are left in
     clean_text, the text without its host's over-frequent lines (see
-    ``line_frequency``); n_left counts those words.  Null and blank texts have
-    no words and fail.  A null host is a host of its own; null ids and
-    repeated rows are judged like any other row, and repeated rows alike.
-    Input columns of the added names are replaced.
+    ``judged``); n_left counts those words.  Null and blank texts have no
+    words and fail.  A null host is a host of its own; null ids and repeated
+    rows are judged like any other row, and repeated rows alike, each a
+    document.  Input columns of the added names are replaced.
     """
-    added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_left", "base_failed", "kept", "clean_text")
+    added = (*METRICS, "n_left", "base_failed", "kept", "clean_text")
     docs = docs.drop(*added)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = base_metrics(docs, text_col).withColumns(
-        {"_k_id": F.col(id_col), "_k_text": F.xxhash64(text), "_k_host": F.col(host_col)}
-    )
-    on = [F.col(f"_k_{c}").eqNullSafe(F.col(f"_pl_{c}")) for c in ("id", "text", "host")]
-    rest = F.filter(
-        F.split(text, "\n"), lambda x: ~F.coalesce(F.array_contains("_pl_cut", F.xxhash64(normal_line(x))), F.lit(False))
-    )
+    found = judged(docs, id_col, text_col, host_col, **limits).drop(id_col).dropDuplicates(["_pl_1", "_pl_2"])
+    rest = F.filter(F.split(text_col, "\n"), lambda x: ~F.array_contains("_pl_cut", F.xxhash64(normal_line(x))))
     return (
-        keyed.join(line_frequency(docs, id_col, text_col, host_col, **limits), on, "left")
+        docs.withColumns(_keys(id_col, text_col, host_col))
+        .join(found, ["_pl_1", "_pl_2"])
         .withColumn("clean_text", F.when(F.col("_pl_cut").isNull(), F.col(text_col)).otherwise(F.array_join(rest, "\n")))
-        .withColumn(
-            "n_left",
-            F.when(F.col("_pl_cut").isNull(), F.col("n_words"))
-            .otherwise(F.size(words_of(F.col("clean_text"))))
-            .cast("long"),
-        )
-        .withColumn("base_failed", base_failed())
-        .withColumn("kept", ~F.col("base_failed") & (F.col("n_left") >= MIN_KEPT_SHARE * F.col("n_words")))
-        .drop("_k_id", "_k_text", "_k_host", "_pl_id", "_pl_text", "_pl_host", "_pl_cut")
+        .select(*docs.columns, *added)
     )

@@ -228,13 +228,38 @@ def test_rules(spark, docs):
 def test_rules_cut_frequent_lines(spark):
     body = lambda k: " ".join(f"u{k}x{j}" for j in range(60))
     menu = " ".join(f"m{j}" for j in range(20))
-    rows = [(k, f"{menu} {k}\n{body(k)}", "h") for k in range(6)]
-    rows += [(10, f"{menu} 7\n" * 30 + body(10), "h"), (11, f"{menu} 8\n{body(11)}", None), (11, f"{menu} 8\n{body(11)}", None)]
+    rows = [(k, f"{menu.upper()}\n{body(k)}", "h") for k in range(6)]
+    rows += [(10, f"{menu}\n" * 30 + body(10), "h"), (11, f"{menu} \n{body(11)}", None), (11, f"{menu} \n{body(11)}", None)]
     df = spark.createDataFrame(rows, "doc_id int, text string, source string")
-    got = {r.doc_id: r for r in rules.quality_rules(df, max_texts=3, max_share=0.1).collect()}
+    got = {r.doc_id: r for r in rules.quality_rules(df, small=(3, 0.1), large=(3, 0.1)).collect()}
     assert got[0].clean_text == body(0) and got[0].n_left == 60 and got[0].kept
     assert got[10].n_left == 60 and not got[10].kept
     assert got[11].clean_text == rows[-1][1] and got[11].kept
+    assert rules.quality_rules(df).count() == len(rows)
+
+
+def test_default_limits_reject_depleted_documents_of_small_and_hot_hosts(spark):
+    """A menu of eight lines in most documents of a host goes; documents with little else are rejected."""
+    menu = "\n".join(" ".join(f"m{i}word{j}" for j in range(12)) for i in range(8))
+    body = lambda k, n: " ".join(f"u{k}x{j}" for j in range(n))
+    rows = [(k, f"{menu}\n{body(k, 10 if k % 2 else 90)}", "small") for k in range(8)]
+    rows += [(1000 + k, f"{menu}\n{body(k, 10 if k % 2 else 90)}" if k < 60 else body(k, 60), "hot") for k in range(900)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    got = {r.doc_id: r for r in rules.judged(df).collect()}
+    for i, t, host in rows:
+        has_menu = "m0word0" in t
+        n = len(words(t))
+        left = n - 96 if has_menu else n
+        assert (got[i].n_words, got[i].n_left, got[i].kept) == (n, left, left >= 0.2 * n), (i, host)
+    assert not got[1].kept and got[0].kept and not got[1001].kept and got[1000].kept
+
+
+def test_rules_tell_nulls_apart_and_texts_of_over_a_million_words(spark):
+    rows = [(None, "x " * 60, "h"), (7, "x " * 60, None), (8, None, "h"), (9, " ".join(f"w{j}" for j in range(1_100_000)) + " w1 w2 w3", "h")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    got = {r.doc_id: r for r in rules.quality_rules(df.drop("_").withColumn("kept", F.lit("clash"))).collect()}
+    assert len(got) == 4 and got[None].source == "h" and got[7].source is None and got[8].n_words == 0
+    assert got[9].n_words == 1_100_003 and got[9].n_repeat_words == 6 and got[9].kept and got[8].base_failed
 
 
 def test_shards(spark, docs):

@@ -17,9 +17,8 @@ def _with_text(docs: DataFrame, like: DataFrame, text: str) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; of the others the lines over their host's limits go."""
-    judged = rules.quality_rules(docs).select(*docs.columns, "clean_text", "kept")
-    judged = cluster.Scratch(spark).write(judged, "judged")  # a filter on the nested metrics would repeat them
-    return _with_text(judged.where("kept"), docs, "clean_text")
+    judged = rules.quality_rules(docs).where("kept").select(*docs.columns, "clean_text")
+    return _with_text(judged, docs, "clean_text")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,8 +32,9 @@ def trim_all(col: Column) -> Column:
 
 
 def fold(col: Column) -> Column:
-    """Lower case without Latin diacritics."""
-    return F.translate(F.lower(col), "".join(_FOLD), "".join(_FOLD.values()))
+    """Lower case without Latin diacritics; a text of bytes alone has none."""
+    low = F.lower(col)
+    return F.when(F.octet_length(col) == F.length(col), low).otherwise(F.translate(low, "".join(_FOLD), "".join(_FOLD.values())))
 
 
 def unique_strings(items: Column) -> Column:
@@ -104,6 +105,21 @@ def safe_filename(title: Column, extension: str, default: str = "paper") -> Colu
     return F.concat(F.coalesce(F.nullif(F.trim(x), F.lit("")), F.lit(default)), F.lit(f".{extension}"))
 
 
+def attachment_errors(filename: Column, media_type: Column) -> Column:
+    """What a file name or a media type breaks: a bare name of 1 to 255 bytes, and a lower-case type/subtype of 3 to 127."""
+    name = F.octet_length(filename).between(1, 255) & ~filename.rlike(r"[/\\\p{Cntrl}]") & ~filename.isin(".", "..")
+    kind = F.octet_length(media_type).between(3, 127) & media_type.rlike(r"^[a-z0-9!#$&^_.+-]+/[a-z0-9!#$&^_.+-]+$")
+    bad = lambda ok, text: F.when(~F.coalesce(ok, F.lit(False)), F.lit(text))
+    return F.filter(F.array(bad(name, "filename is invalid"), bad(kind, "mediaType is invalid")), lambda e: e.isNotNull())
+
+
+def safe_archive_path(path: Column) -> Column:
+    """Whether an archive member stays in its folder: relative, forward slashes, no empty, . or .. part, no drive or control character."""
+    parts = F.split(path, "/")
+    ok = ~path.rlike(r"[\\:\p{Cntrl}]") & ~F.exists(parts, lambda x: x.isin("", ".", ".."))
+    return F.coalesce(ok, F.lit(False))
+
+
 def media_extension(media_type: Column) -> Column:
     """File extension of an image media type; null for others."""
     kinds = {"image/png": "png", "image/jpeg": "jpg", "image/gif": "gif", "image/webp": "webp"}

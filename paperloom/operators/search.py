@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import fold
+from ..functions.scalars import _FOLD, fold
 
 CURSOR = "tpq1."
 K1, B = 1.2, 0.75
@@ -78,36 +79,128 @@ def search(
     return bank if hit is None else bank.where(hit)
 
 
+def document_fields(subjects: str | None = "subjects", tags: str | None = "tags", source: str | None = "source") -> dict[str, Column]:
+    """The searched fields of a question: text, source, and its subjects and tags each joined by a space; null is empty."""
+    out = {"text": F.coalesce("text", F.lit(""))}
+    if source:
+        out["source"] = F.coalesce(source, F.lit(""))
+    for name in (subjects, tags):
+        if name:
+            out[name] = F.coalesce(F.array_join(name, " "), F.lit(""))
+    return out
+
+
+def index(bank: DataFrame, id_col: str, fields: Mapping[str, Column]) -> DataFrame:
+    """(token, id, field, places, size): where each token stands in each field, with the row's tokens in all fields.
+
+    Write it sorted by token (``write_index``), and a search reads only the
+    row groups of its phrase's tokens.  A common token has a row for each
+    document, spread over many files.
+    """
+    rows = bank.select(F.col(id_col).alias("id"), *[F.split(F.trim(token_text(c)), " ").alias(f"f{k}") for k, c in enumerate(fields.values())])
+    lists = [F.filter(F.col(f"f{k}"), lambda x: x != "") for k in range(len(fields))]
+    sized = rows.select("id", F.array(*lists).alias("l"), sum((F.size(x) for x in lists), F.lit(0)).alias("size"))
+    return (
+        sized.select("id", "size", F.posexplode("l").alias("field", "tokens"))
+        .select("id", "size", "field", F.posexplode("tokens").alias("place", "token"))
+        .groupBy("token", "id", "field", "size")
+        .agg(F.array_sort(F.collect_list("place")).alias("places"))
+    )
+
+
+def write_index(found: DataFrame, path: str) -> None:
+    """The index by ranges of (token, id), so that hot tokens span files and rare ones share one."""
+    found.repartitionByRange("token", "id").sortWithinPartitions("token", "id").write.mode("overwrite").parquet(path)
+
+
+def phrase_tokens(phrase: str) -> list[str]:
+    """The folded tokens of a phrase, in order."""
+    low = "".join(_FOLD.get(c, c) for c in phrase.lower())
+    return [t for t in re.split(r"[\W_]+", low) if t]
+
+
+def index_hits(found: DataFrame, phrase: str) -> DataFrame:
+    """(id, size, hits): rows of an index that hold the phrase in one field, and how often over all fields."""
+    at: dict[str, list[int]] = {}
+    for k, t in enumerate(phrase_tokens(phrase)):
+        at.setdefault(t, []).append(k)
+    offsets = F.create_map(*[x for t, ks in at.items() for x in (F.lit(t), F.array(*map(F.lit, ks)))]) if at else F.lit(None)
+    if not at:
+        return found.where(F.lit(False)).select("id", "size", F.lit(0).cast("long").alias("hits"))
+    begins = F.flatten(F.transform("places", lambda p: F.transform(offsets[F.col("token")], lambda k: p - k)))
+    return (
+        found.where(F.col("token").isin(*at))
+        .select("id", "size", "field", F.explode(begins).alias("begin"))
+        .groupBy("id", "size", "field", "begin")
+        .count()
+        .where(F.col("count") == sum(map(len, at.values())))
+        .groupBy("id", "size")
+        .agg(F.count("*").alias("hits"))
+    )
+
+
+def scan_hits(bank: DataFrame, id_col: str, fields: Mapping[str, Column], phrase: str) -> DataFrame:
+    """(id, size, hits) for every row of a bank without an index, in one scan; hits is 0 where the phrase is not."""
+    tokens = phrase_tokens(phrase)
+    gap, edge = r"[^\p{L}\p{N}]+", r"(?![\p{L}\p{N}])"
+    # What follows the first token is looked ahead at, so that phrases may overlap.
+    pattern = rf"(?<![\p{{L}}\p{{N}}]){tokens[0]}(?={''.join(gap + t for t in tokens[1:])}{edge})" if tokens else "$^"
+    counts = [F.struct(F.regexp_count(fold(c), F.lit(pattern)).alias("hits"), F.regexp_count(c, F.lit(r"[\p{L}\p{N}]+")).alias("size")) for c in fields.values()]
+    total = lambda name: F.aggregate("_c", F.lit(0).cast("long"), lambda a, x: a + x[name]).alias(name)
+    return bank.select(F.col(id_col).alias("id"), F.array(*counts).alias("_c")).select("id", total("size"), total("hits"))
+
+
+def score_hits(hits: DataFrame, stats: DataFrame) -> DataFrame:
+    """(id, score) of rows with hits; the lower the better, as of full-text engines that rank one phrase.
+
+    score = -idf * hits * (K1 + 1) / (hits + K1 * (1 - B + B * size / mean size)), where idf is
+    ln((N - n + 0.5) / (n + 0.5)), or 0.000001 where that is not positive, N rows and n of them with hits.
+    stats is one row (docs, mean_size, held): N, the mean size and n.
+    """
+    idf = F.log((F.col("docs") - F.col("held") + 0.5) / (F.col("held") + 0.5))
+    joined = hits.where("hits > 0").crossJoin(F.broadcast(stats))  # one row of statistics
+    f = F.col("hits")
+    score = -F.when(idf > 0, idf).otherwise(1e-6) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("size") / F.col("mean_size")))
+    return joined.select("id", score.alias("score"))
+
+
+def ranked(bank: DataFrame, id_col: str, fields: Mapping[str, Column], phrase: str, found: DataFrame | None = None) -> DataFrame:
+    """Rows of the bank that hold the phrase, with their score; statistics are over the whole bank, filters come after.
+
+    With an index (``found``) only the phrase's tokens are read for the hits.
+    """
+    if found is None:
+        # Grouped by the unique id, so that one scan and one exchange of three small columns serve statistics and hits.
+        hits = scan_hits(bank, id_col, fields, phrase).groupBy("id").agg(F.max("size").alias("size"), F.max("hits").alias("hits"))
+        stats = hits.agg(F.count("*").alias("docs"), F.avg("size").alias("mean_size"), F.count_if(F.col("hits") > 0).alias("held"))
+    else:
+        hits = index_hits(found, phrase)
+        sizes = found.groupBy("id").agg(F.first("size").alias("size"))
+        stats = sizes.agg(F.count("*").alias("docs"), F.avg("size").alias("mean_size")).crossJoin(hits.agg(F.count("*").alias("held")))
+    scored = score_hits(hits, stats)
+    return bank.join(scored, bank[id_col] == scored["id"]).select(*[bank[c] for c in bank.columns], "score")
+
+
 def bm25(bank: DataFrame, terms: Sequence[str], text_col: str = "text") -> DataFrame:
     """Rows that hold a term, with Okapi BM25 score (k1 1.2, b 0.75, idf ln(1 + (N - n + 0.5) / (n + 0.5)))."""
-    counted = bank.withColumn("_tokens", token_text(F.col(text_col)))
-    size = F.length("_tokens") - F.length(F.replace("_tokens", F.lit(" "), F.lit(""))) - 1
-    counted = counted.withColumn("_len", F.greatest(size, F.lit(0)))
-    names = []
-    for i, term in enumerate(terms):
-        hits = F.size(F.filter(F.split("_tokens", " "), _equals(token_text_of(term))))
-        names.append(f"_tf{i}")
-        counted = counted.withColumn(f"_tf{i}", hits)
+    folded = fold(F.coalesce(F.col(text_col), F.lit("")))
+    terms = [token for t in terms for token in phrase_tokens(t)]
+    count = lambda t: F.regexp_count(folded, F.lit(rf"(?<![\p{{L}}\p{{N}}]){t}(?![\p{{L}}\p{{N}}])"))
+    size = F.regexp_count(F.col(text_col), F.lit(r"[\p{L}\p{N}]+"))
+    # An array of one, opened again: later steps read the counts and never repeat them.
+    made = F.array(F.struct(F.coalesce(size, F.lit(0)).alias("_len"), *[count(t).alias(f"_tf{i}") for i, t in enumerate(terms)]))
+    counted = bank.select("*", F.inline(made))
+    names = [f"_tf{i}" for i in range(len(terms))]
     stats = counted.agg(
         F.count("*").alias("_n"),
         F.avg("_len").alias("_avg"),
         *[F.count_if(F.col(n) > 0).alias(f"_df{i}") for i, n in enumerate(names)],
     )
-    joined = counted.crossJoin(F.broadcast(stats))  # one row of statistics
+    held = reduce(lambda x, y: x | y, [F.col(n) > 0 for n in names])
+    joined = counted.where(held).crossJoin(F.broadcast(stats))  # one row of statistics
     score = F.lit(0.0)
     for i, n in enumerate(names):
         tf, df = F.col(n), F.col(f"_df{i}")
         idf = F.log(1 + (F.col("_n") - df + 0.5) / (df + 0.5))
         score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
-    held = F.lit(False)
-    for n in names:
-        held = held | (F.col(n) > 0)
-    return joined.where(held).withColumn("score", score).select(*bank.columns, "score")
-
-
-def _equals(wanted: Column):
-    return lambda x: x == wanted
-
-
-def token_text_of(term: str) -> Column:
-    return F.trim(token_text(F.lit(term)))
+    return joined.withColumn("score", score).select(*bank.columns, "score")

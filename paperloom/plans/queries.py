@@ -76,6 +76,40 @@ def search_ranked(spark, d):
     return found.select("doc_id", F.round("score", 6).alias("score"))
 
 
+# The fields are text, source and lang, as a bank's text, source and one tag; "size" counts the tokens of all.
+RANKED = f"""
+WITH t AS (SELECT *, list_filter(string_split({TOKENS}, ' '), lambda x: x <> '') AS w FROM documents),
+h AS (SELECT doc_id, source, lang, n_chars, len(w) + 2 AS size,
+             len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the')) AS hits FROM t),
+s AS (SELECT count(*) AS docs, avg(size) AS m, count(*) FILTER (hits > 0) AS held FROM h)
+SELECT doc_id, source, n_chars, round(-greatest(ln((docs - held + 0.5) / (held + 0.5)), 0.000001) * hits * 2.2
+     / (hits + 1.2 * (0.25 + 0.75 * size / m)), 9) AS score
+FROM h d, s WHERE hits > 0
+"""
+
+
+@query(f"""
+SELECT * FROM ({RANKED} AND lang IN ('en', 'fr') AND EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1))
+ORDER BY score, n_chars DESC, doc_id DESC LIMIT 51
+""")
+def search_ranked_page(spark, d):
+    """One search: phrase, filters, a relation, relevance and a page."""
+    bank = T.documents(spark, d).select("doc_id", "text", "source", F.array("lang").alias("tags"), "lang", "n_chars")
+    hits = search.ranked(bank, "doc_id", search.document_fields(subjects=None), "of the")
+    hits = search.search(hits, values={"lang": ["en", "fr"]}).join(T.read(spark, d, "labels").where("quality = 1"), "doc_id", "left_semi")
+    rows = hits.select("doc_id", "source", "n_chars", F.round("score", 9).alias("score"))
+    return search.page(rows, [F.asc("score"), F.desc("n_chars"), F.desc("doc_id")])
+
+
+@query(f"SELECT doc_id, score FROM ({RANKED})")
+def search_index_hits(spark, d):
+    """The same phrase through the inverted index."""
+    bank = T.documents(spark, d).select("doc_id", "text", "source", F.array("lang").alias("tags"))
+    fields = search.document_fields(subjects=None)
+    found = search.index(bank, "doc_id", fields)
+    return search.ranked(bank, "doc_id", fields, "of the", found).select("doc_id", F.round("score", 9).alias("score"))
+
+
 @query("""
 SELECT p_partkey AS id, 'tag' AS relation, CAST(i - 1 AS INTEGER) AS position, tags[i] AS value
 FROM (SELECT p_partkey, string_split(p_name, ' ') AS tags FROM part), range(1, 20) r(i) WHERE i <= len(tags)
@@ -471,7 +505,7 @@ def paper_item_validation(spark, d):
 
 TYPED = """
 SELECT l_orderkey AS paper_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS item_order,
-  p_type, l_quantity AS marks FROM lineitem JOIN part ON l_partkey = p_partkey"""
+  p_type, l_quantity AS marks, p_name FROM lineitem JOIN part ON l_partkey = p_partkey"""
 
 
 def _typed(spark, d):
@@ -543,10 +577,34 @@ def generate_selection(spark, d):
     return generate.generate(T.questions(spark, d), [request])
 
 
-@query()
+@query(f"""
+WITH i AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY p_type, item_order) - 1 AS place,
+             row_number() OVER (PARTITION BY paper_id, p_type ORDER BY item_order) = 1 AS starts FROM ({TYPED})),
+l AS (SELECT paper_id, count(*) AS n, string_agg(concat(
+    CASE WHEN starts THEN CASE WHEN place > 0 THEN '\\end{{enumerate}}' || chr(10) ELSE '' END || '\\section*{{' || CASE p_type WHEN 'ECONOMY' THEN 'Single Choice'
+      WHEN 'LARGE' THEN 'Multiple Choice' WHEN 'MEDIUM' THEN 'True or False' WHEN 'PROMO' THEN 'Fill in the Blank' WHEN 'SMALL' THEN 'Short Answer' ELSE 'Essay' END
+      || '}}' || chr(10) || '\\begin{{enumerate}}' || chr(10) ELSE '' END,
+    '\\item ', replace(p_name, ' ', ' \\& '), ' \\hfill \\textit{{[', CAST(CAST(marks AS BIGINT) AS VARCHAR), ' marks]}}',
+    CASE WHEN p_type = 'ECONOMY' THEN chr(10) || '\\begin{{enumerate}}[label=\\Alph*.,itemsep=0.2em]' || chr(10) || '\\item ' || replace(p_name, ' ', '\\_' || chr(10) || '\\item ')
+      || '\\_' || chr(10) || '\\end{{enumerate}}' ELSE '' END,
+    CASE WHEN p_type = 'STANDARD' THEN chr(10) || '\\vspace{{3.30cm}}' ELSE '' END), chr(10) ORDER BY place) AS body FROM i GROUP BY paper_id)
+SELECT o_orderkey AS paper_id, 'Paper #' || o_orderkey || '.tex' AS filename, concat('\\documentclass[UTF8,12pt]{{ctexart}}', chr(10),
+  '\\usepackage[a4paper,margin=2cm]{{geometry}}', chr(10), '\\usepackage{{amsmath,amssymb}}', chr(10), '\\usepackage{{enumitem}}', chr(10), '\\usepackage{{graphicx}}', chr(10),
+  '\\usepackage{{xcolor}}', chr(10), '\\setlength{{\\parindent}}{{0pt}}', chr(10), '\\setlist[enumerate]{{leftmargin=*,itemsep=',
+  CASE WHEN n >= 24 THEN '0.15em' WHEN n >= 14 THEN '0.35em' ELSE '0.8em' END, '}}', chr(10), '\\begin{{document}}', chr(10), '\\begin{{center}}', chr(10),
+  '{{\\LARGE\\bfseries Paper \\#', o_orderkey, '}}\\\\[0.6em]', chr(10), o_orderpriority, ' \\quad Duration: 90 minutes \\quad Total Marks: ',
+  CAST(round(o_totalprice) AS BIGINT), chr(10), '\\end{{center}}', chr(10), '\\vspace{{0.8em}}', chr(10),
+  CASE WHEN n IS NOT NULL THEN body || chr(10) || '\\end{{enumerate}}' || chr(10) ELSE '' END, '\\end{{document}}', chr(10)) AS content
+FROM orders LEFT JOIN l ON paper_id = o_orderkey
+""")
 def export_tex(spark, d):
     items = papers.numbered(papers.ordered(_typed(spark, d), categorized=True)).withColumns(
-        {"options": F.when(F.col("question_type") == "single_choice", F.col("tags")), "answer": F.col("difficulty"), "essay_lines": F.lit(6)}
+        {
+            "text": F.replace("text", F.lit(" "), F.lit(" & ")),
+            "options": F.when(F.col("question_type") == "single_choice", F.transform("tags", lambda t: F.concat(t, F.lit("_")))),
+            "answer": F.col("difficulty"),
+            "essay_lines": F.lit(6),
+        }
     )
     o = T.read(spark, d, "orders").select(
         F.col("o_orderkey").alias("paper_id"), F.concat(F.lit("Paper #"), F.col("o_orderkey").cast("string")).alias("title"),

@@ -271,17 +271,22 @@ def apportion(items: DataFrame, key: str, index: str, weight: str, total: str) -
     order = Window.partitionBy(key).orderBy(F.desc(F.col("_raw") - F.col("_floor")), index)
     out = out.withColumn("_rank", F.row_number().over(order) - 1)
     more = F.floor(F.col("_left") / F.col("_n")) + (F.col("_rank") < F.col("_left") % F.col("_n")).cast("int")
-    # Taking back: the k-th round takes from items over k, so a round's turns are counted before the next.
-    spare = F.col("_floor") - 1
-    turns = out.withColumn("_turn", F.explode(F.when((F.col("_left") < 0) & (spare > 0), F.sequence(F.lit(1).cast("bigint"), spare)))).select(
-        F.col(key).alias("_k"), F.col(index).alias("_i"), "_turn", "_rank", "_left"
-    )
-    taken = (
-        turns.withColumn("_nth", F.row_number().over(Window.partitionBy("_k").orderBy("_turn", "_rank")))
-        .where(F.col("_nth") <= -F.col("_left"))
-        .groupBy("_k", "_i")
-        .agg(F.count("*").alias("_taken"))
-    )
-    out = out.join(taken, (F.col(key) == F.col("_k")) & (F.col(index) == F.col("_i")), "left")
-    marks = F.col("_floor") + F.when(F.col("_left") > 0, more).otherwise(-F.coalesce("_taken", F.lit(0)))
+    # Taking back: a round takes one from each item still over 1.  Whole rounds reach the level at which items are
+    # used up one after another; the last, broken one takes from those above the level, in rank order.
+    need = -F.col("_left")
+    out = out.withColumn("_spare", F.col("_floor") - 1)
+    up = Window.partitionBy(key).orderBy("_spare", index)
+    below = F.sum("_spare").over(up.rowsBetween(Window.unboundedPreceding, 0))
+    rest = F.col("_n") - F.row_number().over(up)
+    out = out.withColumns({"_rest": rest, "_used": below + rest * F.col("_spare")})
+    fits = (F.col("_left") < 0) & (F.col("_used") <= need)
+    at = F.max(F.when(fits, F.struct("_spare", F.col("_used").alias("u"), (-F.col("_rest")).alias("r")))).over(group)
+    out = out.withColumn("_at", F.coalesce(at, F.struct(F.lit(0).cast("bigint").alias("_spare"), F.lit(0).cast("bigint").alias("u"), (-F.col("_n")).alias("r"))))
+    above = -F.col("_at.r")
+    level = F.col("_at._spare") + F.when(above > 0, F.floor((need - F.col("_at.u")) / above)).otherwise(0)
+    out = out.withColumn("_level", level)
+    out = out.withColumn("_broken", need - F.sum(F.least("_spare", "_level")).over(group))
+    turn = F.sum((F.col("_spare") > F.col("_level")).cast("int")).over(Window.partitionBy(key).orderBy("_rank").rowsBetween(Window.unboundedPreceding, 0))
+    taken = F.least("_spare", "_level") + ((F.col("_spare") > F.col("_level")) & (turn <= F.col("_broken"))).cast("int")
+    marks = F.col("_floor") + F.when(F.col("_left") > 0, more).when(F.col("_left") < 0, -taken).otherwise(0)
     return out.withColumn("marks", F.when(F.col(total) >= F.col("_n"), marks).cast("long")).select(*items.columns, "marks")

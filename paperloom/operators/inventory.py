@@ -89,3 +89,32 @@ def sorted_strictly(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Rows whose key is not above the one before, within equal order groups."""
     w = Window.partitionBy(order).orderBy(key)
     return rows.withColumn("previous", F.lag(key).over(w)).where(F.col("previous") >= F.col(key))
+
+
+def attachments_of(links: DataFrame, attachments: DataFrame, deleted: bool = False) -> DataFrame:
+    """Attachments with their owners by the link table, live ones only unless ``deleted``."""
+    own = attachments if deleted else attachments.where("deleted_at is null")
+    return links.join(own, "attachment_id")
+
+
+def automatic_backups(files: DataFrame, prefix: str, *endings: str) -> DataFrame:
+    """Files that the scheduler made, by their names."""
+    name = F.col("name")
+    ends = F.lit(False)
+    for e in endings:
+        ends = ends | name.endswith(e)
+    return files.where(name.startswith(prefix) & ends)
+
+
+def newest(files: DataFrame, *key: str) -> DataFrame:
+    """The most recently modified file of each key; the later name of equals."""
+    rest = [c for c in files.columns if c not in key]
+    return files.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct("modified", "name")).alias("_r")).select(*key, "_r.*")
+
+
+def payload_totals(files: DataFrame, max_file: int, max_total: int, *key: str) -> DataFrame:
+    """(key, files, total, error): bytes of each archive as a decimal that cannot overflow, and which cap they break."""
+    size = F.col("size").cast("decimal(20,0)")
+    out = files.groupBy(*key).agg(F.count("*").alias("files"), F.sum(size).alias("total"), F.max("size").alias("_most"))
+    error = F.when(F.col("_most") > max_file, "file too large").when(F.col("total") > max_total, "payload too large")
+    return out.withColumn("error", error).drop("_most")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +64,115 @@ def retry(batch: DataFrame, now: int) -> DataFrame:
     )
 
 
+def listing(queue: DataFrame, limit: int = 100) -> DataFrame:
+    """The oldest unsettled operations, 1 to 500 of them."""
+    return queue.where("state <> 'settled'").orderBy("created_at", "operation_id").limit(min(max(limit, 1), 500))
+
+
+def prepare_batch(queue: DataFrame, baselines: DataFrame, owner: str, now: int, new_batch: str, *key: str, limit: int = BATCH) -> DataFrame:
+    """The batch to send: the retrying batch whose operation is due and oldest, exactly as it was, else a new one.
+
+    Rows are in flight, one attempt on, and come in batch_ordinal order; a new
+    batch has at most 100 operations, chained on their entities' baselines.
+    """
+    tried = queue.where((F.col("state") == "retrying") & F.col("batch_id").isNotNull())
+    due = tried.where(F.col("due_at").isNull() | (F.col("due_at") <= now)).agg(
+        F.min_by("batch_id", F.struct("created_at", "operation_id")).alias("_due")
+    )
+    names = ("base_version", "base_hash", "depends_on")
+    # One row says which batch is due, if any.
+    replay = tried.crossJoin(F.broadcast(due)).where("batch_id = _due").drop("_due", *names)
+    kept = tried.select("operation_id", *[F.col(n) if n in tried.columns else F.lit(None).alias(n) for n in names])
+    replay = replay.join(kept, "operation_id").select(*[c for c in queue.columns if c not in names], *names)
+    fresh = eligible(queue, owner, now, min(max(limit, 1), BATCH)).withColumn("batch_id", F.lit(new_batch))
+    fresh = chain(ordinals(fresh, "batch_id"), baselines, *key).drop("predicted_version")
+    fresh = fresh.crossJoin(F.broadcast(due)).where("_due is null").select(*replay.columns)
+    return (
+        replay.unionByName(fresh)
+        .withColumns({"state": F.lit("in_flight"), "attempts": F.col("attempts") + 1, "due_at": F.lit(None).cast("long")})
+        .orderBy("batch_ordinal", "operation_id")
+    )
+
+
+def responses(journal: DataFrame, requests: DataFrame) -> DataFrame:
+    """Requests (operation_id, request_hash) with outcome: new, replay with the stored response, or mismatch."""
+    j = journal.select("operation_id", F.col("request_hash").alias("_q"), F.col("response").alias("_r"))
+    outcome = F.when(F.col("_q").isNull(), "new").when(F.col("_q") == F.col("request_hash"), "replay").otherwise("mismatch")
+    joined = requests.join(j, "operation_id", "left").withColumn("outcome", outcome)
+    return joined.withColumn("response", F.when(F.col("outcome") == "replay", F.col("_r"))).drop("_q", "_r")
+
+
+def cursors(steps: DataFrame, *key: str) -> DataFrame:
+    """(key, pulled_cursor, acknowledged_cursor) after steps (key, seq, kind, cursor).
+
+    ``stage`` brings the cursor of an applied page; ``commit`` acknowledges the
+    last one staged since the commit before, and leaves none staged.
+    """
+    before = Window.partitionBy(*key).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    commit = F.col("kind") == "commit"
+    rows = steps.withColumn("_block", F.coalesce(F.sum(commit.cast("int")).over(before), F.lit(0)))
+    by = rows.groupBy(*key, "_block").agg(
+        F.max_by("cursor", F.when(F.col("kind") == "stage", F.col("seq"))).alias("_staged"), F.max(commit).alias("_done")
+    )
+    return by.groupBy(*key).agg(
+        F.max_by(F.when(~F.col("_done"), F.col("_staged")), "_block").alias("pulled_cursor"),
+        F.max_by("_staged", F.when(F.col("_done") & F.col("_staged").isNotNull(), F.col("_block"))).alias("acknowledged_cursor"),
+    )
+
+
+# What a restart does to each kind of state: (states, state after).
+RECOVERY = {
+    "operations": (("in_flight",), "retrying"),
+    "runtime": (("pulling", "applying", "resolving", "pushing", "settling"), "idle"),
+    "rebuilds": (("applying", "swapping"), "ready"),
+    "resolutions": (("in_flight",), "pending"),
+}
+
+
+def recovered(kind: str, rows: DataFrame) -> DataFrame:
+    """Rows of one kind of state after a restart; done again, it changes nothing."""
+    states, to = RECOVERY[kind]
+    return rows.withColumn("state", F.when(F.col("state").isin(*states), to).otherwise(F.col("state")))
+
+
+def recovery_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """One row: how many rows of each kind a restart changes."""
+    counts = [t.agg(F.count_if(F.col("state").isin(*RECOVERY[k][0])).alias(k)) for k, t in tables.items()]
+    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), counts)  # one row each
+
+
+def change_from_wire(body: Column) -> Column:
+    """A change from its JSON, with its time in microseconds."""
+    fields = "sequence string, entityType string, entityId string, kind string, version long, contentHash string, snapshot string, updatedAt string"
+    x = F.from_json(body, fields)
+    return F.struct(
+        x["sequence"].alias("sequence"), x["entityType"].alias("entity_type"), x["entityId"].alias("entity_id"), x["kind"].alias("kind"),
+        x["version"].alias("version"), x["contentHash"].alias("content_hash"), x["snapshot"].alias("snapshot"),
+        F.unix_micros(F.try_to_timestamp(x["updatedAt"])).alias("updated_at"),
+    )
+
+
+def operation_to_wire() -> Column:
+    """An operation as JSON: a missing base is left out, a missing payload is an explicit null.
+
+    Columns: entity_id, entity_type, kind, operation_id (strings), base_version,
+    base_hash, depends_on (an array of strings) and payload (a JSON object).
+    """
+    quoted = lambda c: F.to_json(F.array(F.col(c))).substr(F.lit(2), F.length(F.to_json(F.array(F.col(c)))) - 2)
+    part = lambda name, value: F.concat(F.lit(f'"{name}":'), value)
+    parts = F.array(
+        F.when(F.col("base_hash").isNotNull(), part("baseContentHash", quoted("base_hash"))),
+        F.when(F.col("base_version").isNotNull(), part("baseVersion", F.col("base_version").cast("string"))),
+        part("dependsOn", F.to_json(F.coalesce("depends_on", F.array().cast("array<string>")))),
+        part("entityId", quoted("entity_id")),
+        part("entityType", quoted("entity_type")),
+        part("kind", quoted("kind")),
+        part("operationId", quoted("operation_id")),
+        part("payload", F.coalesce("payload", F.lit("null"))),
+    )
+    return F.concat(F.lit("{"), F.array_join(F.filter(parts, lambda x: x.isNotNull()), ","), F.lit("}"))
+
+
 def state_counts(queue: DataFrame) -> DataFrame:
     """One row: operations pending, retrying, in conflict and failed."""
     states = ("pending", "retrying", "conflict", "failed")

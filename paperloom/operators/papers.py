@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.canonical import content_hash
 from ..functions.scalars import QUESTION_TYPES, rank_of
 
 
@@ -54,5 +55,56 @@ def update_marks(items: DataFrame, changes: DataFrame) -> DataFrame:
     return items.join(once, "item_id", "left").withColumn("marks", F.coalesce("_m", "marks")).drop("_m").select(*items.columns)
 
 
+def paper_errors(papers: DataFrame, items: DataFrame) -> DataFrame:
+    """(paper_id, errors) of papers that break a rule of their own or of their items."""
+    rules = {
+        "title is required": F.coalesce(F.trim("title"), F.lit("")) != "",
+        "title is too long": F.coalesce(F.length("title"), F.lit(0)) <= 200,
+        "duration must be positive": F.col("duration_minutes") > 0,
+        "total marks must be positive": F.col("total_marks") > 0,
+    }
+    found = F.filter(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(t)) for t, ok in rules.items()]), lambda e: e.isNotNull())
+    own = papers.select("paper_id", found.alias("_own"))
+    joined = own.join(item_errors(items).select("paper_id", F.col("errors").alias("_items")), "paper_id", "left")
+    errors = F.concat("_own", F.coalesce("_items", F.array().cast("array<string>")))
+    return joined.select("paper_id", errors.alias("errors")).where(F.size("errors") > 0)
+
+
+#: What a paper's hash covers; times, version and owner are left out.
+HASHED = ("title", "subject", "duration_minutes", "total_marks", "items")
+
+
+def hydrated(papers: DataFrame, items: DataFrame, *fields: str) -> DataFrame:
+    """Papers with items, an array of structs (item_order and the fields) in order; empty for none."""
+    kind = "array<struct<" + ",".join(f"{f}:{dict(items.dtypes)[f]}" for f in ("item_order", *fields)) + ">>"
+    own = items.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("item_order", *fields))).alias("items"))
+    return papers.join(own, "paper_id", "left").withColumn("items", F.coalesce("items", F.array().cast(kind)))
+
+
+def with_hash(whole: DataFrame) -> DataFrame:
+    """Hydrated papers with content_hash."""
+    return whole.withColumn("content_hash", content_hash("paper", 1, F.struct(*HASHED)))
+
+
+def corrupt(whole: DataFrame, stored: DataFrame) -> DataFrame:
+    """Hydrated papers whose stored hash (paper_id, content_hash) is another."""
+    found = with_hash(whole).select("paper_id", F.col("content_hash").alias("found_hash"))
+    return stored.join(found, "paper_id").where("content_hash <> found_hash")
+
+
+def created(candidates: DataFrame, now: int) -> DataFrame:
+    """New papers: version 1, both times now, no deletion and an own hash, whatever the caller gave; items in order."""
+    stamped = candidates.withColumns(
+        {
+            "items": F.array_sort("items"),
+            "version": F.lit(1).cast("long"),
+            "created_at": F.lit(now).cast("long"),
+            "updated_at": F.lit(now).cast("long"),
+            "deleted_at": F.lit(None).cast("long"),
+        }
+    )
+    return with_hash(stamped)
+
+
 def totals(items: DataFrame) -> DataFrame:
     return items.groupBy("paper_id").agg(F.count("*").alias("items"), F.sum("marks").alias("total_marks"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: History rows: entity_id, version, kind, content_hash, changed_at and anything else.
@@ -28,6 +28,48 @@ def at_version(history: DataFrame, version: int) -> DataFrame:
     return history.where(F.col("version") == version)
 
 
+def get(history: DataFrame, entity_id, key: str = "entity_id") -> DataFrame:
+    """The latest row of one entity, a tombstone too; no row means that it never was."""
+    return current(history.where(F.col(key) == F.lit(entity_id)), key, "include")
+
+
+def matches(base_version: Column, base_hash: Column, version: Column, content_hash: Column) -> Column:
+    """The optimistic lock: a candidate's base is the current version and hash."""
+    return F.coalesce((base_version == version) & (base_hash == content_hash), F.lit(False))
+
+
+def accept(current_rows: DataFrame, candidates: DataFrame, fixed: tuple[str, ...] = (), key: str = "entity_id") -> DataFrame:
+    """Candidates (one an entity) with an outcome: missing, stale, deleted, rejected, unchanged or applied.
+
+    Candidates have the key, base_version, base_hash, content_hash and the
+    ``fixed`` columns, which may not differ from the current row's.  An applied
+    candidate has the next version as new_version; stale ones are the side
+    table of preserved candidates (``preserved``).
+    """
+    now = current_rows.select(
+        key, F.col("version").alias("_v"), F.col("content_hash").alias("_h"), (F.col("kind") == "delete").alias("_d"), *[F.col(c).alias(f"_f_{c}") for c in fixed]
+    )
+    joined = candidates.join(now, key, "left")
+    same = F.lit(True)
+    for c in fixed:
+        same = same & F.col(c).eqNullSafe(F.col(f"_f_{c}"))
+    outcome = (
+        F.when(F.col("_v").isNull(), "missing")
+        .when(~matches(F.col("base_version"), F.col("base_hash"), F.col("_v"), F.col("_h")), "stale")
+        .when(F.col("_d"), "deleted")
+        .when(~same, "rejected")
+        .when(F.col("content_hash") == F.col("_h"), "unchanged")
+        .otherwise("applied")
+    )
+    out = joined.withColumn("outcome", outcome).withColumn("new_version", F.when(F.col("outcome") == "applied", F.col("_v") + 1))
+    return out.withColumnsRenamed({"_v": "current_version", "_h": "current_hash"}).drop("_d", *[f"_f_{c}" for c in fixed])
+
+
+def preserved(accepted: DataFrame) -> DataFrame:
+    """Candidates on an old base, kept with the version and hash that they missed."""
+    return accepted.where("outcome = 'stale'").drop("outcome", "new_version")
+
+
 def as_of(history: DataFrame, moment, key: str = "entity_id", time_col: str = "changed_at") -> DataFrame:
     """The latest row of each entity changed at or before a moment."""
     return current(history.where(F.col(time_col) <= F.lit(moment)), key, "include")
@@ -75,8 +117,55 @@ def fold(ops: DataFrame) -> DataFrame:
     or reverting a tombstone, reverting to an unknown version).  Deletion and
     restoration keep the hash and raise the version.
 
-    A state machine over one entity's rows: an entity's history is one task's.
+    Operations without a base, other than reverts, depend only on the latest
+    create, update, deletion or restoration before them: windows tell that.
+    Only entities that have a based operation or a revert run as a state
+    machine, in the task of their rows.
     """
+    needed = ("entity_id", "op_id", "kind", "base_version", "base_hash", "content_hash", "to_version")
+    ops = ops.select(*needed)
+    w = Window.partitionBy("entity_id")
+    based = F.col("base_version").isNotNull() | F.col("base_hash").isNotNull() | ~F.col("kind").isin("create", "update", "delete", "restore")
+    marked = ops.withColumn("_m", F.max(based).over(w))
+    return _free_fold(marked.where("not _m").drop("_m")).unionByName(_based_fold(marked.where("_m").drop("_m")))
+
+
+def _free_fold(ops: DataFrame) -> DataFrame:
+    """``fold`` for entities whose operations have no base and are no reverts."""
+    whole = Window.partitionBy("entity_id")
+    upto = Window.partitionBy("entity_id").orderBy("op_id").rowsBetween(Window.unboundedPreceding, 0)
+    before = upto.rowsBetween(Window.unboundedPreceding, -1)
+    kind = F.col("kind")
+    o = ops.withColumn("_first", F.min(F.when(kind == "create", F.col("op_id"))).over(whole))
+    lives = F.coalesce(F.col("op_id") > F.col("_first"), F.lit(False))
+    o = o.withColumns({"_lives": lives, "_is_first": F.coalesce(F.col("op_id") == F.col("_first"), F.lit(False))})
+    turn = F.when(F.col("_lives") & kind.isin("delete", "restore"), kind == "delete")
+    o = o.withColumn("_gone", F.coalesce(F.last(turn, ignorenulls=True).over(before), F.lit(False)))
+    writes = F.col("_is_first") | (F.col("_lives") & (kind == "update") & ~F.col("_gone") & F.col("content_hash").isNotNull())
+    o = o.withColumn("_w", F.when(writes, F.struct(F.col("content_hash").alias("h"))))
+    o = o.withColumn("_old", F.last("_w", ignorenulls=True).over(before)["h"])
+    outcome = (
+        F.when(F.col("_is_first"), "applied")
+        .when((kind == "create") | ~F.col("_lives"), "rejected")
+        .when(kind == "delete", F.when(F.col("_gone"), "unchanged").otherwise("applied"))
+        .when(kind == "restore", F.when(F.col("_gone"), "applied").otherwise("unchanged"))
+        .when(F.col("_gone") | F.col("content_hash").isNull(), "rejected")
+        .when(F.col("content_hash").eqNullSafe(F.col("_old")), "unchanged")
+        .otherwise("applied")
+    )
+    o = o.withColumn("outcome", outcome)
+    return o.select(
+        "entity_id",
+        "op_id",
+        "outcome",
+        F.sum((F.col("outcome") == "applied").cast("long")).over(upto).alias("version"),
+        F.last("_w", ignorenulls=True).over(upto)["h"].alias("content_hash"),
+        F.when(F.col("_lives") & kind.isin("delete", "restore"), kind == "delete").otherwise(F.col("_gone")).alias("deleted"),
+    )
+
+
+def _based_fold(ops: DataFrame) -> DataFrame:
+    """``fold`` as a state machine over one entity's rows."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         version, current_hash, deleted, past, out = 0, None, False, {}, []
@@ -104,8 +193,7 @@ def fold(ops: DataFrame) -> DataFrame:
             out.append((r.entity_id, r.op_id, outcome, version, current_hash, deleted))
         return pd.DataFrame(out, columns=["entity_id", "op_id", "outcome", "version", "content_hash", "deleted"])
 
-    needed = ("entity_id", "op_id", "kind", "base_version", "base_hash", "content_hash", "to_version")
-    return ops.select(*needed).groupBy("entity_id").applyInPandas(run, FOLD)
+    return ops.groupBy("entity_id").applyInPandas(run, FOLD)
 
 
 def cascade(deletions: DataFrame, attachments: DataFrame) -> DataFrame:

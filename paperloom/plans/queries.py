@@ -405,7 +405,18 @@ def revert_target(spark, d):
     return versions.revert_targets(h, requests)
 
 
-@query()
+@query(f"""
+WITH o AS (SELECT *, min(op_id) FILTER (kind = 'create') OVER (PARTITION BY entity_id) AS f FROM ({LOG})),
+d AS (SELECT *, op_id > f IS TRUE AS lives, coalesce(arg_max(kind, op_id) FILTER (kind IN ('delete', 'restore') AND op_id > f) OVER b = 'delete', false) AS gone FROM o
+      WINDOW b AS (PARTITION BY entity_id ORDER BY op_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+w AS (SELECT *, op_id = f IS TRUE OR (lives AND kind = 'update' AND NOT gone) AS writes FROM d),
+h AS (SELECT *, arg_max(content_hash, op_id) FILTER (writes) OVER (PARTITION BY entity_id ORDER BY op_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS old,
+        arg_max(content_hash, op_id) FILTER (writes) OVER (PARTITION BY entity_id ORDER BY op_id) AS now FROM w),
+r AS (SELECT *, CASE WHEN op_id = f THEN 'applied' WHEN kind = 'create' OR NOT lives THEN 'rejected' WHEN kind = 'delete' THEN CASE WHEN gone THEN 'unchanged' ELSE 'applied' END
+        WHEN kind = 'restore' THEN CASE WHEN gone THEN 'applied' ELSE 'unchanged' END WHEN gone THEN 'rejected' WHEN content_hash = old THEN 'unchanged' ELSE 'applied' END AS outcome FROM h)
+SELECT entity_id, op_id, outcome, count(*) FILTER (outcome = 'applied') OVER (PARTITION BY entity_id ORDER BY op_id) AS version, now AS content_hash,
+  CASE WHEN lives AND kind IN ('delete', 'restore') THEN kind = 'delete' ELSE gone END AS deleted FROM r
+""")
 def lifecycle_fold(spark, d):
     ops = T.log(spark, d).withColumns({"base_version": F.lit(None).cast("long"), "base_hash": F.lit(None).cast("string"), "to_version": F.lit(None).cast("long")})
     return versions.fold(ops)
@@ -558,17 +569,22 @@ def difficulty_targets(spark, d):
 
 
 @query(f"""
-WITH i AS (SELECT paper_id, item_order, CAST(10 + paper_id % 90 AS BIGINT) AS total, greatest(marks / 10, 0.01) AS w FROM ({TYPED})),
+WITH i AS (SELECT paper_id, item_order, CASE WHEN paper_id % 3 = 0 THEN count(*) OVER (PARTITION BY paper_id) + paper_id % 5 ELSE 10 + paper_id % 90 END AS total,
+  CASE WHEN item_order = 1 THEN 50.0 ELSE greatest(marks / 10, 0.01) END AS w FROM ({TYPED})),
 s AS (SELECT *, greatest(total * w / sum(w) OVER p, 1.0) AS raw, count(*) OVER p AS n FROM i WINDOW p AS (PARTITION BY paper_id)),
-f AS (SELECT *, total - sum(floor(raw)) OVER (PARTITION BY paper_id) AS spare, row_number() OVER (PARTITION BY paper_id ORDER BY raw - floor(raw) DESC, item_order) - 1 AS k FROM s)
-SELECT paper_id, item_order, CAST(CASE WHEN total >= n THEN floor(raw) + CASE WHEN k < spare THEN 1 ELSE 0 END END AS BIGINT) AS marks FROM f WHERE spare >= 0
+f AS (SELECT *, CAST(floor(raw) AS BIGINT) AS whole, CAST(total - sum(floor(raw)) OVER (PARTITION BY paper_id) AS BIGINT) AS spare,
+        row_number() OVER (PARTITION BY paper_id ORDER BY raw - floor(raw) DESC, item_order) - 1 AS k FROM s),
+t AS (SELECT paper_id, item_order, spare, row_number() OVER (PARTITION BY paper_id ORDER BY turn, k) AS nth FROM (SELECT *, unnest(range(1, whole)) AS turn FROM f WHERE spare < 0)),
+b AS (SELECT paper_id, item_order, count(*) AS taken FROM t WHERE nth <= -spare GROUP BY 1, 2)
+SELECT paper_id, item_order, CAST(CASE WHEN total >= n THEN whole + CASE WHEN spare > 0 THEN spare // n + CASE WHEN k < spare % n THEN 1 ELSE 0 END ELSE -coalesce(taken, 0) END END AS BIGINT) AS marks
+FROM f LEFT JOIN b USING (paper_id, item_order)
 """)
 def apportion_marks(spark, d):
-    items = _typed(spark, d).select("paper_id", "item_order", (F.col("paper_id") % 90 + 10).alias("total"), (F.col("marks") / 10).alias("w"))
-    done = generate.apportion(items, "paper_id", "item_order", "w", "total")
-    raw = F.greatest(F.col("total") * F.greatest("w", F.lit(0.01)) / F.sum(F.greatest("w", F.lit(0.01))).over(Window.partitionBy("paper_id")), F.lit(1.0))
-    spare = F.col("total") - F.sum(F.floor("_raw")).over(Window.partitionBy("paper_id"))
-    return done.withColumn("_raw", raw).withColumn("_spare", spare).where("_spare >= 0").select("paper_id", "item_order", "marks")
+    n = F.count("*").over(Window.partitionBy("paper_id"))
+    total = F.when(F.col("paper_id") % 3 == 0, n + F.col("paper_id") % 5).otherwise(F.col("paper_id") % 90 + 10)
+    weight = F.when(F.col("item_order") == 1, F.lit(50.0)).otherwise(F.col("marks") / 10)
+    items = _typed(spark, d).select("paper_id", "item_order", total.alias("total"), weight.alias("w"))
+    return generate.apportion(items, "paper_id", "item_order", "w", "total").select("paper_id", "item_order", "marks")
 
 
 @query()

@@ -91,7 +91,8 @@ def resolve(conflicts: DataFrame, events: DataFrame) -> DataFrame:
     e = e.withColumn("t1", first(answers("s1"), *answer))
     moved = F.col("t1").isNotNull() & (F.col("s1.action") != "saveCopy")
     e = e.withColumns({"v1": F.when(moved, F.col("t1.accepted_version")).otherwise(F.col("v0")), "h1": F.when(moved, F.col("t1.accepted_hash")).otherwise(F.col("h0"))})
-    e = e.withColumn("s2", first(stage & undo & (F.col("seq") > F.col("t1.seq")) & sees("v1", "h1"), *request))
+    other = F.col("operation_id") != F.col("s1.operation_id")
+    e = e.withColumn("s2", first(stage & undo & other & (F.col("seq") > F.col("t1.seq")) & sees("v1", "h1"), *request))
     e = e.withColumn("t2", first(answers("s2"), *answer))
     after = lambda x: F.coalesce(F.col("seq") > F.col(f"{x}.seq"), F.lit(False))
     is_at = lambda x: F.coalesce(F.col("seq") == F.col(f"{x}.seq"), F.lit(False))

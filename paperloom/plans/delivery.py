@@ -38,7 +38,7 @@ t1 AS (SELECT DISTINCT ON (e.conflict_id) e.* FROM ev e JOIN s1 s USING (conflic
        WHERE e.kind = 'settle' AND e.seq > s.seq AND e.operation_id = s.operation_id AND e.action = s.action ORDER BY e.conflict_id, e.seq),
 c1 AS (SELECT c.conflict_id, CASE WHEN s1.action <> 'saveCopy' AND t1.seq IS NOT NULL THEN t1.version ELSE 1 END AS v1 FROM c LEFT JOIN s1 USING (conflict_id) LEFT JOIN t1 USING (conflict_id)),
 s2 AS (SELECT DISTINCT ON (e.conflict_id) e.* FROM ev e JOIN t1 t USING (conflict_id) JOIN c1 USING (conflict_id)
-       WHERE e.kind = 'stage' AND e.action = 'undo' AND e.seq > t.seq AND e.version = v1 ORDER BY e.conflict_id, e.seq),
+       WHERE e.kind = 'stage' AND e.action = 'undo' AND e.operation_id <> t.operation_id AND e.seq > t.seq AND e.version = v1 ORDER BY e.conflict_id, e.seq),
 t2 AS (SELECT DISTINCT ON (e.conflict_id) e.* FROM ev e JOIN s2 s USING (conflict_id)
        WHERE e.kind = 'settle' AND e.seq > s.seq AND e.operation_id = s.operation_id AND e.action = s.action ORDER BY e.conflict_id, e.seq)
 SELECT e.conflict_id, e.seq, CASE WHEN e.kind = 'stage' THEN

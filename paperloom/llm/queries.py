@@ -63,6 +63,8 @@ def op3_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("headers")["cache-control"].alias("cache_control"),
         F.col("headers")["content-length"].alias("content_length"),
         F.col("headers")["etag"].alias("etag"),
+        F.col("headers")["last-modified"].alias("last_modified"),
+        F.col("headers")["x-cache"].alias("x_cache"),
     )
 
 
@@ -198,21 +200,25 @@ WITH parts AS (
          END AS canonical_url
   FROM parts
 ), as_of AS (
-  SELECT v.page_id, v.canonical_url, v.html AS own_html, r.page_id AS found, r.html
+  SELECT v.page_id, v.canonical_url, r.page_id AS found, r.html,
+         CASE v.page_id % 4 WHEN 1 THEN NULL WHEN 3 THEN 'changed' ELSE md5(v.html) END AS v_tag, CASE WHEN v.page_id % 2 = 0 THEN 'm' || v.page_id % 7 END AS v_date,
+         CASE WHEN r.page_id % 5 <> 0 THEN md5(r.html) END AS r_tag, CASE WHEN r.page_id % 3 <> 0 THEN 'm' || r.page_id % 7 END AS r_date
   FROM keyed v LEFT JOIN keyed r
     ON r.canonical_url = v.canonical_url
    AND (r.page_id < v.page_id + 500)
   QUALIFY row_number() OVER (PARTITION BY v.page_id ORDER BY r.page_id DESC NULLS LAST) = 1
 ), judged AS (
-  SELECT *, CASE WHEN found IS NULL THEN 'orphan'
-                 WHEN page_id % 4 <> 3 AND md5(own_html) = md5(html) THEN 'etag' ELSE 'mismatch' END AS outcome
+  SELECT *, CASE WHEN found IS NULL THEN 'orphan' WHEN v_tag = r_tag THEN 'etag' WHEN v_tag <> r_tag THEN 'mismatch'
+                 WHEN v_date = r_date THEN 'last-modified' WHEN v_date <> r_date THEN 'mismatch' ELSE 'unvalidated' END AS outcome
   FROM as_of
 )
 SELECT page_id, canonical_url, outcome,
-       CASE WHEN outcome = 'etag' THEN found END AS resolved_page_id,
-       CASE WHEN outcome = 'etag' THEN 'max-age=600' END AS cache_control,
-       CASE WHEN outcome = 'etag' THEN CAST(octet_length(encode(html)) AS VARCHAR) END AS content_length,
-       CASE WHEN outcome = 'etag' THEN 'W/"' || md5(own_html) || '"' END AS etag
-FROM judged
+       CASE WHEN good THEN found END AS resolved_page_id,
+       CASE WHEN good THEN 'max-age=600' END AS cache_control,
+       CASE WHEN good THEN CAST(octet_length(encode(html)) AS VARCHAR) END AS content_length,
+       CASE WHEN good THEN coalesce(CASE page_id % 4 WHEN 0 THEN 'W/' ELSE '' END || '"' || v_tag || '"', '"' || r_tag || '"') END AS etag,
+       CASE WHEN good THEN coalesce(v_date, r_date) END AS last_modified,
+       CASE WHEN good THEN 'hit' END AS x_cache
+FROM (SELECT *, outcome IN ('etag', 'last-modified') AS good FROM judged)
 """,
 }

@@ -127,23 +127,28 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 def captures_of_pages(pages: DataFrame) -> DataFrame:
     """A capture history of a table (page_id, url, html): a response and a later revisit of each page.
 
-    A page is captured at its id and visited again 500 later; every fourth
-    revisit reports a changed entity tag.
+    A page is captured at its id and visited again 500 later, so pages of one
+    canonical url come between.  Validators depend on the id: responses lack
+    an entity tag or a date at times, revisits have a weak, strong, changed or
+    no tag and at times a date; both have a header that may not be replaced.
+    Null html is empty; repeated pages are repeated captures.
     """
-    html = F.coalesce("html", F.lit(""))
+    i, html = F.col("page_id"), F.coalesce("html", F.lit(""))
     tag = F.concat(F.lit('"'), F.md5(html), F.lit('"'))
-    new_tag = F.when(F.col("page_id") % 4 == 3, F.lit('"changed"')).otherwise(F.concat(F.lit("W/"), tag))
-    response = F.create_map(
-        F.lit("content-type"), F.lit("text/html"), F.lit("content-length"), F.octet_length(html).cast("string"),
-        F.lit("cache-control"), F.lit("max-age=60"), F.lit("etag"), tag,
+    date = F.concat(F.lit("m"), (i % 7).cast("string"))
+    new_tag = F.when(i % 4 == 0, F.concat(F.lit("W/"), tag)).when(i % 4 == 2, tag).when(i % 4 == 3, F.lit('"changed"'))
+
+    def headers(**named) -> Column:
+        pairs = F.array(*[F.struct(F.lit(k.replace("_", "-")).alias("k"), v.alias("v")) for k, v in named.items()])
+        return F.map_from_entries(F.filter(pairs, lambda p: p["v"].isNotNull()))
+
+    response = headers(
+        content_type=F.lit("text/html"), content_length=F.octet_length(html).cast("string"), cache_control=F.lit("max-age=60"), x_cache=F.lit("hit"),
+        etag=F.when(i % 5 != 0, tag), last_modified=F.when(i % 3 != 0, date),
     )
-    revisit = F.create_map(
-        F.lit("content-length"), F.lit("0"), F.lit("cache-control"), F.lit("max-age=600"), F.lit("etag"), new_tag
-    )
-    kinds = F.array(
-        F.struct(F.lit("response").alias("warc_type"), F.col("page_id").alias("captured"), F.lit(200).alias("status"), response.alias("headers")),
-        F.struct(F.lit("revisit").alias("warc_type"), (F.col("page_id") + 500).alias("captured"), F.lit(304).alias("status"), revisit.alias("headers")),
-    )
-    return pages.select("page_id", "url", F.explode(kinds).alias("r")).select(
-        F.col("page_id").alias("record_id"), F.col("url").alias("target_uri"), "r.*"
+    revisit = headers(
+        content_length=F.lit("0"), cache_control=F.lit("max-age=600"), x_cache=F.lit("miss"), etag=new_tag, last_modified=F.when(i % 2 == 0, date)
     )
+    capture = lambda kind, at, status, h: F.struct(F.lit(kind).alias("warc_type"), at.alias("captured"), F.lit(status).alias("status"), h.alias("headers"))
+    kinds = F.array(capture("response", i, 200, response), capture("revisit", i + 500, 304, revisit))
+    return pages.select("page_id", "url", F.explode(kinds).alias("r")).select(i.alias("record_id"), F.col("url").alias("target_uri"), "r.*")

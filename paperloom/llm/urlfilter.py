@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import cluster
 
-DAMPING, STEPS = 0.85, 12
+DAMPING = 0.85
+#: Share of all score that may still move when propagation ends: damping ** steps of it at most.
+TOLERANCE = 1e-3
 #: A host is blocked where its distrust is over this share of its trust and distrust together.
 BLOCK_SHARE = 0.75
 
@@ -48,14 +50,16 @@ def parents_of(host: Column) -> Column:
 def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(src, dst, weight): absolute links of pages between different hosts, and each host with its parent domain both ways.
 
-    A link counts once for a page and target host.  Sibling hosts vouch for
-    each other through their parent domain, which joins sites without links.
+    A link with a scheme, or with the page's own (``//host/``), counts once for
+    a page and target host.  Sibling hosts vouch for each other through their
+    parent domain, which joins sites without links.  Null urls and html give
+    no edge, repeated pages count each.
     """
     found = pages.select(F.monotonically_increasing_id().alias("row"), host_of(F.col(url_col)).alias("src"), F.col(html_col).alias("html"))
     links = (
         found.where("src <> ''")
-        .select("row", "src", F.explode(F.expr(r"""regexp_extract_all(html, '(?i)href\\s*=\\s*["\']?([a-z][a-z0-9+.-]*://[^"\'\\s>]+)', 1)""")).alias("to"))
-        .select("row", "src", host_of(F.col("to")).alias("dst"))
+        .select("row", "src", F.explode(F.expr(r"""regexp_extract_all(html, '(?i)href\\s*=\\s*["\']?((?:[a-z][a-z0-9+.-]*:)?//[^"\'\\s>]+)', 1)""")).alias("to"))
+        .select("row", "src", host_of(F.when(F.col("to").startswith("//"), F.concat(F.lit("x:"), "to")).otherwise(F.col("to"))).alias("dst"))
         .where("dst <> '' and dst <> src")
         .distinct()
         .groupBy("src", "dst")
@@ -70,13 +74,19 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return links.union(tree).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
-    """(host, trust, distrust) after ``steps`` of two personalised PageRanks.
+def steps_for(damping: float = DAMPING, tolerance: float = TOLERANCE) -> int:
+    """Steps after which no more than ``tolerance`` of the score can still move."""
+    return math.ceil(math.log(tolerance) / math.log(damping))
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, trust, distrust) by two personalised PageRanks.
 
     seeds is (host, trusted, blocked) with weights of 0 or more.  Trust flows
     along edges from trusted seeds, distrust against them from blocked ones; a
     host shares its score over its edges by weight, and what a host without
-    edges holds is lost.  Both ranks move in one join a step.
+    edges holds is lost.  Both ranks move in one join a step, until less than
+    ``tolerance`` of each can move.
     """
     both = edges.select(F.lit(0).alias("kind"), "src", "dst", "weight").union(
         edges.select(F.lit(1).alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
@@ -91,14 +101,14 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, step
         start.join(F.broadcast(total), "kind").where("seed > 0").select("kind", "host", (F.col("seed") / F.col("all")).alias("seed"))
     )  # a total for each kind
     rank = start.withColumnRenamed("seed", "rank")
-    for step in range(steps):
+    for step in range(steps_for(damping, tolerance)):
         moved = (
             rank.join(both, (F.col("host") == F.col("src")) & (F.col("kind") == F.col("e_kind")))
             .select("kind", F.col("dst").alias("host"), (damping * F.col("rank") * F.col("share")).alias("rank"))
             .union(start.select("kind", "host", ((1 - damping) * F.col("seed")).alias("rank")))
         )
         rank = moved.groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        if step % 4 == 3:
+        if step % 8 == 7:
             rank = cluster.checkpoint(rank)
     return rank.groupBy("host").agg(
         F.sum(F.when(F.col("kind") == 0, F.col("rank")).otherwise(0.0)).alias("trust"),

@@ -93,17 +93,17 @@ def test_propagation_by_force(spark):
             seed[n[h]] = v[k]
         seed /= seed.sum()
         rank = seed
-        for _ in range(urlfilter.STEPS):
+        for _ in range(urlfilter.steps_for()):
             rank = 0.15 * seed + 0.85 * rank @ p
         for h in hosts:
             assert abs(got.get(h, (0, 0))[k] - rank[n[h]]) < 1e-9
 
 
 def test_links_reach_hosts(spark):
-    html = '<a href="http://bad.net/x">1</a><a HREF=\'https://bad.net/y\'>2</a><a href="/own">3</a>'
+    html = '<a href="//rel.net/z">0</a><a href="http://bad.net/x">1</a><a HREF=\'https://bad.net/y\'>2</a><a href="/own">3</a>'
     df = spark.createDataFrame([(1, "http://seed.com/de/1", None), (2, "http://linker.net/a", html.replace("bad.net", "seed.com")), (3, "http://far.info/", None)], "page_id int, url string, html string")
     edges = {(r.src, r.dst): r.weight for r in urlfilter.host_edges(df).collect()}
-    assert edges[("linker.net", "seed.com")] == 1.0
+    assert edges[("linker.net", "seed.com")] == 1.0 and edges[("linker.net", "rel.net")] == 1.0
     got = {r.page_id: r.verdict for r in urlfilter.judge_urls(df, URL_RULES).collect()}
     assert got == {1: "block", 2: "block", 3: "allow"}
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import io
+import re
 import tempfile
 import uuid
 import zipfile
@@ -30,10 +32,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one where it is unset and all run in this process."""
     sc = spark.sparkContext
     set_to = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not set_to and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(set_to or "file://" + tempfile.mkdtemp(prefix="paperloom-checkpoint-"))
     return set_to or sc.getCheckpointDir()
 
@@ -45,21 +49,38 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 class Scratch:
-    """Tables written once in the shared folder and dropped when the operator no longer reads them."""
+    """Tables written once in the shared folder: dropped when their operator reads them no more, the others when the driver ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/paperloom-{uuid.uuid4().hex}"
+        self.names: list[str] = []
+        atexit.register(self._end)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.option("compression", "zstd").parquet(path)
+        self.names.append(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._delete(f"{self.root}/{name}")
+        self.names.remove(name)
+
+    def keep_only(self, *names: str) -> None:
+        """Drop the tables that nothing reads any more."""
+        for name in [n for n in self.names if n not in names]:
+            self.drop(name)
+
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def _end(self) -> None:
+        try:
+            self._delete(self.root)
+        except Exception:  # the session went before the driver
+            pass
 
 
 def text_bytes(docs: DataFrame, column: str = "text") -> int:

@@ -100,7 +100,7 @@ def jaccard_components(
     cluster.ship(spark)
     n_buckets, n_blocks = sketch.layout(cluster.text_bytes(docs, text_col))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn(
-        BUCKET, sketch.bucket_of("id", n_buckets)
+        BUCKET, sketch.bucket_of("id", "text", n_buckets)
     )
     grouped = rows.groupBy(BUCKET)
 
@@ -162,11 +162,14 @@ def jaccard_components(
     least = named.join(label, "node", "left").select(*same, F.coalesce("label", "node").alias("label"), "least")
     top = least.groupBy("label").agg(F.min("least").alias("component_id"))
     found = least.join(top, "label").select(*same, "component_id", F.lit(True).alias("candidate"))
-    return prof.join(found, [*same, "candidate"], "left").select(
+    rows = prof.join(found, [*same, "candidate"], "left").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         F.when(F.col("candidate"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
     )
+    done = scratch.write(rows, "result")
+    scratch.keep_only("result")
+    return done
 
 
 def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:

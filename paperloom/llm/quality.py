@@ -133,7 +133,8 @@ def held_out(id_col: str = "doc_id"):
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> dict:
     """A model from at most ``sample`` labelled rows that are not held out.
 
-    A label counts where it is 0 or 1; of several for an id the lowest holds.
+    A label counts where it is 0 or 1; of several for an id the lowest holds,
+    and of several texts of an id the one with the least features.
     """
     spark = docs.sparkSession
     cluster.ship(spark)
@@ -153,7 +154,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
             yield pa.RecordBatch.from_arrays([batch["id"], batch["y"], lists], ["id", "y", "x"])
 
     got = rows.select("id", F.col("y").cast("int").alias("y"), "text").mapInArrow(run, "id long, y int, x array<double>")
-    got = got.toPandas().sort_values("id", kind="stable")  # at most the sample
+    got = got.groupBy("id", "y").agg(F.min("x").alias("x"))  # one row an id: no more than the sample
+    got = got.toPandas().sort_values("id", kind="stable")
     x = np.array(got["x"].tolist()).reshape(-1, len(FEATURES))
     return fit(x, got["y"].to_numpy())
 

@@ -1,6 +1,7 @@
 """A count-min sketch that grows with the corpus and is never held whole.
 
-Documents are dealt into buckets by a hash of their id.  Each bucket counts its
+Documents are dealt into buckets by a hash of id and text, so neither null nor
+repeated ids meet in one bucket, only equal rows do.  Each bucket counts its
 own keys and cuts that partial sketch into blocks by key hash; a block's parts
 from all buckets merge in one task, so a block, not the sketch, bounds memory.
 The merged estimates go back to each bucket that asked, in the order of its own
@@ -33,9 +34,9 @@ def layout(n_bytes: int) -> tuple[int, int]:
     return max(32, -(-n_bytes // BUCKET_BYTES)), max(16, -(-n_bytes // (6 * BLOCK_KEYS)))
 
 
-def bucket_of(column: str, n: int):
-    """The bucket of a document id; a null id has the bucket of its own hash."""
-    return F.pmod(F.xxhash64(F.col(column)), F.lit(n)).cast("int")
+def bucket_of(id_col: str, text_col: str, n: int):
+    """The bucket of a document."""
+    return F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n)).cast("int")
 
 
 def block_of(hashes: np.ndarray, n_blocks: int) -> np.ndarray:
@@ -52,7 +53,7 @@ class Keys:
         self.cut = np.searchsorted(self.keys, np.arange(n_blocks + 1, dtype=np.uint64) << np.uint64(32))
 
     def parts(self, bucket: int) -> pa.Table:
-        own = [b for b in range(len(self.cut) - 1) if self.cut[b] < self.cut[b + 1]]
+        own = np.flatnonzero(np.diff(self.cut)).tolist()
         low = self.keys & np.uint64(0xFFFFFFFF)
         n = np.minimum(self.counts, TOP).astype(np.uint8)
         spans = [slice(self.cut[b], self.cut[b + 1]) for b in own]

@@ -58,17 +58,15 @@ _SENT = pa.schema(
 
 
 def _first_bits(key, parts):
-    """For each window that a bucket sent, whether no other bucket sent it with a smaller id.
-
-    A bucket sends a window once and owns its ids, so ids alone decide.
-    """
+    """For each window that a bucket sent, whether no other sent it with a smaller id, or the same id from a smaller bucket."""
     parts = parts.combine_chunks()
     read = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in parts[name]]
     h1, h2 = read("h1", np.uint64), read("h2", np.uint64)
     ids = [np.repeat(i, n) for i, n in zip(read("ids", np.int64), read("runs", np.int64), strict=True)]
     cut = np.cumsum([len(x) for x in h1])
     a, b, ids = np.concatenate(h1), np.concatenate(h2), np.concatenate(ids)
-    order = np.lexsort((ids, b, a))
+    bucket = np.repeat(parts[BUCKET].to_numpy(), [len(x) for x in h1])
+    order = np.lexsort((bucket, ids, b, a))
     new = np.ones(len(a), bool)
     new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
     first = np.zeros(len(a), bool)
@@ -88,11 +86,11 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     one space, and n_words, n_removed (long) and kept_sha256 (lowercase hex);
     input columns of those names are replaced.  Null and empty texts have no
     words and become empty texts.  Rows of a null id count as later than all
-    others.  Rows that share an id follow one another in the order of their
-    texts, so a repeated row loses what its first copy keeps.
+    others.  Rows that share an id follow one another in an order that a hash
+    of their texts gives, so a repeated row loses what its first copy keeps.
     An empty table gives an empty one.
 
-    Plan: rows are dealt by a hash of the id once (that exchange serves all
+    Plan: rows are dealt by a hash of id and text once (that exchange serves all
     three passes); a corpus-sized count-min sketch is merged in blocks; only
     windows estimated to repeat are grouped, by two independent 64-bit hashes,
     each sent once by a bucket and answered with a bit.
@@ -106,7 +104,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
         + [T.StructField(n, T.LongType()) for n in ADDED[:2]]
         + [T.StructField(ADDED[2], T.StringType())]
     )
-    rows = docs.withColumn(BUCKET, sketch.bucket_of(id_col, n_buckets))
+    rows = docs.withColumn(BUCKET, sketch.bucket_of(id_col, text_col, n_buckets))
     grouped = rows.groupBy(BUCKET)
 
     def count(key, table):
@@ -129,7 +127,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
         block = sketch.block_of(a[i], n_blocks)
         order = np.argsort(block, kind="stable")
         cut = np.searchsorted(block[order], np.arange(n_blocks + 1))
-        return [(x, i[order[cut[x] : cut[x + 1]]]) for x in range(n_blocks) if cut[x] < cut[x + 1]]
+        return [(x, i[order[cut[x] : cut[x + 1]]]) for x in np.flatnonzero(np.diff(cut)).tolist()]
 
     def candidates(key, table, answer):
         _, ids, a, b, row, _ = judge(table, answer)

@@ -349,6 +349,46 @@ def test_plan_fits_and_is_tight():
     assert packing._best_two([5], {5: 1}, 11, 9) is None
 
 
+def best_two_fit_by_bin(counts, capacity):
+    """Bins one by one: the longest piece that fits, over and over; then the smallest makes way for the best pair."""
+    left, bins = Counter(counts), []
+    while +left:
+        own, gap = [], capacity
+        while fit := [n for n in left if left[n] and n <= gap]:
+            n = max(fit)
+            own.append(n)
+            left[n] -= 1
+            gap -= n
+        if gap:
+            small = min(own)
+            own.remove(small)
+            left[small] += 1
+            free = Counter(left)
+            free[small] -= 1
+            pairs = [(a + b, -a, a, b) for a in free for b in free if a >= b and free[a] and free[b] and (a != b or free[a] > 1) and small < a + b <= gap + small]
+            take = max(pairs)[2:] if pairs else (small,)  # of equal sums the more even pair
+            own += take
+            for n in take:
+                left[n] -= 1
+        bins.append(sorted(own))
+    return bins
+
+
+def test_plan_is_best_two_fit_bin_by_bin():
+    rng = random.Random(12)
+    for trial in range(60):
+        top = rng.choice([12, 20, 40, 64])
+        counts = Counter(rng.randint(1, top) for _ in range(rng.randint(0, 300)))
+        bins: dict[int, list] = {}
+        for n, _, ranks, copies, start, _ in packing.plan(counts, 64):
+            for k in range(ranks):
+                bins.setdefault(start + k // copies, []).append(n)
+        want = best_two_fit_by_bin(counts, 64)
+        total = sum(n * c for n, c in counts.items())
+        assert len(bins) == len(want) and sorted(sorted(b) for b in bins.values()) == sorted(want), trial
+        assert len(bins) <= -(-total // 64) * 1.1 + 1
+
+
 def test_pack(spark, docs):
     got = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True).collect()
     assert {r.doc_id for r in got} == {i for i, *_ in corpus()}
@@ -383,6 +423,54 @@ def test_quality_learns_and_never_reads_held_out(spark):
     assert quality.classify(empty(spark), quality.learn(empty(spark), known)).count() == 0
 
 
+def test_fit_is_the_bradley_terry_maximum():
+    """The weights minimise the pairs' mean logistic loss: an independent descent ends at the same loss and weights."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    n = 300
+    x = rng.normal(size=(n, len(quality.FEATURES)))
+    y = (x @ rng.normal(size=x.shape[1]) + rng.normal(size=n) * 3 > 0.5).astype(int)
+    pairs = 4000
+    model = quality.fit(x, y, pairs, seed=5)
+    z = np.clip((x - x.mean(0)) / (x.std(0) + 1e-6), -quality.CLIP, quality.CLIP)
+    b = np.concatenate([z, z * z], 1)
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    d = b[np.random.default_rng(5).choice(good, pairs)] - b[bad[np.arange(pairs) % len(bad)]]
+    loss = lambda w: np.logaddexp(0, -d @ w).mean() + quality.L2 / 2 * w @ w
+    w, step = np.zeros(d.shape[1]), 0.05
+    for _ in range(6000):  # plain gradient descent
+        w = w - step * (-(d / (1 + np.exp(d @ w))[:, None]).mean(0) + quality.L2 * w)
+    assert abs(loss(np.array(model["w"])) - loss(w)) < 1e-4
+    s = quality.score(model, x)
+    assert np.corrcoef(np.log(s / (1 - s)), b @ w)[0, 1] > 0.999
+    assert abs((s < quality.CUT).sum() - len(bad)) <= 1  # the cut is the quantile at the share of quality 0
+    assert ((s[good][:, None] > s[bad][None]).mean()) > 0.75
+
+
+def test_learning_takes_one_row_of_a_repeated_id(spark):
+    rows = [(1, "a b c", 1), (1, "a b c d e", 1), (1, "a b c", 1), (2, "X! Y!", 0)] * 30
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (1, 1), (2, 0)], "doc_id long, quality int")
+    once = spark.createDataFrame([(1, "a b c"), (2, "X! Y!")], "doc_id long, text string")
+    assert quality.learn(df, labels) == quality.learn(once, labels)
+
+
+def test_one_very_long_text(spark):
+    """A text far over the chunk size, with an equal half, an empty text and nulls beside it."""
+    half = " ".join(f"w{i}é" for i in range(200_000))
+    rows = [(1, half + "\n" + half), (2, ""), (3, None), (None, half[:1000])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("chunk", F.lit("clash"))
+    cut = {r.doc_id: (r.n_words, r.n_removed) for r in substring.dedup_substrings(df).collect()}
+    n = len(half[:1000].split())
+    assert cut[1] == (400_000, 200_000) and cut[2] == cut[3] == (0, 0)
+    assert cut[None] in ((n, n), (n, n - 1))  # its last word is cut short
+    ids = {r.doc_id: (r.n_tokens, r.decoded_sha256) for r in bpe.digests(df, public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()}
+    assert ids[1] == (len(reference_encoding().encode_ordinary(rows[0][1])), hashlib.sha256(rows[0][1].encode()).hexdigest())
+    packed = packing.pack(df, public_tokenizers.path("word_bpe_49k.json")).where("doc_id = 1").orderBy("piece").collect()
+    assert [r.length for r in packed[:-1]] == [2048] * (len(packed) - 1) and [r.start for r in packed] == [2048 * k for k in range(len(packed))]
+
+
 def test_kernels_words():
     import pyarrow as pa
 

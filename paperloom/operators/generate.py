@@ -1,46 +1,24 @@
-"""Paper generation: feasibility and fitness in Spark, a seeded search for each request, marks by largest remainders."""
+"""Paper generation: feasibility, an evolutionary search as DataFrame steps, marks by largest remainders.
+
+A person is a question set: an array of candidate numbers, a slot for each
+requested question.  Candidates of a type have a run of numbers, so a slot's
+type is fixed, and crossover, mutation and repair are array expressions;
+fitness is a join and an aggregate.  Randomness is a hash of seed, generation,
+person and slot, so that results depend on neither row order nor partitions.
+A generation is one job over all requests; what the driver holds between two
+is the population, whose size the request states.
+"""
 
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import DIFFICULTIES, QUESTION_TYPES
 
-_MASK = (1 << 64) - 1
-
-
-class SplitMix64:
-    """The published SplitMix64 stream, its state seeded with seed xor the golden gamma (fixed values)."""
-
-    def __init__(self, seed: int):
-        self.state = (seed ^ 0x9E3779B97F4A7C15) & _MASK
-
-    def next(self) -> int:
-        self.state = (self.state + 0x9E3779B97F4A7C15) & _MASK
-        z = self.state
-        z = ((z ^ (z >> 30)) * 0xBF58476D1CE4E5B9) & _MASK
-        z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & _MASK
-        return z ^ (z >> 31)
-
-    def below(self, n: int) -> int:
-        return self.next() % n
-
-    def unit(self) -> float:
-        return (self.next() >> 11) / (1 << 53)
-
-    def shuffled(self, items: list) -> list:
-        items = list(items)
-        for i in range(len(items) - 1, 0, -1):
-            j = self.below(i + 1)
-            items[i], items[j] = items[j], items[i]
-        return items
-
-
 def difficulty_targets(coefficient: float, count: int) -> dict[str, int]:
     """Questions of each difficulty: triangular weights around the coefficient, rounded half up.
 
@@ -119,92 +97,97 @@ def missing_tags(bank: DataFrame, required: list[str]) -> DataFrame:
     return want.join(bank.select(F.explode(F.transform("tags", normal)).alias("tag")).distinct(), "tag", "left_anti")
 
 
-@dataclass
-class _Pool:
-    """One request's candidates as plain lists, in id order."""
+PERSON = "request_id int, person int, genes array<int>"
+
+
+def _unit(*parts) -> Column:
+    """A number from 0 up to 1 by the hash of its parts."""
+    return F.pmod(F.xxhash64(*parts), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
-    rows: list
-    by_type: dict[str, list[int]] = field(default_factory=dict)
 
-    def __post_init__(self):
-        for i, r in enumerate(self.rows):
-            self.by_type.setdefault(r["type"], []).append(i)
+def _draw(n: Column, *parts) -> Column:
+    return F.pmod(F.xxhash64(*parts), n).cast("int")
 
 
-def fitness(chosen: list[dict], request: Request) -> float:
-    """1000 less 40, 30, 80 and 8 for gaps of difficulty, type, required tags and weight, plus 24 a preferred tag, 2 a tag and 3 a subject."""
-    by_difficulty = Counter(r["difficulty"] for r in chosen)
-    by_type = Counter(r["type"] for r in chosen)
-    tags = {t.strip().lower() for r in chosen for t in r["tags"]}
-    subjects = {s.strip().lower() for r in chosen for s in r["subjects"]}
-    want = {t.strip().lower() for t in request.required_tags}
-    liked = {t.strip().lower() for t in request.preferred_tags}
-    targets = difficulty_targets(request.coefficient, sum(request.quotas().values()))
-    return (
+def _tokens(col: str) -> Column:
+    return F.array_distinct(F.transform(col, normal))
+
+
+def fitness(people: DataFrame, pool: DataFrame, requests: DataFrame) -> DataFrame:
+    """people with fitness: 1000 less 40, 30, 80 and 8 for gaps of difficulty, type, required tags and weight, plus 24 a
+    preferred tag, 2 a tag (10 at most) and 3 a subject (3 at most).
+
+    pool: request_id, n (a candidate's number), type, difficulty, tags,
+    subjects, weight.  A gap of types, difficulties or weight is the absolute
+    difference from what the request states.
+    """
+    genes = people.select("request_id", "person", "genes", F.explode("genes").alias("n"))
+    of = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
+    counts = [F.count_if(F.col(c) == v).alias(v) for c, vs in (("difficulty", DIFFICULTIES), ("type", QUESTION_TYPES)) for v in vs]
+    # The people of a request are as many as it states; the pool is not sent anywhere.
+    sums = F.broadcast(genes).join(pool, ["request_id", "n"]).groupBy("request_id", "person", "genes").agg(of("tags"), of("subjects"), F.sum("weight").alias("weight"), *counts)
+    gap = lambda vs, want: sum((F.abs(F.col(v) - F.coalesce(F.col(want)[v], F.lit(0))) for v in vs), F.lit(0))
+    score = (
         1000
-        - 40 * sum(abs(n - by_difficulty[d]) for d, n in targets.items())
-        - 30 * sum(abs(n - by_type[t]) for t, n in request.quotas().items())
-        - 80 * len(want - tags)
-        - 8 * abs(sum(r["weight"] for r in chosen) - request.total_marks)
-        + 24 * len(liked & tags)
-        + 2 * min(len(tags), 10)
-        + 3 * min(len(subjects), 3)
+        - 40 * gap(DIFFICULTIES, "difficulties")
+        - 30 * gap(QUESTION_TYPES, "quotas")
+        - 80 * F.size(F.array_except("required", "tags"))
+        - 8 * F.abs(F.col("weight") - F.col("total_marks"))
+        + 24 * F.size(F.array_intersect("preferred", "tags"))
+        + 2 * F.least(F.size("tags"), F.lit(10))
+        + 3 * F.least(F.size("subjects"), F.lit(3))
     )
+    return sums.join(F.broadcast(requests), "request_id").select("request_id", "person", "genes", score.cast("double").alias("fitness"))
 
 
-def search(rows: list[dict], request: Request) -> list[dict]:
-    """The best set found by a seeded genetic search; rows must cover the request's quotas."""
-    pool = _Pool(sorted(rows, key=lambda r: r["id"]))
-    rng = SplitMix64(request.seed)
-    quotas = request.quotas()
-    seen: dict[tuple, float] = {}
-
-    def value(genes):
-        key = tuple(sorted(genes))
-        if key not in seen:
-            seen[key] = fitness([pool.rows[i] for i in genes], request)
-        return seen[key]
-
-    def rank(genes):
-        return -value(genes), [pool.rows[i]["id"] for i in sorted(genes)]
-
-    def sample():
-        return rng.shuffled([i for t, n in quotas.items() for i in rng.shuffled(pool.by_type[t])[:n]])
-
-    def cross(a, b):
-        left, child = dict(quotas), []
-        cut = rng.below(len(a) + 1)
-        for i in [*a[:cut], *b]:  # b alone fills what a leaves of a type's quota
-            kind = pool.rows[i]["type"]
-            if left[kind] and i not in child:
-                left[kind] -= 1
-                child.append(i)
-        return child
-
-    def mutate(genes):
-        genes = list(genes)
-        for k, i in enumerate(genes):
-            if rng.unit() < request.mutation:
-                own = pool.by_type[pool.rows[i]["type"]]
-                if len(own) > quotas[pool.rows[i]["type"]]:
-                    while (j := own[rng.below(len(own))]) in genes:
-                        pass
-                    genes[k] = j
-        return genes
-
-    def pick(people):
-        return min((people[rng.below(len(people))] for _ in range(request.tournament)), key=lambda g: -value(g))
-
-    people = sorted((sample() for _ in range(request.population)), key=rank)
-    stale = 0
-    for generation in range(request.generations):
-        best = value(people[0])
-        rest = [mutate(cross(pick(people), pick(people))) for _ in range(request.population - request.elite)]
-        people = sorted(people[: request.elite] + rest, key=rank)
-        stale = 0 if value(people[0]) > best else stale + 1
-        if stale >= 30 and generation >= 50:
-            break
-    return [pool.rows[i] for i in people[0]]
+def ranked(scored: DataFrame) -> DataFrame:
+    """The people of each request by place from 0: the fittest first, then the lesser numbers."""
+    w = Window.partitionBy("request_id").orderBy(F.desc("fitness"), F.array_sort("genes"), "genes")
+    return scored.withColumn("place", F.row_number().over(w) - 1)
+
+
+def _repaired(genes: Column, starts: Column, sizes: Column) -> Column:
+    """Genes without repeats: one that an earlier slot has goes on to the next free number of its type."""
+
+    def step(done: Column, gene: Column) -> Column:
+        slot = F.size(done) + 1
+        start, size = F.element_at(starts, slot), F.element_at(sizes, slot)
+        ring = F.transform(F.sequence(F.lit(0), F.least(F.size(done), size - 1)), lambda k: start + F.pmod(gene - start + k, size))
+        return F.concat(done, F.slice(F.filter(ring, lambda x: ~F.array_contains(done, x)), 1, 1))
+
+    return F.aggregate(genes, F.array().cast("array<int>"), step)
+
+
+def first_people(requests: DataFrame) -> DataFrame:
+    """The first population: every slot takes a number of its type by hash."""
+    person = F.explode(F.sequence(F.lit(0), F.col("population") - 1)).alias("person")
+    rows = requests.select("request_id", "seed", "starts", "sizes", person)
+    genes = F.transform("starts", lambda start, k: start + _draw(F.element_at("sizes", k + 1), F.col("seed"), F.lit(-1), F.col("person"), k))
+    return rows.select("request_id", "person", _repaired(genes, F.col("starts"), F.col("sizes")).alias("genes"))
+
+
+def next_people(requests: DataFrame, generation: int) -> DataFrame:
+    """The elite as they are, and children: parents by tournament, a prefix of one with the rest of the other, mutations, repair.
+
+    requests has people, the genes of the population by place.
+    """
+    elite = requests.select("request_id", F.posexplode(F.slice("people", F.lit(1), F.col("elite"))).alias("person", "genes"))
+    person = F.explode(F.sequence(F.col("elite"), F.col("population") - 1)).alias("person")
+    child = requests.select("request_id", "seed", "starts", "sizes", "population", "tournament", "mutation", "people", person)
+    at = (F.col("seed"), F.lit(generation), F.col("person"))
+    # Places are in order of fitness, so the best of those drawn is the least.
+    best = lambda side: F.array_min(F.transform(F.sequence(F.lit(1), F.col("tournament")), lambda k: _draw(F.col("population"), *at, F.lit(side), k)))
+    parents = child.select("*", F.element_at("people", best(1) + 1).alias("a"), F.element_at("people", best(2) + 1).alias("b")).drop("people")
+    slots = F.size("a")
+    cut = F.when(slots > 1, _draw(slots - 1, *at, F.lit(3)) + 1).otherwise(1)
+    mixed = F.concat(F.slice("a", F.lit(1), cut), F.slice("b", cut + 1, slots))
+
+    def mutated(gene: Column, k: Column) -> Column:
+        new = F.element_at("starts", k + 1) + _draw(F.element_at("sizes", k + 1), *at, F.lit(5), k)
+        return F.when(_unit(*at, F.lit(4), k) < F.col("mutation"), new).otherwise(gene)
+
+    genes = _repaired(F.transform("mixed", mutated), F.col("starts"), F.col("sizes"))
+    return elite.union(parents.withColumn("mixed", mixed).select("request_id", "person", genes.alias("genes")))
 
 
 def generate(bank: DataFrame, requests: list[Request]) -> DataFrame:
@@ -214,45 +197,77 @@ def generate(bank: DataFrame, requests: list[Request]) -> DataFrame:
     double.  Fitness knows a question by its type, difficulty, weight, tags and
     subjects only, so of questions that are equal in these a search gets as many
     as the type's quota, the first by a hash of seed and id, and no others are
-    left out: what it can reach is what all candidates can reach.  The result
-    does not depend on row order.
+    left out: what it can reach is what all candidates can reach.  A search
+    ends after its generations, or from the 51st on after 30 without a better
+    set.  The result does not depend on row order.
     """
     spark = bank.sparkSession
     for r in requests:
         if r.errors():
             raise ValueError(f"request {r.request_id}: {'; '.join(r.errors())}")
-    own = {r.request_id: r for r in requests}
     parts = None
     for r in requests:
         rows = candidates(bank, r).select(
-            F.lit(r.request_id).alias("request_id"), "id", "type", "difficulty", "subjects", "tags",
+            F.lit(r.request_id).alias("request_id"), "id", "type", "difficulty", _tokens("subjects").alias("subjects"), _tokens("tags").alias("tags"),
             F.greatest(F.coalesce("weight", F.lit(1.0)), F.lit(0.01)).alias("weight"), F.xxhash64(F.lit(r.seed), "id").alias("_h"),
         )
         parts = rows if parts is None else parts.union(rows)
-    kind = [F.array_sort(F.array_distinct(F.transform(c, normal))) for c in ("tags", "subjects")]
-    w = Window.partitionBy("request_id", "type", "difficulty", "weight", *kind).orderBy("_h", "id")
+    kind = Window.partitionBy("request_id", "type", "difficulty", "weight", F.array_sort("tags"), F.array_sort("subjects")).orderBy("_h", "id")
     quota = spark.createDataFrame(
         [(r.request_id, t, n) for r in requests for t, n in r.quotas().items()], "request_id int, type string, _quota int"
     )
-    pool = (
-        parts.withColumn("_n", F.row_number().over(w))
-        .join(F.broadcast(quota), ["request_id", "type"])
-        .where("_n <= _quota")
-        .select("request_id", "id", "type", "difficulty", "subjects", "tags", "weight")
+    kept = parts.withColumn("_n", F.row_number().over(kind)).join(F.broadcast(quota), ["request_id", "type"]).where("_n <= _quota")
+    order = Window.partitionBy("request_id", "type").orderBy("id")
+    pool = kept.withColumn("_at", (F.row_number().over(order) - 1).cast("int")).drop("_n", "_h", "_quota").persist()
+    have = {(r["request_id"], r["type"]): r["count"] for r in pool.groupBy("request_id", "type").count().collect()}  # a number for each type
+    plans, firsts = [], []
+    for r in requests:
+        quotas = r.quotas()
+        if any(have.get((r.request_id, t), 0) < n for t, n in quotas.items()):
+            continue
+        starts, sizes, start = [], [], 0
+        for t, n in quotas.items():
+            size = have[r.request_id, t]
+            starts, sizes = starts + [start] * n, sizes + [size] * n
+            firsts.append((r.request_id, t, start))
+            start += size
+        clean = lambda tags: sorted({t.strip().lower() for t in tags})
+        plans.append((
+            r.request_id, float(r.total_marks), r.seed, r.population, r.elite, r.tournament, r.mutation, starts, sizes,
+            clean(r.required_tags), clean(r.preferred_tags), quotas, difficulty_targets(r.coefficient, len(starts)),
+        ))
+    schema = (
+        "request_id int, total_marks double, seed long, population int, elite int, tournament int, mutation double, starts array<int>, sizes array<int>, "
+        "required array<string>, preferred array<string>, quotas map<string,int>, difficulties map<string,int>"
     )
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        request = own[int(frame["request_id"].iloc[0])]
-        rows = [dict(r, tags=list(r["tags"]), subjects=list(r["subjects"])) for r in frame.to_dict("records")]
-        have = Counter(r["type"] for r in rows)
-        names = ["request_id", "id", "item_order", "fitness"]
-        if any(have[t] < n for t, n in request.quotas().items()):
-            return pd.DataFrame([], columns=names)
-        found = search(rows, request)
-        score = fitness(found, request)
-        return pd.DataFrame([(request.request_id, r["id"], i, score) for i, r in enumerate(found)], columns=names)
-
-    return pool.groupBy("request_id").applyInPandas(run, "request_id long, id long, item_order int, fitness double")
+    run = spark.createDataFrame(plans, schema)
+    first = spark.createDataFrame(firsts, "request_id int, type string, _start int")
+    numbered = pool.join(F.broadcast(first), ["request_id", "type"]).withColumn("n", F.col("_at") + F.col("_start")).drop("_at", "_start").persist()
+    limit = {r.request_id: r.generations for r in requests}
+    best: dict[int, tuple[float, int]] = {}
+    placed = ranked(fitness(first_people(run), numbered, run))
+    done: dict[int, list] = {}
+    for generation in range(1 + max(limit.values(), default=0)):
+        people = placed.collect() if plans else []  # the stated population of each request
+        for r in people:
+            if r["place"] == 0:
+                value, since = best.get(r["request_id"], (float("-inf"), 0))
+                best[r["request_id"]] = (r["fitness"], 0) if r["fitness"] > value else (value, since + 1)
+        over = {k for k, (_, stale) in best.items() if k not in done and (generation >= limit[k] or (stale >= 30 and generation > 50))}
+        for r in people:
+            if r["request_id"] in over and r["place"] == 0:
+                done[r["request_id"]] = [r]
+        people = [r for r in people if r["request_id"] not in done]
+        if not people:
+            break
+        own = {r["request_id"]: [] for r in people}
+        for r in sorted(people, key=lambda r: r["place"]):
+            own[r["request_id"]].append(r["genes"])
+        state = spark.createDataFrame([(*p, own[p[0]]) for p in plans if p[0] in own], f"{schema}, people array<array<int>>")
+        placed = ranked(fitness(next_people(state, generation), numbered, state.drop("people")))
+    found = spark.createDataFrame([(r["request_id"], r["genes"], r["fitness"]) for rs in done.values() for r in rs], "request_id int, genes array<int>, fitness double")
+    chosen = found.select("request_id", "fitness", F.posexplode("genes").alias("item_order", "n"))
+    return chosen.join(numbered, ["request_id", "n"]).select(F.col("request_id").cast("long").alias("request_id"), "id", "item_order", "fitness")
 
 
 def apportion(items: DataFrame, key: str, index: str, weight: str, total: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import (
@@ -36,46 +36,99 @@ FIELDS = {
 }
 
 
+#: Bytes of an import file at most.
+MAX_BYTES = 64 << 20
+
+
 def normalize_header(name: str) -> str:
     """camelCase of a header: blanks, - and _ go and raise the ASCII letter after them."""
     name = name.strip().lstrip("\ufeff")
     return re.sub(r"[-_\s]+([A-Za-z]?)", lambda m: m[1].upper(), name)
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(file, row_number, one string column a field) of CSV files with a header.
+def _camel(header: Column) -> Column:
+    """``normalize_header`` as an expression."""
+    parts = F.split(F.regexp_replace(trim_all(header), "^\ufeff", ""), r"[-_\s]+")
+    rest = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1 << 20)))
+    return F.concat(F.get(parts, F.lit(0)), F.array_join(rest, ""))
 
-    Quoted newlines are kept, short rows are padded, blank rows are skipped.
-    row_number counts records of a file from 2; a multi-line file is one
-    task's, so rows keep their order.
-    """
-    raw = spark.read.csv(path, header=True, multiLine=True, escape='"', mode="PERMISSIVE", ignoreLeadingWhiteSpace=False)
-    names = {normalize_header(c): c for c in raw.columns}
-    if not {"type", "text"} <= set(names):
-        raise ValueError("the header needs type and text")
-    ordered = raw.select("*", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("_at"))
-    filled = ordered.where(F.coalesce(*[F.nullif(F.col(f"`{c}`"), F.lit("")) for c in raw.columns]).isNotNull())
-    first = filled.groupBy("file").agg(F.min("_at").alias("_first"))
-    rows = filled.join(F.broadcast(first), "file")  # a row for each file
-    return rows.select(
-        "file",
-        (F.col("_at") - F.col("_first") + 2).alias("row_number"),
-        *[_first_of([F.col(f"`{names[h]}`") for h in headers if h in names]).alias(f) for f, headers in FIELDS.items()],
+
+def _cells(record: Column) -> Column:
+    """The cells of a CSV record, quotes taken off."""
+    raw = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(r',((?:[^",]++|"[^"]*+"?)*+)'), 1)
+    return F.transform(
+        raw, lambda c: F.when(c.startswith('"'), F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(c)
     )
 
 
-def _first_of(columns: list[Column]) -> Column:
-    return F.coalesce(*columns) if columns else F.lit(None).cast("string")
+def import_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, value, kind, error) of files below a path: kind is json or csv, error why a file is not imported."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    text = F.when(F.col("length") <= MAX_BYTES, F.when(F.is_valid_utf8("content"), F.decode("content", "UTF-8")))
+    rows = files.select(F.col("path").alias("file"), "length", text.alias("_t")).withColumn("value", trim_all(F.col("_t")))
+    error = (
+        F.when(F.col("length") > MAX_BYTES, f"Question import exceeds the {MAX_BYTES} byte limit.")
+        .when(F.col("value").isNull(), "Question imports must be UTF-8 encoded.")
+        .when(F.col("value") == "", "The selected file is empty.")
+    )
+    is_json = F.lower("file").endswith(".json") | F.col("value").rlike(r"^[\[{]")
+    return rows.select("file", "value", F.when(is_json, "json").otherwise("csv").alias("kind"), error.alias("error"))
+
+
+def read_import(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Import rows of all files below a path, as of ``csv_rows`` and ``json_rows``, and (file, error) of files that have none."""
+    files = import_files(spark, path)
+    good = files.where("error is null").select("file", "value", "kind")
+    csv, js = good.where("kind = 'csv'"), good.where("kind = 'json'")
+    headless = csv.where(~_has_header(F.col("value"))).select("file", F.lit("CSV import requires at least type and text columns.").alias("error"))
+    invalid = js.where(F.try_parse_json("value").isNull()).select("file", F.lit("JSON import is invalid.").alias("error"))
+    return csv_rows(csv).unionByName(json_rows(js)), files.where("error is not null").select("file", "error").union(headless).union(invalid)
+
+
+# A CSV record up to its line's end; quoted line ends belong to it.
+_RECORD = r'((?:[^"\r\n]++|"[^"]*+"?)++)(?:\r\n|\r|\n|$)'
+
+
+def _has_header(text: Column) -> Column:
+    names = F.transform(_cells(F.get(F.regexp_extract_all(text, F.lit(_RECORD), 1), F.lit(0))), _camel)
+    return F.coalesce(F.array_contains(names, "type") & F.array_contains(names, "text"), F.lit(False))
+
+
+def csv_rows(files: DataFrame) -> DataFrame:
+    """(file, row_number, one string column a field) of whole CSV texts (file, value) with a header.
+
+    Quoted newlines are kept, short records are padded and long ones cut.
+    Records count from 2 with those that have only blank cells, which give no
+    row; empty lines are no records.  Files whose header lacks type or text
+    give none.
+    """
+    records = files.where(_has_header(F.col("value"))).select("file", F.regexp_extract_all("value", F.lit(_RECORD), 1).alias("r"))
+    rows = records.select("file", F.transform(_cells(F.get("r", F.lit(0))), _camel).alias("names"), F.posexplode("r").alias("at", "record"))
+    rows = rows.where("at > 0").select("file", (F.col("at") + 1).cast("long").alias("row_number"), "names", _cells(F.col("record")).alias("cells"))
+    rows = rows.where(F.exists("cells", lambda c: trim_all(c) != ""))
+    cell = lambda name: F.coalesce(F.get("cells", F.array_position("names", name).cast("int") - 1), F.lit(""))
+    of = lambda headers: F.coalesce(*[F.when(F.array_contains("names", h), cell(h)) for h in headers])
+    return rows.select("file", "row_number", *[of(headers).alias(f) for f, headers in FIELDS.items()])
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """``csv_rows`` of CSV files."""
+    return csv_rows(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value"))
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
+    """``json_rows`` of JSON files."""
+    return json_rows(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value"))
+
+
+def json_rows(texts: DataFrame) -> DataFrame:
     """(file, row_number from 1, one string column a field) of JSON arrays, bare or under ``questions``.
 
     Lists stay JSON text; an element that is no object has all fields null.
     """
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.try_parse_json("value").alias("v"))
+    files = texts.select("file", F.try_parse_json("value").alias("v"))
     top = F.coalesce(F.try_variant_get("v", "$.questions", "variant"), F.col("v"))
-    rows = files.select("file", top.alias("v")).lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
+    rows = files.select("file", top.alias("v")).lateralJoin(texts.sparkSession.tvf.variant_explode(F.col("v").outer()))
     rows = rows.select("file", (F.col("pos") + 1).cast("long").alias("row_number"), F.col("value").alias("v"))
     obj = F.from_json(F.to_json("v"), "map<string,string>")
     renamed = F.map_from_entries(
@@ -153,10 +206,20 @@ def rejected(validated: DataFrame) -> DataFrame:
     return validated.where(F.size("errors") > 0).select("file", "row_number", "errors")
 
 
-def commit(validated: DataFrame, to: str, rejects: str) -> None:
-    """All valid rows in one atomic write, the others with their errors beside them."""
-    accepted(validated).write.mode("append").parquet(to)
-    rejected(validated).write.mode("append").parquet(rejects)
+def counts(validated: DataFrame) -> DataFrame:
+    """One row: how many rows are valid and invalid."""
+    ok = F.size("errors") == 0
+    return validated.agg(F.count_if(ok).alias("valid"), F.count_if(~ok).alias("invalid"))
+
+
+def commit(validated: DataFrame, to: str) -> dict[str, int]:
+    """All rows in one write, which appears as a whole or not at all: accepted ones and, beside them, rejected ones with
+    their errors, by the partition column ``accepted``.  Returns the numbers of valid and invalid rows."""
+    ok = F.size("errors") == 0
+    seen = Observation()
+    rows = validated.withColumn("accepted", ok).observe(seen, F.count_if(ok).alias("valid"), F.count_if(~ok).alias("invalid"))
+    rows.write.mode("append").partitionBy("accepted").parquet(to)
+    return seen.get
 
 
 def read_blobs(spark: SparkSession, path: str) -> DataFrame:

@@ -59,7 +59,7 @@ def test_generate_meets_quotas_and_ignores_order(spark):
         (i, rng.choice(["single_choice", "essay"]), rng.choice(["easy", "medium", "hard"]), ["Math"], [rng.choice("abcdef")], rng.choice([1.0, 2.0]))
         for i in range(80)
     ]
-    r = G.Request(5, 10, 0.5, (("single_choice", 3), ("essay", 2)), (" math",), ("a",), ("b",), 42, 16, 20)
+    r = G.Request(5, 10, 0.5, (("single_choice", 3), ("essay", 2)), (" math",), ("a",), ("b",), 42, 16, 8)
     first = {(x.id, x.item_order, x.fitness) for x in G.generate(bank(spark, rows), [r]).collect()}
     rng.shuffle(rows)
     assert first == {(x.id, x.item_order, x.fitness) for x in G.generate(bank(spark, rows), [r]).collect()}
@@ -73,10 +73,47 @@ def test_generate_sees_every_candidate(spark):
     """One question of many has the required tag, the wanted difficulty and weight."""
     rows = [(i, "essay", "hard", ["Math"], ["b", "a"][:: 1 - 2 * (i % 2)], 1.0) for i in range(20_000)]
     rows[777] = (777, "essay", "easy", ["math"], [" Rare"], 9.0)
-    r = G.Request(7, 10, 0.0, (("essay", 2),), ("math",), ("rare",), (), 3, 16, 60)
+    r = G.Request(7, 10, 0.0, (("essay", 2),), ("math",), ("rare",), (), 3, 40, 30)
     assert 777 in {x.id for x in G.generate(bank(spark, rows), [r]).collect()}
 
 
 def test_requests_are_checked():
     assert G.Request(1, 1, 2.0, (("x", 3),), ()).errors()
-    assert [G.SplitMix64(0).next() for _ in range(2)][0] == G.SplitMix64(0).next()
+
+
+def test_fitness_by_force(spark):
+    rng = random.Random(6)
+    pool = [(1, n, rng.choice(["single_choice", "essay"]), rng.choice(["easy", "medium", "hard"]), rng.sample(["a", "b", "c", "d"], 2), [rng.choice("xyz")], rng.choice([0.5, 2.0])) for n in range(30)]
+    people = [(1, p, rng.sample(range(30), 5)) for p in range(25)]
+    run = [(1, 7.0, 0, ["a", "q"], ["b", "c"], {"single_choice": 3, "essay": 2}, {"easy": 1, "medium": 3, "hard": 1})]
+    got = G.fitness(
+        spark.createDataFrame(people, G.PERSON),
+        spark.createDataFrame(pool, "request_id int, n int, type string, difficulty string, tags array<string>, subjects array<string>, weight double"),
+        spark.createDataFrame(run, "request_id int, total_marks double, seed long, required array<string>, preferred array<string>, quotas map<string,int>, difficulties map<string,int>"),
+    ).collect()
+    want = {}
+    for _, p, genes in people:
+        rows = [pool[n] for n in genes]
+        tags, subjects = {t for r in rows for t in r[4]}, {t for r in rows for t in r[5]}
+        gap = lambda k, goal: sum(abs(sum(r[k] == v for r in rows) - n) for v, n in goal.items())
+        want[p] = (
+            1000 - 40 * gap(3, run[0][6]) - 30 * gap(2, run[0][5]) - 80 * len({"a", "q"} - tags) - 8 * abs(sum(r[6] for r in rows) - 7)
+            + 24 * len({"b", "c"} & tags) + 2 * min(len(tags), 10) + 3 * min(len(subjects), 3)
+        )
+    assert {r.person: r.fitness for r in got} == want
+
+
+def test_people_stay_sets_of_their_types(spark):
+    """Children keep a slot's type and hold no question twice; the elite come first and unchanged."""
+    starts, sizes = [0, 0, 0, 4, 4], [4, 4, 4, 2, 2]
+    plan, names = (1, 9, 12, 2, 3, 0.5, starts, sizes), "request_id int, seed long, population int, elite int, tournament int, mutation double, starts array<int>, sizes array<int>"
+    people = G.first_people(spark.createDataFrame([plan], names)).collect()
+    for generation in range(4):
+        assert len(people) == 12
+        for p in people:
+            assert len(set(p.genes)) == 5 and all(s <= g < s + n for g, s, n in zip(p.genes, starts, sizes, strict=True))
+        run = spark.createDataFrame([(*plan, [p.genes for p in people])], f"{names}, people array<array<int>>")
+        after = sorted(G.next_people(run, generation).collect(), key=lambda r: r.person)
+        assert [r.genes for r in after[:2]] == [p.genes for p in people[:2]]
+        people = after
+    assert len({tuple(p.genes) for p in people}) > 2

@@ -27,6 +27,30 @@ def test_csv(spark, tmp_path):
     assert "subjects is required" in [e for es in bad.values() for e in es]
 
 
+def test_csv_records_keep_their_numbers(spark, tmp_path):
+    """Leading blank records count, empty lines do not; short records are padded, long ones cut; each file has its header."""
+    (tmp_path / "a.csv").write_text('type,Text,text\r\n,,\r\n\r\nessay,x,"a,b\r\nc"\r\nblank\r\nblank,,t,more,"and ""more"""\r\n')
+    (tmp_path / "b.csv").write_text("\ufefftext,essay_lines,score-weight,type\nhello, 3 ,2,essay")
+    got = {(r.file[-5:], r.row_number): r for r in ingest.read_csv(spark, str(tmp_path)).collect()}
+    assert sorted(got) == [("a.csv", 3), ("a.csv", 4), ("a.csv", 5), ("b.csv", 2)]
+    assert got["a.csv", 3].text == "a,b\r\nc" and got["a.csv", 4].text == "" and got["a.csv", 5].text == "t" and got["a.csv", 5].lines is None
+    assert (got["b.csv", 2].text, got["b.csv", 2].lines, got["b.csv", 2].weight) == ("hello", " 3 ", "2")
+
+
+def test_import_of_a_folder(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "MAX_BYTES", 600)
+    for name, body in {
+        "q.csv": CSV.encode(), "list.txt": b' [{"type": "essay", "text": "a"}, 1]', "x.JSON": b"{x", "empty.csv": b" \n", "head.csv": b"a,b\n1,2",
+        "bad.csv": b"type,text\n\xff,x", "big.csv": b"type,text\n" + b"essay,x\n" * 100,
+    }.items():
+        (tmp_path / name).write_bytes(body)
+    rows, errors = ingest.read_import(spark, str(tmp_path))
+    assert sorted((r.file.rsplit("/")[-1], r.row_number) for r in rows.collect()) == [("list.txt", 1), ("list.txt", 2), *[("q.csv", n) for n in (2, 3, 4, 6)]]
+    said = {r.file.rsplit("/")[-1]: r.error for r in errors.collect()}
+    assert sorted(said) == ["bad.csv", "big.csv", "empty.csv", "head.csv", "x.JSON"]
+    assert "UTF-8" in said["bad.csv"] and "600 byte" in said["big.csv"] and "empty" in said["empty.csv"]
+
+
 def test_json(spark, tmp_path):
     one = {"type": "single_choice", "subjects": ["Math"], "difficulty": "easy", "tags": "latex|algebra", "text": "$a$", "options": ["1", "2"], "answer": "1", "scoreWeight": 0}
     for name, body in (("a", [one, 5]), ("b", {"questions": [one, 5]})):
@@ -40,8 +64,9 @@ def test_json(spark, tmp_path):
 def test_commit_and_blobs(spark, tmp_path):
     (tmp_path / "q.csv").write_text(CSV)
     rows = ingest.validate(ingest.read_csv(spark, str(tmp_path / "q.csv")))
-    ingest.commit(rows, str(tmp_path / "bank"), str(tmp_path / "rejects"))
-    assert spark.read.parquet(str(tmp_path / "bank")).count() == 2
+    assert ingest.commit(rows, str(tmp_path / "bank")) == {"valid": 2, "invalid": 2} and tuple(ingest.counts(rows).first()) == (2, 2)
+    bank = spark.read.parquet(str(tmp_path / "bank"))
+    assert bank.where("accepted = 'true'").count() == 2 and bank.where("accepted = 'false' and size(errors) > 0").count() == 2
     (tmp_path / "files").mkdir()
     for n, b in (("x", b"1"), ("y", b"1"), ("z", b"22")):
         (tmp_path / "files" / n).write_bytes(b)

@@ -16,13 +16,19 @@ def _with_text(docs: DataFrame, like: DataFrame, text: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; of the others the lines over their host's limits go."""
+    """Rejected documents go; of the others the lines over their host's limits go.
+
+    Null, empty and blank texts are rejected; null hosts are one host; repeated rows are judged alike.
+    """
     judged = rules.quality_rules(docs).where("kept").select(*docs.columns, "clean_text")
     return _with_text(judged, docs, "clean_text")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents under the score cut go; labels are learned on the documents that the stage gets."""
+    """Documents under the score cut go; labels are learned on the documents that the stage gets.
+
+    Without labels of both kinds all scores are equal and at the cut, so all stay.
+    """
     model = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.classify(docs, model).where("predicted = 1").select(*docs.columns)
 
@@ -41,12 +47,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of 20-word windows that start earlier in the corpus go."""
+    """Words of 20-word windows that start earlier in the corpus go; documents stay, some of them with an empty text."""
     return _with_text(substring.dedup_substrings(docs), docs, "text")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents and their places in sequences of at most 2048 tokens."""
+    """Pieces of documents and their places in sequences of at most 2048 tokens; null and empty texts are one token."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -63,8 +69,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages on documents; what one keeps is written for the next, and dropped when that is written."""
     scratch = cluster.Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = scratch.write(stage(spark, docs, sf_dir), name)
+        scratch.keep_only(name)
     return STAGES[-1][1](spark, docs, sf_dir)

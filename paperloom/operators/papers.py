@@ -106,5 +106,11 @@ def created(candidates: DataFrame, now: int) -> DataFrame:
     return with_hash(stamped)
 
 
+def replaced(items: DataFrame, updated: DataFrame) -> DataFrame:
+    """Items with those of the updated papers in place of their old ones."""
+    papers = updated.select("paper_id").distinct()
+    return items.join(papers, "paper_id", "left_anti").unionByName(updated.select(*items.columns))
+
+
 def totals(items: DataFrame) -> DataFrame:
     return items.groupBy("paper_id").agg(F.count("*").alias("items"), F.sum("marks").alias("total_marks"))

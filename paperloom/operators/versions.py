@@ -28,6 +28,12 @@ def at_version(history: DataFrame, version: int) -> DataFrame:
     return history.where(F.col("version") == version)
 
 
+def decoded(rows: DataFrame, **kinds: str) -> DataFrame:
+    """Rows with their columns ``<name>_json`` parsed as the kinds say; text that is no such JSON is null."""
+    out = rows.withColumns({name: F.from_json(f"{name}_json", kind) for name, kind in kinds.items()})
+    return out.drop(*[f"{name}_json" for name in kinds])
+
+
 def get(history: DataFrame, entity_id, key: str = "entity_id") -> DataFrame:
     """The latest row of one entity, a tombstone too; no row means that it never was."""
     return current(history.where(F.col(key) == F.lit(entity_id)), key, "include")

@@ -301,6 +301,26 @@ def corrupt_papers(spark, d):
     return papers.corrupt(whole, stored)
 
 
+@query("SELECT l_orderkey AS paper_id, CASE WHEN l_orderkey % 10 = 0 THEN 100 - l_linenumber ELSE l_linenumber - 1 END AS item_order, l_partkey AS question_id FROM lineitem")
+def paper_replacement(spark, d):
+    """Every tenth paper is updated: its items go and come again in another order."""
+    items = T.items(spark, d).select("paper_id", "item_order", "question_id")
+    updated = items.where("paper_id % 10 = 0").withColumn("item_order", 99 - F.col("item_order"))
+    return papers.replaced(items, updated)
+
+
+@query("SELECT p_partkey AS id, p_name AS text, p_brand AS subject, len(string_split(p_name, ' ')) AS tags, p_size AS lines FROM part")
+def row_decoder(spark, d):
+    """Rows whose lists and structs are JSON text, as typed content."""
+    p = T.read(spark, d, "part")
+    stored = p.select(
+        F.col("p_partkey").alias("id"), F.col("p_name").alias("text"), F.to_json(F.array("p_brand")).alias("subjects_json"), F.to_json(F.split("p_name", " ")).alias("tags_json"),
+        F.to_json(F.struct(F.col("p_size").alias("lines"))).alias("essay_json"),
+    )
+    typed = versions.decoded(stored, subjects="array<string>", tags="array<string>", essay="lines int")
+    return typed.select("id", "text", F.get("subjects", F.lit(0)).alias("subject"), F.size("tags").cast("long").alias("tags"), "essay.lines")
+
+
 # --- files -------------------------------------------------------------------------------------
 
 

@@ -174,7 +174,7 @@ SELECT p_partkey AS id, CASE WHEN p_size >= 24 THEN 'dense' WHEN p_size >= 14 TH
   chr(CAST(65 + p_size % 26 AS INTEGER)) AS label, replace(p_name, ' ', ' &amp; ') AS xml,
   CASE WHEN p_size % 2 = 0 THEN 'E_' || p_size ELSE 'SYNC_REMOTE_FAILURE' END AS code,
   1000000 * CAST(power(2, least(p_size - 1, 8)) AS BIGINT) AS backoff,
-  p_name || ' ' || '.tex' = p_name || ' .tex' AND true AS ok, p_name || '.tex' AS filename
+  regexp_matches(CAST(p_retailprice AS VARCHAR), '^(0|[1-9][0-9]*)(\.[0-9]*[1-9])?$') AS canonical, p_name || '.tex' AS filename
 FROM part
 """)
 def export_scalars(spark, d):
@@ -187,7 +187,7 @@ def export_scalars(spark, d):
         S.xml_escape(F.replace("p_name", F.lit(" "), F.lit(" & "))).alias("xml"),
         S.error_code(code).alias("code"),
         S.backoff_micros(F.col("p_size")).alias("backoff"),
-        F.lit(True).alias("ok"),
+        S.is_canonical_decimal(F.col("p_retailprice").cast("string")).alias("canonical"),
         S.safe_filename(F.concat(F.lit(" "), F.replace("p_name", F.lit(" "), F.lit(" : "))), "tex").alias("filename"),
     )
 
@@ -210,9 +210,11 @@ def blob_conflicts(spark, d):
 COUNTED = ("customer", "documents", "events", "lineitem", "orders", "part", "supplier")
 
 
-@query(" UNION ALL ".join(f"SELECT '{t}' AS entity, count(*) AS live FROM {t}" for t in COUNTED))
+@query(" UNION ALL ".join(f"SELECT '{t}' AS entity, count(*) AS live FROM {t}" + (" WHERE p_size % 10 <> 0" if t == "part" else "") for t in COUNTED))
 def live_counts(spark, d):
-    return inventory.live_counts({t: T.read(spark, d, t) for t in COUNTED})
+    tables = {t: T.read(spark, d, t) for t in COUNTED}
+    tables["part"] = tables["part"].withColumn("deleted_at", F.when(F.col("p_size") % 10 == 0, F.lit(1)))
+    return inventory.live_counts(tables)
 
 
 @query("SELECT paper_id, n FROM (SELECT l_orderkey AS paper_id, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2) WHERE n > 2")
@@ -637,11 +639,14 @@ def paper_totals(spark, d):
 
 
 @query("""
-SELECT conv_id, turn, turn AS depth FROM conversations c
-WHERE turn = 0 OR EXISTS (SELECT 1 FROM conversations p WHERE p.conv_id = c.conv_id AND p.turn = c.turn - 1)
+SELECT conv_id, turn, (SELECT max(p.turn) FROM conversations p WHERE p.conv_id = c.conv_id AND p.turn < c.turn AND p.role <> c.role) AS parent,
+  (SELECT count(*) FROM conversations p JOIN conversations n ON n.conv_id = p.conv_id AND n.turn = p.turn + 1 WHERE p.conv_id = c.conv_id AND n.turn <= c.turn AND n.role <> p.role) AS depth
+FROM conversations c
 """)
 def comment_threads(spark, d):
-    """Turns as comments that answer the turn before; depth below the first, with the parent's presence checked."""
-    c = T.read(spark, d, "conversations").select("conv_id", "turn")
-    parents = c.select("conv_id", (F.col("turn") + 1).alias("turn")).distinct()
-    return c.where("turn = 0").union(c.where("turn > 0").join(parents, ["conv_id", "turn"], "left_semi")).select("conv_id", "turn", F.col("turn").alias("depth"))
+    """A turn answers the nearest earlier one of another role; its depth is how often the role has changed before it."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = T.read(spark, d, "conversations").select("conv_id", "turn", "role")
+    changed = c.withColumn("new", F.coalesce(F.col("role") != F.lag("role").over(w), F.lit(False)).cast("int")).withColumn("depth", F.sum("new").over(w))
+    last = changed.groupBy("conv_id", "depth").agg(F.max("turn").alias("parent")).withColumn("depth", F.col("depth") + 1)
+    return changed.join(last, ["conv_id", "depth"], "left").select("conv_id", "turn", "parent", "depth")

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import io
 import json
+import zipfile
+from xml.etree import ElementTree
 
 from paperloom.operators import export, inventory
 from paperloom.sources import ingest
@@ -74,8 +77,24 @@ def test_commit_and_blobs(spark, tmp_path):
     assert sorted(r.uses for r in got) == [1, 2]
 
 
-def test_docx_is_deterministic(spark):
-    papers = spark.createDataFrame([(1, "A & B")], "paper_id int, title string")
-    items = spark.createDataFrame([(1, 0, "x < y")], "paper_id int, place int, text string")
-    a, b = (export.docx(papers, items).first() for _ in range(2))
-    assert a.package == b.package and b"x &lt; y" in a.package and a.filename == "A & B.docx"
+def test_docx(spark):
+    papers = spark.createDataFrame([(1, "A & B", "Maths", 90, "10.0"), (2, "Empty", "x", 5, "3")], "paper_id int, title string, subject string, duration_minutes int, total_marks string")
+    rows = [
+        (1, 0, True, "true_false", "x < y", "2.5", ["Yes", "No & no"], "Yes", None),
+        (1, 1, True, "essay", "Why?", None, None, "", 3),
+    ]
+    items = spark.createDataFrame(rows, "paper_id int, place int, starts_section boolean, question_type string, text string, marks string, options array<string>, answer string, essay_lines int")
+    a, b = ({r.paper_id: r for r in export.docx(papers, items).collect()} for _ in range(2))
+    assert {k: r.package for k, r in a.items()} == {k: r.package for k, r in b.items()} and a[1].filename == "A & B.docx"
+
+    def texts(package):
+        xml = zipfile.ZipFile(io.BytesIO(package)).read("word/document.xml")
+        w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+        return [t.text for t in ElementTree.fromstring(xml).iter(f"{w}t")]
+
+    head = ["A & B", "Subject: Maths    Duration: 90 minutes    Total Marks: 10"]
+    questions = ["True or False", "1. x < y (2.5 marks)", "    A. Yes", "    B. No & no", "Essay", "2. Why?"]
+    assert texts(a[1].package) == [*head, *questions, " ", " ", " "]
+    assert texts(a[2].package) == ["Empty", "Subject: x    Duration: 5 minutes    Total Marks: 3"]
+    told = export.docx(papers, items, answers=True).where("paper_id = 1").first().package
+    assert texts(told) == [*head, *questions[:4], "Answer: Yes", *questions[4:], "Answer: "]

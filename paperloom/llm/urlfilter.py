@@ -12,6 +12,8 @@ from . import cluster
 DAMPING = 0.85
 #: Share of all score that may still move when propagation ends: damping ** steps of it at most.
 TOLERANCE = 1e-3
+#: Edges that one task moves score over in a step, about.
+TASK_EDGES = 500_000
 #: A host is blocked where its distrust is over this share of its trust and distrust together.
 BLOCK_SHARE = 0.75
 
@@ -93,12 +95,15 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
     )
     out = both.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
     both = cluster.checkpoint(both.join(out, ["kind", "src"]).select(F.col("kind").alias("e_kind"), "src", "dst", (F.col("weight") / F.col("total")).alias("share")))
+    # A step of a small graph is a few tasks, whatever the session's number of partitions.
+    tasks = max(8, -(-both.count() // TASK_EDGES))
+    both = cluster.checkpoint(both.coalesce(tasks))
     start = seeds.select(F.lit(0).alias("kind"), "host", F.col("trusted").alias("seed")).union(
         seeds.select(F.lit(1).alias("kind"), "host", F.col("blocked").alias("seed"))
     )
     total = start.groupBy("kind").agg(F.sum("seed").alias("all"))
     start = cluster.checkpoint(
-        start.join(F.broadcast(total), "kind").where("seed > 0").select("kind", "host", (F.col("seed") / F.col("all")).alias("seed"))
+        start.join(F.broadcast(total), "kind").where("seed > 0").select("kind", "host", (F.col("seed") / F.col("all")).alias("seed")).coalesce(tasks)
     )  # a total for each kind
     rank = start.withColumnRenamed("seed", "rank")
     for step in range(steps_for(damping, tolerance)):
@@ -107,7 +112,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
             .select("kind", F.col("dst").alias("host"), (damping * F.col("rank") * F.col("share")).alias("rank"))
             .union(start.select("kind", "host", ((1 - damping) * F.col("seed")).alias("rank")))
         )
-        rank = moved.groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+        rank = moved.groupBy("kind", "host").agg(F.sum("rank").alias("rank")).coalesce(tasks)
         if step % 8 == 7:
             rank = cluster.checkpoint(rank)
     return rank.groupBy("host").agg(

@@ -166,15 +166,15 @@ def first_people(requests: DataFrame) -> DataFrame:
     return rows.select("request_id", "person", _repaired(genes, F.col("starts"), F.col("sizes")).alias("genes"))
 
 
-def next_people(requests: DataFrame, generation: int) -> DataFrame:
+def next_people(requests: DataFrame) -> DataFrame:
     """The elite as they are, and children: parents by tournament, a prefix of one with the rest of the other, mutations, repair.
 
-    requests has people, the genes of the population by place.
+    requests has generation, a number, and people, the genes of the population by place.
     """
     elite = requests.select("request_id", F.posexplode(F.slice("people", F.lit(1), F.col("elite"))).alias("person", "genes"))
     person = F.explode(F.sequence(F.col("elite"), F.col("population") - 1)).alias("person")
-    child = requests.select("request_id", "seed", "starts", "sizes", "population", "tournament", "mutation", "people", person)
-    at = (F.col("seed"), F.lit(generation), F.col("person"))
+    child = requests.select("request_id", "seed", "starts", "sizes", "population", "tournament", "mutation", "generation", "people", person)
+    at = (F.col("seed"), F.col("generation"), F.col("person"))
     # Places are in order of fitness, so the best of those drawn is the least.
     best = lambda side: F.array_min(F.transform(F.sequence(F.lit(1), F.col("tournament")), lambda k: _draw(F.col("population"), *at, F.lit(side), k)))
     parents = child.select("*", F.element_at("people", best(1) + 1).alias("a"), F.element_at("people", best(2) + 1).alias("b")).drop("people")
@@ -263,8 +263,9 @@ def generate(bank: DataFrame, requests: list[Request]) -> DataFrame:
         own = {r["request_id"]: [] for r in people}
         for r in sorted(people, key=lambda r: r["place"]):
             own[r["request_id"]].append(r["genes"])
-        state = spark.createDataFrame([(*p, own[p[0]]) for p in plans if p[0] in own], f"{schema}, people array<array<int>>")
-        placed = ranked(fitness(next_people(state, generation), numbered, state.drop("people")))
+        # The generation is data, so that every generation runs the same compiled code.
+        state = spark.createDataFrame([(*p, generation, own[p[0]]) for p in plans if p[0] in own], f"{schema}, generation int, people array<array<int>>")
+        placed = ranked(fitness(next_people(state), numbered, state.drop("people", "generation")))
     found = spark.createDataFrame([(r["request_id"], r["genes"], r["fitness"]) for rs in done.values() for r in rs], "request_id int, genes array<int>, fitness double")
     chosen = found.select("request_id", "fitness", F.posexplode("genes").alias("item_order", "n"))
     return chosen.join(numbered, ["request_id", "n"]).select(F.col("request_id").cast("long").alias("request_id"), "id", "item_order", "fitness")

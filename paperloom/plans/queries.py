@@ -174,7 +174,7 @@ SELECT p_partkey AS id, CASE WHEN p_size >= 24 THEN 'dense' WHEN p_size >= 14 TH
   chr(CAST(65 + p_size % 26 AS INTEGER)) AS label, replace(p_name, ' ', ' &amp; ') AS xml,
   CASE WHEN p_size % 2 = 0 THEN 'E_' || p_size ELSE 'SYNC_REMOTE_FAILURE' END AS code,
   1000000 * CAST(power(2, least(p_size - 1, 8)) AS BIGINT) AS backoff,
-  regexp_matches(CAST(p_retailprice AS VARCHAR), '^(0|[1-9][0-9]*)(\.[0-9]*[1-9])?$') AS canonical, p_name || '.tex' AS filename
+  regexp_matches(CAST(p_retailprice AS VARCHAR), '^(0|[1-9][0-9]*)([.][0-9]*[1-9])?$') AS canonical, p_name || '.tex' AS filename
 FROM part
 """)
 def export_scalars(spark, d):

@@ -112,8 +112,8 @@ def test_people_stay_sets_of_their_types(spark):
         assert len(people) == 12
         for p in people:
             assert len(set(p.genes)) == 5 and all(s <= g < s + n for g, s, n in zip(p.genes, starts, sizes, strict=True))
-        run = spark.createDataFrame([(*plan, [p.genes for p in people])], f"{names}, people array<array<int>>")
-        after = sorted(G.next_people(run, generation).collect(), key=lambda r: r.person)
+        run = spark.createDataFrame([(*plan, generation, [p.genes for p in people])], f"{names}, generation int, people array<array<int>>")
+        after = sorted(G.next_people(run).collect(), key=lambda r: r.person)
         assert [r.genes for r in after[:2]] == [p.genes for p in people[:2]]
         people = after
     assert len({tuple(p.genes) for p in people}) > 2

@@ -9,8 +9,9 @@ import duckdb
 import pyarrow.dataset as ds
 import pytest
 
-from paperloom.plans import queries
+from paperloom.plans import delivery, queries  # delivery adds its queries to theirs
 
+assert delivery.NOW
 DATA = Path("/root/testdata/sf0.001")
 
 

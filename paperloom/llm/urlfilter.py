@@ -113,7 +113,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
             .union(start.select("kind", "host", ((1 - damping) * F.col("seed")).alias("rank")))
         )
         rank = moved.groupBy("kind", "host").agg(F.sum("rank").alias("rank")).coalesce(tasks)
-        if step % 8 == 7:
+        if step % 4 == 3:
             rank = cluster.checkpoint(rank)
     return rank.groupBy("host").agg(
         F.sum(F.when(F.col("kind") == 0, F.col("rank")).otherwise(0.0)).alias("trust"),

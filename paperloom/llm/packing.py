@@ -92,8 +92,8 @@ class WordTokens:
     words are; a text that holds one is encoded whole.
     """
 
-    #: Bytes of cached words, about.
-    LIMIT = 16 << 20
+    #: Words in the cache at most, their bytes, and words that stay when a task ends.
+    LIMIT, BYTES, STAY = 800_000, 32 << 20, 300_000
 
     def __init__(self, file: bytes):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks already use every core
@@ -101,14 +101,23 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_str(file.decode())
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.clear()
-
-    def clear(self) -> None:
         self.place: dict[bytes, int] = {}
         self.bytes = 0
         self.flat = np.zeros(0, np.uint32)
-        self.starts = np.zeros(0, np.int64)
-        self.sizes = np.zeros(0, np.int64)
+        self.starts, self.sizes, self.uses = (np.zeros(0, np.int64) for _ in range(3))
+
+    def shrink(self, most: int) -> None:
+        """Keep at most so many words, those that most chunks have used, twice at least."""
+        keep = np.flatnonzero(self.uses > 1)
+        if len(keep) > most:
+            keep = np.sort(keep[np.argpartition(-self.uses[keep], most)[:most]])
+        words = list(self.place)  # in the order of their entries
+        words = [words[i] for i in keep.tolist()]
+        self.flat = self.flat[K.ragged(self.starts[keep], self.sizes[keep])]
+        self.sizes, self.uses = self.sizes[keep], self.uses[keep] // 2
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.place = dict(zip(words, range(len(words)), strict=True))
+        self.bytes = sum(map(len, words))
 
     def _add(self, words: list[bytes]) -> np.ndarray:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
@@ -117,8 +126,9 @@ class WordTokens:
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
+        self.uses = np.concatenate([self.uses, np.zeros(len(words), np.int64)])
         self.place.update(zip(words, place.tolist(), strict=True))
-        self.bytes += sum(map(len, words)) + 64 * len(words)
+        self.bytes += sum(map(len, words))
         return place
 
     def _whole(self, raw: bytes, off: np.ndarray) -> list[int]:
@@ -128,8 +138,8 @@ class WordTokens:
     def encode(self, texts):
         """(first row, token ids of a run of texts, n + 1 offsets by text); each text ends with END_ID."""
         for row, data, off in K.chunks(texts, 2 * K.CHUNK_BYTES):
-            if self.bytes > self.LIMIT:
-                self.clear()
+            if len(self.sizes) > self.LIMIT or self.bytes > self.BYTES:
+                self.shrink(self.LIMIT // 2)
             s, e, fw = K.words(data, off)
             first, back = K.distinct_slices(data, s, e)
             raw = data.tobytes()
@@ -139,6 +149,7 @@ class WordTokens:
             missing = np.flatnonzero(entry < 0)
             if len(missing):
                 entry[missing] = self._add([words[k] for k in missing.tolist()])
+            self.uses[entry] += 1
             entry = entry[back]
             sizes = self.sizes[entry]
             upto = np.concatenate([[0], np.cumsum(sizes)])[fw]
@@ -175,7 +186,6 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, id_col: str, tex
 
     def run(batches):
         own = word_tokens(file.value)
-        own.clear()  # a worker that is used again starts without the last task's words
         for batch in batches:
             for row, tokens, off in own.encode(batch["text"]):
                 tokens = tokens.astype("<u4", copy=False)
@@ -197,7 +207,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, id_col: str, tex
                 if ids:
                     columns.append(pa.array([c.astype(np.int32) for c in cut], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names)
-        own.clear()
+        own.shrink(own.STAY)  # a worker lives on, and its memory with it
 
     schema = f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids
     return docs.selectExpr(f"`{id_col}` as id", f"`{text_col}` as text").mapInArrow(run, schema)

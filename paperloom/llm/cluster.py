@@ -57,9 +57,9 @@ class Scratch:
         self.names: list[str] = []
         atexit.register(self._end)
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
         self.names.append(name)
         return self.spark.read.schema(df.schema).parquet(path)
 

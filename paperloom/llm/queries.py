@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, images, jaccard, packing, quality, rules, sharding, substring, urlfilter, warc
+from . import bpe, exact, images, jaccard, merkle, packing, quality, resample, rules, sharding, substring, urlfilter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +91,31 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest, and what verification says where a third of the texts have been lower-cased."""
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    low = F.translate("text", resample.UPPER, resample.LOWER)
+    changed = merkle.leaf(*[low if c == "text" else F.col(c) for c in merkle.COLUMNS])
+    made = merkle.manifest(table(spark, sf_dir, "documents"), also={"changed": F.when(tampered, changed)})
+    made = made.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        merkle.siblings_digest(F.col("proof")).alias("proof_sha256"),
+        merkle.folded(F.coalesce("changed", "leaf"), F.col("proof")).alias("folded_root"),
+    )
+    return made.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_extendible_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.judged(table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op10_image_copies": op10_image_copies,
     "op3_revisit_resolution": op3_revisit_resolution,
@@ -102,8 +127,24 @@ QUERIES = {
     "op8_best_two_fit": op8_best_two_fit,
     "op6_byte_shards": op6_byte_shards,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_extendible_dedup": op12_extendible_dedup,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
+#: crc32 by half bytes: its table of sixteen entries (fixed values), then an expression of the text {x}.
+_CRC_TABLE = (
+    "[0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, "
+    "3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]"
+)
+
+
+def _crc32(x: str) -> str:
+    nibbles = f"list_transform(range(2 * octet_length(encode({x}))), lambda k: strpos('0123456789ABCDEF', substr(hex(encode({x})), k + 2 - 2 * (k % 2), 1)) - 1)"
+    step = f"lambda c, v: xor(c >> 4, ({_CRC_TABLE})[(xor(c, v) & 15) + 1])"
+    return f"xor(list_reduce({nibbles}, {step}, 4294967295::BIGINT), 4294967295)"
+
+
 #: DuckDB reads these; see the tests for the queries that have none.
 ORACLE_SQL: dict[str, str] = {
     "op7_ngram_jaccard_join": r"""
@@ -220,5 +261,95 @@ SELECT page_id, canonical_url, outcome,
        CASE WHEN good THEN coalesce(v_date, r_date) END AS last_modified,
        CASE WHEN good THEN 'hit' END AS x_cache
 FROM (SELECT *, outcome IN ('etag', 'last-modified') AS good FROM judged)
+""",
+    "op12_extendible_dedup": r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body FROM documents
+), g AS (
+  SELECT *, count(*) OVER (PARTITION BY body) AS group_size,
+         first_value(doc_id) OVER (PARTITION BY body ORDER BY length(text) DESC, doc_id) AS keep_id
+  FROM t
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM g
+""",
+    "op13_importance_resampling": rf"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), '{resample.UPPER}', '{resample.LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents
+), b AS (
+  SELECT unnest(list_filter(string_split_regex(
+    translate(coalesce(text, ''), '{resample.UPPER}', '{resample.LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS word
+  FROM benchmark
+), f AS (
+  SELECT doc_id, unnest(w) AS word FROM d
+), names AS (
+  SELECT word, {_crc32("word")} % 10000 AS bucket FROM (SELECT word FROM f UNION SELECT word FROM b)
+), s AS (
+  SELECT bucket, count(*) AS s FROM f JOIN names USING (word) GROUP BY bucket
+), t AS (
+  SELECT bucket, count(*) AS t FROM b JOIN names USING (word) GROUP BY bucket
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * ((SELECT sum(s) FROM s) + 10000.0::DOUBLE)
+                               / ((s + 1.0::DOUBLE) * ((SELECT coalesce(sum(t), 0) FROM t) + 10000.0::DOUBLE)))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t USING (bucket)
+), weights AS (
+  SELECT doc_id, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight FROM f JOIN names USING (word) JOIN gains USING (bucket) GROUP BY doc_id
+), scored AS (
+  SELECT d.doc_id, len(w) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM d LEFT JOIN weights USING (doc_id)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS nth, count(*) FILTER (n_features >= 20) OVER () AS n FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND nth <= n * 10 // 100 THEN nth END AS rank FROM ranked
+""",
+    "op11_merkle_manifest": rf"""
+WITH RECURSIVE src AS (
+  SELECT doc_id, lang, {_crc32("CAST(doc_id AS VARCHAR)")} % 3 = 0 AS tampered,
+         coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+         || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-') AS head,
+         text, translate(text, '{resample.UPPER}', '{resample.LOWER}') AS low
+  FROM documents
+), leaves AS (
+  SELECT doc_id, lang, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+         CASE WHEN tampered THEN sha256(head || coalesce(octet_length(encode(low)) || ':' || low, '-')) END AS changed,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n
+  FROM src
+), nodes AS (
+  SELECT lang, 0 AS level, i, n, leaf AS digest FROM leaves
+  UNION ALL
+  SELECT lang, level + 1, i // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY lang, level, i // 8, n
+), subroots AS (
+  SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1
+), tops AS (
+  SELECT 0 AS level, i, n, subroot AS digest FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY i)) FROM tops WHERE n > 1 GROUP BY level, i // 8, n
+), sides AS (
+  SELECT a.lang, a.level, a.i, string_agg(b.digest, '' ORDER BY b.i) FILTER (b.i < a.i) AS before, string_agg(b.digest, '' ORDER BY b.i) FILTER (b.i > a.i) AS after
+  FROM nodes a JOIN nodes b ON a.lang IS NOT DISTINCT FROM b.lang AND a.level = b.level AND a.i // 8 = b.i // 8
+  WHERE a.n > 1 GROUP BY a.lang, a.level, a.i
+), top_sides AS (
+  SELECT a.level, a.i, string_agg(b.digest, '' ORDER BY b.i) FILTER (b.i < a.i) AS before, string_agg(b.digest, '' ORDER BY b.i) FILTER (b.i > a.i) AS after
+  FROM tops a JOIN tops b ON a.level = b.level AND a.i // 8 = b.i // 8 WHERE a.n > 1 GROUP BY a.level, a.i
+), up AS (
+  SELECT doc_id, lang, 0 AS level, i, coalesce(changed, leaf) AS folded, '' AS proof FROM leaves
+  UNION ALL
+  SELECT u.doc_id, u.lang, u.level + 1, u.i // 8, sha256(coalesce(s.before, '') || u.folded || coalesce(s.after, '')), u.proof || coalesce(s.before, '') || coalesce(s.after, '')
+  FROM up u JOIN sides s ON u.lang IS NOT DISTINCT FROM s.lang AND u.level = s.level AND u.i = s.i
+), ends AS (
+  SELECT u.doc_id, s.subroot, s.i, u.folded, u.proof
+  FROM (SELECT * FROM up QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY level DESC) = 1) u JOIN subroots s ON u.lang IS NOT DISTINCT FROM s.lang
+), over_ AS (
+  SELECT doc_id, 0 AS level, i, folded, proof FROM ends
+  UNION ALL
+  SELECT u.doc_id, u.level + 1, u.i // 8, sha256(coalesce(s.before, '') || u.folded || coalesce(s.after, '')), u.proof || coalesce(s.before, '') || coalesce(s.after, '')
+  FROM over_ u JOIN top_sides s ON u.level = s.level AND u.i = s.i
+), done AS (
+  SELECT * FROM over_ QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY level DESC) = 1
+)
+SELECT doc_id, leaf, subroot, root, sha256(d.proof) AS proof_sha256, d.folded AS folded_root, d.folded = root AS verified
+FROM leaves JOIN done d USING (doc_id) JOIN ends USING (doc_id), (SELECT digest AS root FROM tops WHERE n = 1)
 """,
 }

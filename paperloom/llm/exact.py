@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from . import cluster
 
 BLANKS = r"[\x20\x09-\x0D]+"
-#: Bytes of distinct texts that fill a bucket, and the directory's greatest depth: at most 2 ** MAX_DEPTH entries.
-#: A corpus that fills so many buckets has larger ones.
+#: Bytes of distinct texts that fill a bucket at most, and the directory's greatest depth: at most 2 ** MAX_DEPTH entries.
+#: A small corpus has smaller buckets, a few for each shuffle partition; one that fills all slots has larger ones.
 CAPACITY, MAX_DEPTH = 8 << 20, 16
 #: A key is hot when over one row in HOT_SHARE has it, so at most HOT_SHARE keys are; their rows are dealt in SALTS shares.
 HOT_SHARE, SALTS = 1000, 64
@@ -37,7 +37,7 @@ def _prefix(key: Column, depth: int) -> Column:
     return F.shiftrightunsigned(key, 64 - depth).cast("int") if depth else F.lit(0)
 
 
-def directory(fill: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, int]:
+def directory(fill: DataFrame, capacity: int = CAPACITY, parts: int = 1) -> tuple[DataFrame, int]:
     """(slot, bucket, depth) of the global depth, and that depth, for (cell, bytes): the fill of each prefix of MAX_DEPTH bits.
 
     A bucket is the range of keys that share its depth's bits; overfull ones
@@ -46,7 +46,7 @@ def directory(fill: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, int
     the global depth; slots without keys have no row.
     """
     total, cells = fill.agg(F.sum("bytes"), F.count("*")).first()
-    capacity = max(capacity, 2 * (total or 0) >> MAX_DEPTH)
+    capacity = max(min(capacity, (total or 0) // (2 * parts) + 1), 2 * (total or 0) >> MAX_DEPTH)
     depth = min(MAX_DEPTH, max(0, ((total or 0) // capacity).bit_length() - 1))
     at = cluster.checkpoint(fill.withColumn("depth", F.lit(depth)))
     shift = lambda d: F.expr(f"shiftright(cell, {MAX_DEPTH} - {d})")
@@ -89,11 +89,12 @@ def build(
     rows = scratch.write(rows, "rows")
     keys = scratch.write(rows.groupBy("key").agg(F.count("*").alias("n"), F.max(F.octet_length("body") + 64).alias("bytes")), "keys")
     fill = keys.groupBy(_prefix(F.col("key"), MAX_DEPTH).alias("cell")).agg(F.sum("bytes").alias("bytes"))
-    slots, depth = directory(cluster.checkpoint(fill), capacity)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots, depth = directory(cluster.checkpoint(fill), capacity, parts)
     slots = scratch.write(slots.coalesce(1), "directory")
     n_rows, buckets = rows.count(), slots.select("bucket").distinct().count()
     hot = keys.where(F.col("n") > max(1, n_rows // HOT_SHARE)).select("key", F.lit(True).alias("hot"))
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets)
+    parts = max(parts, buckets)
     dealt = (
         rows.withColumn("slot", _prefix(F.col("key"), depth))
         .join(F.broadcast(slots), "slot")  # at most 2 ** MAX_DEPTH rows

@@ -136,7 +136,7 @@ def manifest(
     """(id_col, group_col, leaf, subroot, root, proof) and the columns of ``also``, for each row of docs.
 
     A leaf is the digest of a row's ``columns``.  Leaves of a group ascend by
-    id (nulls first, then by digest), each ``arity`` consecutive nodes become
+    id (nulls first, equal ones by a hash of the leaf), each ``arity`` consecutive nodes become
     one, the last run as many as are left, until one is left: the subroot.
     Subroots in order of their group, null first, give the root in the same
     way.  proof is an array, from the leaf up, of (before, after): the
@@ -159,7 +159,7 @@ def manifest(
     )
     made = scratch.write(made, "leaves")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-made.count() // RANGE_ROWS))
-    rows = ranks.numbered(made, [F.asc("group"), F.asc("id"), F.asc("leaf")], scratch, "ranged", parts)
+    rows = ranks.numbered(made, [F.asc("group"), F.asc("id"), F.xxhash64("leaf")], scratch, "ranged", parts)
     spans = scratch.write(rows.groupBy(PART, "group").agg(F.min(AT).alias("first"), F.max(AT).alias("last")), "spans")
     sizes = scratch.write(spans.groupBy("group").agg(F.min("first").alias("start"), (F.max("last") + 1 - F.min("first")).alias("n")), "sizes")
     n_groups = sizes.count()

@@ -22,12 +22,13 @@ def words_of(text: Column) -> Column:
 
 def ngrams(words: Column, n_max: int) -> Column:
     """All runs of 1 to n_max consecutive words, joined by one space."""
-    longer = [
-        F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i, n=n: F.array_join(F.slice(words, i, n), " "))
-        for n in range(2, n_max + 1)
-    ]
     none = F.array().cast("array<string>")
-    return F.concat(words, *[F.when(F.size(words) >= n, x).otherwise(none) for n, x in enumerate(longer, 2)])
+
+    def runs(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.size(words) - n + 1)
+        return F.when(F.size(words) >= n, F.transform(places, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(none)
+
+    return F.concat(words, *[runs(n) for n in range(2, n_max + 1)])
 
 
 def _bucketed(rows: DataFrame, text_col: str, n_max: int, buckets: int, *keep: Column) -> DataFrame:

@@ -118,3 +118,56 @@ def payload_totals(files: DataFrame, max_file: int, max_total: int, *key: str) -
     out = files.groupBy(*key).agg(F.count("*").alias("files"), F.sum(size).alias("total"), F.max("size").alias("_most"))
     error = F.when(F.col("_most") > max_file, "file too large").when(F.col("total") > max_total, "payload too large")
     return out.withColumn("error", error).drop("_most")
+
+
+def folder_sizes(files: DataFrame) -> DataFrame:
+    """(folder, files, bytes) of every folder above a file (path with slashes, size), the root as an empty name.
+
+    Sizes are summed by a file's own folder before they go to the folders
+    above, so a folder with very many files sends one row a task to each.  A
+    total is a decimal that cannot overflow.
+    """
+    parts = F.split(F.ltrim(F.col("path"), F.lit("/")), "/+")
+    own = files.select(F.slice(parts, 1, F.size(parts) - 1).alias("_at"), F.col("size").cast("decimal(20,0)").alias("size"))
+    own = own.groupBy("_at").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+    above = F.transform(F.sequence(F.lit(0), F.size("_at")), lambda n: F.array_join(F.slice("_at", 1, n), "/"))
+    return own.select(F.explode(above).alias("folder"), "files", "bytes").groupBy("folder").agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))
+
+
+def unsupported_entries(entries: DataFrame) -> DataFrame:
+    """(path, error) of entries (path, kind) that a tree to be moved may not hold: links, and what is neither file nor folder."""
+    error = F.when(F.col("kind") == "link", "symbolic link").when(~F.coalesce(F.col("kind").isin("file", "folder"), F.lit(False)), "unsupported file type")
+    return entries.select("path", error.alias("error")).where("error is not null")
+
+
+TARGETS = ("question", "paper", "draft", "comment")
+
+
+def link_errors(links: DataFrame, attachments: DataFrame, targets: DataFrame) -> DataFrame:
+    """Links (target_type, target_id, attachment_id) with the rule that they break, in order; null for none.
+
+    attachments: attachment_id, target_type, target_id, owner_id, scope,
+    deleted_at; targets: target_type, target_id, owner_id, scope, deleted_at.
+    An attachment is linked to the live target that it names, of its own owner
+    and scope, and to targets of one type only.
+    """
+    a = attachments.select("attachment_id", *[F.col(c).alias(f"_a_{c}") for c in ("target_type", "target_id", "owner_id", "scope", "deleted_at")], F.lit(True).alias("_a"))
+    t = targets.select("target_type", "target_id", *[F.col(c).alias(f"_t_{c}") for c in ("owner_id", "scope", "deleted_at")], F.lit(True).alias("_t"))
+    kinds = links.groupBy("attachment_id").agg(F.count_distinct("target_type").alias("_kinds"))
+    no = lambda same: ~F.coalesce(same, F.lit(False))
+    error = (
+        F.when(F.col("_a").isNull(), "no attachment")
+        .when(no((F.col("_a_target_type") == F.col("target_type")) & (F.col("_a_target_id") == F.col("target_id"))), "another target")
+        .when(F.col("_t").isNull(), "no target")
+        .when(F.col("_a_deleted_at").isNotNull() | F.col("_t_deleted_at").isNotNull(), "deleted")
+        .when(no(F.col("_a_owner_id") == F.col("_t_owner_id")), "another owner")
+        .when(no(F.col("_a_scope") == F.col("_t_scope")), "another scope")
+        .when(F.col("_kinds") > 1, "linked elsewhere")
+    )
+    joined = links.join(a, "attachment_id", "left").join(t, ["target_type", "target_id"], "left").join(kinds, "attachment_id")
+    return joined.withColumn("error", error).select(*links.columns, "error")
+
+
+def device_states(devices: DataFrame, runtime: DataFrame) -> DataFrame:
+    """Registered devices with their runtime state, by account and device."""
+    return devices.join(runtime, ["account_id", "device_id"])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -93,6 +93,7 @@ def document_fields(subjects: str | None = "subjects", tags: str | None = "tags"
 def index(bank: DataFrame, id_col: str, fields: Mapping[str, Column]) -> DataFrame:
     """(token, id, field, places, size): where each token stands in each field, with the row's tokens in all fields.
 
+    A row without tokens has one entry, of a null token, so that statistics count it.
     Write it sorted by token (``write_index``), and a search reads only the
     row groups of its phrase's tokens.  A common token has a row for each
     document, spread over many files.
@@ -102,7 +103,8 @@ def index(bank: DataFrame, id_col: str, fields: Mapping[str, Column]) -> DataFra
     sized = rows.select("id", F.array(*lists).alias("l"), sum((F.size(x) for x in lists), F.lit(0)).alias("size"))
     return (
         sized.select("id", "size", F.posexplode("l").alias("field", "tokens"))
-        .select("id", "size", "field", F.posexplode("tokens").alias("place", "token"))
+        .where((F.size("tokens") > 0) | ((F.col("size") == 0) & (F.col("field") == 0)))
+        .select("id", "size", "field", F.posexplode_outer("tokens").alias("place", "token"))
         .groupBy("token", "id", "field", "size")
         .agg(F.array_sort(F.collect_list("place")).alias("places"))
     )
@@ -119,8 +121,11 @@ def phrase_tokens(phrase: str) -> list[str]:
     return [t for t in re.split(r"[\W_]+", low) if t]
 
 
-def index_hits(found: DataFrame, phrase: str) -> DataFrame:
-    """(id, size, hits): rows of an index that hold the phrase in one field, and how often over all fields."""
+def index_hits(found: DataFrame, phrase: str, also: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(id, size, hits): rows of an index that hold the phrase in one field, and how often over all fields.
+
+    ``also`` filters the entries of the phrase's tokens further.
+    """
     at: dict[str, list[int]] = {}
     for k, t in enumerate(phrase_tokens(phrase)):
         at.setdefault(t, []).append(k)
@@ -128,8 +133,9 @@ def index_hits(found: DataFrame, phrase: str) -> DataFrame:
     if not at:
         return found.where(F.lit(False)).select("id", "size", F.lit(0).cast("long").alias("hits"))
     begins = F.flatten(F.transform("places", lambda p: F.transform(offsets[F.col("token")], lambda k: p - k)))
+    entries = found.where(F.col("token").isin(*at))
     return (
-        found.where(F.col("token").isin(*at))
+        (also(entries) if also else entries)
         .select("id", "size", "field", F.explode(begins).alias("begin"))
         .groupBy("id", "size", "field", "begin")
         .count()

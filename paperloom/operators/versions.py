@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import checkpoint
+
 #: History rows: entity_id, version, kind, content_hash, changed_at and anything else.
 ALIVE = ("create", "update", "restore", "revert")
 
@@ -109,9 +111,6 @@ def revert_targets(history: DataFrame, requests: DataFrame, key: str = "entity_i
     )
 
 
-FOLD = "entity_id long, op_id long, outcome string, version long, content_hash string, deleted boolean"
-
-
 def fold(ops: DataFrame) -> DataFrame:
     """Outcome of each operation on its entity, in op_id order, from an empty store.
 
@@ -125,8 +124,8 @@ def fold(ops: DataFrame) -> DataFrame:
 
     Operations without a base, other than reverts, depend only on the latest
     create, update, deletion or restoration before them: windows tell that.
-    Only entities that have a based operation or a revert run as a state
-    machine, in the task of their rows.
+    Entities that have a based operation or a revert run as a state machine
+    over ranges of their operations (``_based_fold``).
     """
     needed = ("entity_id", "op_id", "kind", "base_version", "base_hash", "content_hash", "to_version")
     ops = ops.select(*needed)
@@ -170,36 +169,110 @@ def _free_fold(ops: DataFrame) -> DataFrame:
     )
 
 
-def _based_fold(ops: DataFrame) -> DataFrame:
-    """``fold`` as a state machine over one entity's rows."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        version, current_hash, deleted, past, out = 0, None, False, {}, []
-        for r in rows.sort_values("op_id").itertuples():
-            outcome, new_hash = "applied", current_hash
-            based = pd.isna(r.base_version) or (r.base_version == version and r.base_hash == current_hash)
-            if r.kind == "create":
-                outcome, new_hash = ("rejected", current_hash) if version else ("applied", r.content_hash)
-            elif not version:
+_RESULT = "part int, entity_id long, op_id long, outcome string, version long, content_hash string, deleted boolean"
+#: Bases of a range's first based operations that are tried as the state it starts from, and rows of each trial.
+TRIALS, TRIAL_ROWS = 16, 256
+
+
+def _run(rows: list, start: tuple, looked_up: dict) -> list[tuple]:
+    """Outcomes of one entity's operations from a state (version, hash, deleted); looked_up: hashes of earlier versions by op_id."""
+    (version, now, deleted), past, out = start, {}, []
+    first = version
+    for r in rows:
+        outcome, new_hash = "applied", now
+        based = r.base_version is None and r.base_hash is None or (r.base_version == version and r.base_hash == now)
+        if r.kind == "create":
+            outcome, new_hash = ("rejected", now) if version else ("applied", r.content_hash)
+        elif not version:
+            outcome = "rejected"
+        elif r.kind == "delete" and deleted or r.kind == "restore" and not deleted:
+            outcome = "unchanged"
+        elif not based:
+            outcome = "stale"
+        elif r.kind in ("update", "revert"):
+            known = r.content_hash if r.kind == "update" else past.get(r.to_version) if (r.to_version or 0) > first else looked_up.get(r.op_id)
+            if deleted or known is None:
                 outcome = "rejected"
-            elif r.kind == "delete" and deleted or r.kind == "restore" and not deleted:
+            elif known == now:
                 outcome = "unchanged"
-            elif not based:
-                outcome = "stale"
-            elif r.kind in ("update", "revert"):
-                new_hash = r.content_hash if r.kind == "update" else past.get(None if pd.isna(r.to_version) else int(r.to_version))
-                if deleted or new_hash is None:
-                    outcome, new_hash = "rejected", current_hash
-                elif new_hash == current_hash:
-                    outcome = "unchanged"
-            if outcome == "applied":
-                version, current_hash = version + 1, new_hash
-                past[version] = current_hash
-                deleted = r.kind == "delete" or deleted and r.kind != "restore"
-            out.append((r.entity_id, r.op_id, outcome, version, current_hash, deleted))
-        return pd.DataFrame(out, columns=["entity_id", "op_id", "outcome", "version", "content_hash", "deleted"])
-
-    return ops.groupBy("entity_id").applyInPandas(run, FOLD)
+            else:
+                new_hash = known
+        if outcome == "applied":
+            version, now = version + 1, new_hash
+            past[version] = now
+            deleted = r.kind == "delete" or deleted and r.kind != "restore"
+        out.append((r.entity_id, r.op_id, outcome, version, now, deleted))
+    return out
+
+
+def _guess(rows: list) -> tuple:
+    """A likely state before operations: the base of one of the first based ones, under which most of the first rows apply."""
+    based = [r for r in rows[:TRIAL_ROWS] if r.base_version is not None][:TRIALS]
+    tried = {(r.base_version, r.base_hash, r.kind == "restore") for r in based} or {(0, None, False)}
+    return max(tried, key=lambda s: (sum(x[2] == "applied" for x in _run(rows[:TRIAL_ROWS], s, {})), s[0]))
+
+
+def _part(key, ops: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+    """One range: the state that it started from (a row without op_id), and its operations' outcomes."""
+    ops = ops.sort_values(["entity_id", "op_id"]).astype(object).where(lambda x: x.notna(), None)
+    states = given[given["what"] != "past"]
+    looked_up = {int(i): h for i, h in zip(given["op_id"], given["content_hash"], strict=True) if not pd.isna(i)}
+    out = []
+    for n, (_, own) in enumerate(ops.groupby("entity_id", sort=False)):
+        rows, start = list(own.itertuples(index=False)), (0, None, False)
+        if n == 0 and len(states):
+            s = states.iloc[0]
+            start = _guess(rows) if s["what"] == "guess" else (int(s["version"]), None if pd.isna(s["content_hash"]) else s["content_hash"], bool(s["deleted"]))
+            out.append((rows[0].entity_id, None, None, *start))
+        out += _run(rows, start, looked_up if n == 0 else {})
+    made = pd.DataFrame(out, columns=["entity_id", "op_id", "outcome", "version", "content_hash", "deleted"])
+    made.insert(0, "part", key[0])
+    return made.astype({"op_id": "Int64"})
+
+
+def _based_fold(ops: DataFrame) -> DataFrame:
+    """``fold`` as a state machine over ranges of (entity_id, op_id), so that one entity's operations spread over tasks.
+
+    A range that starts within an entity needs the state that the range before
+    leaves.  All ranges run at once from a likely state, then those again, and
+    only those, whose start was not what the range before has left, or for
+    which a reverted version's hash has changed, until none is left: after n
+    rounds the first n ranges of an entity are exact, whatever was guessed.
+    Where bases mostly name what was current, the guesses are right and two or
+    three rounds suffice.
+    """
+    ranged = checkpoint(ops.repartitionByRange("entity_id", "op_id").withColumn("part", F.spark_partition_id()))
+    by_part = Window.orderBy("part")  # a row for each range
+    spans = ranged.groupBy("part").agg(F.min("entity_id").alias("entity_id"), F.max("entity_id").alias("_last"))
+    spans = checkpoint(spans.withColumn("crossing", F.coalesce(F.col("entity_id") == F.lag("_last").over(by_part), F.lit(False))))
+    crossing = spans.where("crossing").select("part", "entity_id")
+    blank = {"op_id": "long", "version": "long", "content_hash": "string", "deleted": "boolean"}
+    fill = lambda df, what: df.select(F.col("part").alias("part"), F.lit(what).alias("what"), *[F.col(n) if n in df.columns else F.lit(None).cast(t).alias(n) for n, t in blank.items()])
+
+    def run(some: DataFrame, given: DataFrame) -> DataFrame:
+        return some.groupBy("part").cogroup(given.groupBy("part")).applyInPandas(_part, _RESULT)
+
+    reverts = ranged.where("kind = 'revert'").join(crossing, ["part", "entity_id"]).select("part", "entity_id", F.col("op_id").alias("_op"), F.col("to_version").alias("version"))
+    results = checkpoint(run(ranged, fill(crossing, "guess")))
+    state = F.struct("version", "content_hash", "deleted")
+    seen = None
+    while True:
+        done = results.where("op_id is not null")
+        edges = done.groupBy("part").agg(F.max_by(state, F.struct("entity_id", "op_id")).alias("_left"))
+        start = spans.join(edges, "part").withColumn("_now", F.lag("_left").over(by_part)).where("crossing").select("part", "_now")
+        used = results.where("op_id is null").select("part", state.alias("_used"))
+        past = done.where("outcome = 'applied'").select("entity_id", "version", "content_hash", "op_id")
+        past = checkpoint(reverts.join(past, ["entity_id", "version"]).where("op_id < _op").select("part", F.col("_op").alias("op_id"), "content_hash"))
+        digest = past.groupBy("part").agg(F.sum(F.xxhash64("op_id", "content_hash").cast("decimal(38,0)")).alias("_digest"))
+        before = digest.where(F.lit(False)) if seen is None else seen
+        changed = digest.withColumnRenamed("_digest", "_d").join(before, "part", "full_outer").where(~F.col("_d").eqNullSafe(F.col("_digest"))).select("part")
+        dirty = checkpoint(start.join(used, "part").where(~F.col("_now").eqNullSafe(F.col("_used"))).select("part").union(changed).distinct())
+        if dirty.isEmpty():
+            return done.drop("part")
+        seen = checkpoint(digest)
+        given = fill(start.select("part", "_now.*"), "state").union(fill(past, "past"))
+        again = run(ranged.join(dirty, "part", "left_semi"), given.join(dirty, "part", "left_semi"))
+        results = checkpoint(results.join(dirty, "part", "left_anti").unionByName(again))
 
 
 def cascade(deletions: DataFrame, attachments: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import canonical
 from ..functions import scalars as S
 from ..operators import changes, export, generate, inventory, outbox, papers, search, versions
+from ..operators.search_index import StoredIndex
+from ..sources.shared import passing_folder
 from . import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,6 +112,20 @@ def search_index_hits(spark, d):
     return search.ranked(bank, "doc_id", fields, "of the", found).select("doc_id", F.round("score", 9).alias("score"))
 
 
+@query(f"SELECT doc_id, score FROM ({RANKED})")
+def search_stored_index(spark, d):
+    """The same phrase through a stored index that has followed the bank: other texts, missing and surplus rows at first."""
+    bank = T.documents(spark, d).select("doc_id", "text", "source", F.array("lang").alias("tags"))
+    k = F.col("doc_id") % 4
+    first = bank.where(k != 0).withColumn("text", F.when(k == 1, F.concat(F.lit("of the of the "), "text")).otherwise(F.col("text")))
+    surplus = bank.where(k == 2).withColumn("doc_id", -F.col("doc_id") - 1)
+    stored = StoredIndex(spark, passing_folder(spark), search.document_fields(subjects=None), "doc_id")
+    stored.build(first.union(surplus))
+    stored.apply(bank.where(k == 0), surplus.where("doc_id % 8 = -3"))
+    stored.apply(bank.where(k == 1), surplus)
+    return stored.ranked(bank, "of the").select("doc_id", F.round("score", 9).alias("score"))
+
+
 @query("""
 SELECT p_partkey AS id, 'tag' AS relation, CAST(i - 1 AS INTEGER) AS position, tags[i] AS value
 FROM (SELECT p_partkey, string_split(p_name, ' ') AS tags FROM part), range(1, 20) r(i) WHERE i <= len(tags)

@@ -9,9 +9,9 @@ import duckdb
 import pyarrow.dataset as ds
 import pytest
 
-from paperloom.plans import delivery, queries  # delivery adds its queries to theirs
+from paperloom.plans import delivery, queries, stored  # delivery and stored add their queries to theirs
 
-assert delivery.NOW
+assert delivery.NOW and stored.NOW
 DATA = Path("/root/testdata/sf0.001")
 
 

@@ -43,13 +43,13 @@ BLOCK_MEMBERS = 4096
 _DIST = "a long, b long, n_a long, n_b long, both long"
 
 
-def _sets(texts: pa.ChunkedArray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+def _sets(texts: pa.ChunkedArray, k: int, key: int = 0) -> tuple[np.ndarray, np.ndarray, int]:
     """Row and hash of each row's distinct shingles, by row then hash."""
     row, h = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for first, data, off in K.chunks(texts):
         data = K.LOWER[data]
         s, e, fw = K.words(data, off)
-        wh = K.slice_hash(data, s, e)
+        wh = K.slice_hash(data, s, e, key=key)
         place, doc = K.within(fw, k)
         h.append(K.windows(wh, k, 3)[place])
         row.append(doc + first)
@@ -83,7 +83,7 @@ def _overlap(batches):
 
 
 def jaccard_components(
-    docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", key: int | None = None
 ) -> DataFrame:
     """(id_col, n_shingles, component_id) for each row.
 
@@ -95,9 +95,14 @@ def jaccard_components(
     part in links; component_id is null only where a component has no id.
     Columns other than the id and the text are not read.  An empty table gives
     an empty one.
+
+    Shingles are told apart by 64-bit hashes under a key that is drawn anew
+    for each run: texts cannot be made to collide, and by chance two sets
+    would have to agree in three quarters of their hashes.
     """
     spark = docs.sparkSession
     cluster.ship(spark)
+    secret = K.fresh_key() if key is None else key
     n_buckets, n_blocks = sketch.layout(cluster.text_bytes(docs, text_col))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn(
         BUCKET, sketch.bucket_of("id", "text", n_buckets)
@@ -105,12 +110,12 @@ def jaccard_components(
     grouped = rows.groupBy(BUCKET)
 
     def count(key, table):
-        return sketch.Keys(_sets(table["text"], shingle)[1], n_blocks).parts(key[0].as_py())
+        return sketch.Keys(_sets(table["text"], shingle, secret)[1], n_blocks).parts(key[0].as_py())
 
     replies = sketch.merged(grouped.applyInArrow(count, sketch.PART))
 
     def profile(key, table, answer):
-        row, h, n_rows = _sets(table["text"], shingle)
+        row, h, n_rows = _sets(table["text"], shingle, secret)
         df = sketch.Keys(h, n_blocks).estimates(answer[BLOCK].to_pylist(), answer["counts"].to_pylist())
         cut = np.searchsorted(row, np.arange(n_rows + 1))
         n = np.diff(cut)

@@ -7,6 +7,7 @@ run of bytes outside ``\x20 \x09-\x0D``; UTF-8 keeps that exact on bytes.
 from __future__ import annotations
 
 import hashlib
+import secrets
 
 import numpy as np
 import pyarrow as pa
@@ -82,34 +83,44 @@ def _lanes(data: np.ndarray) -> np.ndarray:
     return np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
 
 
-def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seeds: tuple[int, ...]) -> list[np.ndarray]:
-    """A 64-bit hash of each slice for each seed: its lanes of eight bytes go one by one through ``mix``.
+def fresh_key() -> int:
+    """64 random bits.  Drawn once a run on the driver, they make hashes that nobody can foresee, so no text can be made to collide."""
+    return secrets.randbits(64)
 
-    ``mix`` has an inverse, so slices of one length up to eight bytes never collide, and the hashes of
-    different seeds are independent for longer ones.
+
+def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seeds: tuple[int, ...], key: int = 0) -> list[np.ndarray]:
+    """A 64-bit hash of each slice for each seed: its lanes of eight bytes go one by one through ``mix``, from a start that the key hides.
+
+    ``mix`` has an inverse, so slices of one length up to eight bytes never collide.  Odd seeds take the
+    lanes from the last to the first, so a pair that one seed confuses is nothing special to another.
     """
     view, n = _lanes(data), ends - starts
-    first = view[starts] & _LANE_MASK[np.minimum(n, 8)]
-    out = [mix(first ^ np.uint64(_SEEDS[s])) for s in seeds]
+    lanes = np.maximum(-(-n // 8), 1)
+    hidden = [_SEEDS[s] ^ int(mix(np.array([(key + s * _GOLDEN) % 2**64], np.uint64))[0]) for s in seeds]
+
+    def lane(k: int, at: np.ndarray | slice, seed: int) -> np.ndarray:
+        i = lanes[at] - 1 - k if seed % 2 else k
+        return view[starts[at] + 8 * i] & _LANE_MASK[np.clip(n[at] - 8 * i, 0, 8)]
+
+    out = [mix(lane(0, slice(None), s) ^ np.uint64(x)) for s, x in zip(seeds, hidden, strict=True)]
     more = np.flatnonzero((n > 8) & (n <= 8 * LANES))
     for k in range(1, LANES):
         if not len(more):
             break
-        lane = view[starts[more] + 8 * k] & _LANE_MASK[np.minimum(n[more] - 8 * k, 8)]
-        for h in out:
-            h[more] = mix(h[more] ^ lane)
+        for h, s in zip(out, seeds, strict=True):
+            h[more] = mix(h[more] ^ lane(k, more, s))
         more = more[n[more] > 8 * (k + 1)]
     for i in np.flatnonzero(n > 8 * LANES).tolist():
-        whole = hashlib.blake2b(data[starts[i] : ends[i]], digest_size=64).digest()
+        whole = hashlib.blake2b(data[starts[i] : ends[i]], digest_size=64, key=key.to_bytes(8, "little")).digest()
         for h, s in zip(out, seeds, strict=True):
             h[i] = int.from_bytes(whole[8 * s : 8 * s + 8], "little")
     length = n.astype(np.uint64) * np.uint64(_GOLDEN)
     return [mix(h + length) for h in out]
 
 
-def slice_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+def slice_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0, key: int = 0) -> np.ndarray:
     """A 64-bit hash of each slice."""
-    return slice_hashes(data, starts, ends, (seed,))[0]
+    return slice_hashes(data, starts, ends, (seed,), key)[0]
 
 
 def distinct_slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -20,7 +20,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.judged(table(spark, sf_dir, "documents"))
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_left", "n_cut_lines")
     return judged.select("doc_id", *names)
 
 
@@ -211,18 +211,19 @@ WITH t AS (
   SELECT l.source, line FROM l JOIN hosts ON l.source IS NOT DISTINCT FROM hosts.source
   GROUP BY l.source, line, most HAVING count(DISTINCT doc_id) > most
 ), cut AS (
-  SELECT doc_id, sum(len(string_split(l.line, ' '))) AS n_cut
+  SELECT doc_id, sum(len(string_split(l.line, ' '))) AS n_cut, count(*) AS n_cut_lines
   FROM l JOIN common c ON l.source IS NOT DISTINCT FROM c.source AND l.line = c.line GROUP BY doc_id
 ), m AS (
   SELECT doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
          length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
          len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
-         coalesce(n_cut, 0) AS n_cut
+         coalesce(n_cut, 0) AS n_cut, coalesce(n_cut_lines, 0) AS n_cut_lines
   FROM t LEFT JOIN r USING (doc_id) LEFT JOIN cut USING (doc_id)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_cut >= 0.2 * n_words AS kept
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_cut >= 0.2 * n_words AS kept,
+       CAST(n_words - n_cut AS BIGINT) AS n_left, n_cut_lines
 FROM m
 """,
     "op3_revisit_resolution": r"""

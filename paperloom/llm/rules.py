@@ -83,7 +83,7 @@ def _keys(id_col: str, text_col: str, host_col: str) -> dict[str, Column]:
 def judged(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits
 ) -> DataFrame:
-    """A row for each row of docs: _pl_1, _pl_2, id_col, the base metrics, n_left, base_failed, kept, _pl_cut.
+    """A row for each row of docs: _pl_1, _pl_2, id_col, the base metrics, n_left, n_cut_lines, base_failed, kept, _pl_cut.
 
     Lines are normalised and hashed; a row is one document, and counts once
     for a line however often it holds it.  A line of more documents of its
@@ -119,14 +119,15 @@ def judged(
         .select("_pl_1", "_pl_2", "at", "h", "w")
         .distinct()  # repeated rows have one key
         .groupBy("_pl_1", "_pl_2")
-        .agg(F.sum("w").alias("_pl_gone"), F.collect_set("h").alias("_pl_cut"))
+        .agg(F.sum("w").alias("_pl_gone"), F.count("*").alias("_pl_lines"), F.collect_set("h").alias("_pl_cut"))
     )
     return (
         seen.join(hit, ["_pl_1", "_pl_2"], "left")
         .withColumn("n_left", F.col("n_words") - F.coalesce("_pl_gone", F.lit(0)))
+        .withColumn("n_cut_lines", F.coalesce("_pl_lines", F.lit(0)))
         .withColumn("base_failed", base_failed())
         .withColumn("kept", ~F.col("base_failed") & (F.col("n_left") >= MIN_KEPT_SHARE * F.col("n_words")))
-        .select("_pl_1", "_pl_2", F.col("_pl_id").alias(id_col), *METRICS, "n_left", "base_failed", "kept", "_pl_cut")
+        .select("_pl_1", "_pl_2", F.col("_pl_id").alias(id_col), *METRICS, "n_left", "n_cut_lines", "base_failed", "kept", "_pl_cut")
     )
 
 

@@ -28,12 +28,12 @@ def _ordered(table: pa.Table, id_col: str, text_col: str) -> tuple[pa.Table, np.
     return table, ids
 
 
-def _scan(texts: pa.ChunkedArray, k: int):
+def _scan(texts: pa.ChunkedArray, k: int, key: int = 0):
     """Two hashes, from two hashes of its words, and row and start of each window of a bucket, in order."""
     a, b, row, start = [], [], [], []
     for first, data, off in K.chunks(texts):
         s, e, fw = K.words(data, off)
-        h, g = K.slice_hashes(data, s, e, (0, 1))
+        h, g = K.slice_hashes(data, s, e, (0, 1), key)
         place, doc = K.within(fw, k)
         a.append(K.windows(h, k, 1)[place])
         b.append(K.windows(g, k, 2)[place])
@@ -92,11 +92,13 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
 
     Plan: rows are dealt by a hash of id and text once (that exchange serves all
     three passes); a corpus-sized count-min sketch is merged in blocks; only
-    windows estimated to repeat are grouped, by two independent 64-bit hashes,
-    each sent once by a bucket and answered with a bit.
+    windows estimated to repeat are grouped, by two independent 64-bit hashes
+    under a key drawn anew for each run, each sent once by a bucket and
+    answered with a bit.
     """
     spark = docs.sparkSession
     cluster.ship(spark)
+    secret = K.fresh_key()
     n_buckets, n_blocks = sketch.layout(cluster.text_bytes(docs, text_col))
     docs = docs.drop(*ADDED)
     schema = T.StructType(
@@ -109,14 +111,14 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
 
     def count(key, table):
         table, _ = _ordered(table, id_col, text_col)
-        a = _scan(table[text_col], window)[0]
+        a = _scan(table[text_col], window, secret)[0]
         return sketch.Keys(a, n_blocks).parts(key[0].as_py())
 
     replies = sketch.merged(grouped.applyInArrow(count, sketch.PART))
 
     def judge(table: pa.Table, answer: pa.Table):
         table, ids = _ordered(table, id_col, text_col)
-        a, b, row, start = _scan(table[text_col], window)
+        a, b, row, start = _scan(table[text_col], window, secret)
         est = sketch.Keys(a, n_blocks).estimates(answer[BLOCK].to_pylist(), answer["counts"].to_pylist())
         maybe = np.flatnonzero(est >= 2)
         return table, ids, a[maybe], b[maybe], row[maybe], start[maybe]

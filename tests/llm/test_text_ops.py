@@ -74,6 +74,102 @@ def test_substring_null_and_repeated_ids(spark):
     assert sorted((r.doc_id or 0, r.n_removed) for r in got) == [(0, 25), (1, 0), (1, 25)]
 
 
+def unmix(x):
+    """The inverse of ``kernels.mix``."""
+    m = 2**64 - 1
+    inverse = lambda a: pow(a, -1, 2**64)
+    x ^= (x >> 31) ^ (x >> 62)
+    x = x * inverse(0x94D049BB133111EB) & m
+    x ^= (x >> 27) ^ (x >> 54)
+    x = x * inverse(0xBF58476D1CE4E5B9) & m
+    return x ^ (x >> 30) ^ (x >> 60)
+
+
+def colliding_words(seed, n):
+    """Pairs of 16-byte words that the first seed confuses under the key 0: the second halves differ by what the first ones do."""
+    import numpy as np
+
+    assert all(unmix(int(kernels.mix(np.array([v], np.uint64))[0])) == v for v in (0, 1, 2**64 - 1, 12345678901234567890))
+    start = kernels._SEEDS[0] ^ int(kernels.mix(np.array([0], np.uint64))[0])
+    step = lambda lane: int(kernels.mix(np.array([lane ^ start], np.uint64))[0])
+    lane = lambda b: int.from_bytes(b, "little")
+    rng, found = random.Random(seed), []
+    letter = lambda: bytes(rng.choice(range(0x80, 0x100)) for _ in range(8))  # noqa: E731  any bytes but blanks, held as they are
+    while len(found) < n:
+        a, b, tail = letter(), letter(), letter()
+        other = (lane(tail) ^ step(lane(a)) ^ step(lane(b))).to_bytes(8, "little")
+        if not set(other) & {0x20, *range(9, 14)} and not any(65 <= c <= 90 for c in other):
+            found.append((a + tail, b + other))
+    return found
+
+
+def test_words_made_to_collide():
+    """The construction holds without a key, for one seed; the other seed and any key tell the words apart."""
+    import numpy as np
+
+    pairs = colliding_words(1, 40)
+
+    def hashes(words_, key):
+        data = np.frombuffer(b" ".join(words_) + b"\n", np.uint8)
+        s, e, _ = kernels.words(data, np.array([0, len(data)]))
+        assert len(s) == len(words_)
+        return kernels.slice_hashes(data, s, e, (0, 1), key)
+
+    a, b = hashes([p for p, _ in pairs], 0), hashes([q for _, q in pairs], 0)
+    assert (a[0] == b[0]).all() and not (a[1] == b[1]).any()
+    for key in (1, 2**63 + 5, kernels.fresh_key()):
+        a, b = hashes([p for p, _ in pairs], key), hashes([q for _, q in pairs], key)
+        assert not (a[0] == b[0]).any() and not (a[1] == b[1]).any()
+
+
+def printable_collisions(n, seed=3):
+    """Pairs of printable 16-byte words that collide for the first seed without a key."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    start = np.uint64(kernels._SEEDS[0]) ^ kernels.mix(np.array([0], np.uint64))[0]
+    found = []
+    while len(found) < n:
+        # With second halves of one text each, first halves whose images differ by printable bytes only.
+        raw = rng.integers(0x61, 0x7B, (1 << 16, 8)).astype(np.uint8)
+        img = kernels.mix(raw.view("<u8")[:, 0] ^ start)
+        order = np.argsort(img & np.uint64(0xE0E0E0E0E0E0E0E0))
+        d = img[order][1:] ^ img[order][:-1]
+        for i in np.flatnonzero((d & np.uint64(0xE0E0E0E0E0E0E0E0)) == 0).tolist():
+            x = np.frombuffer(int(d[i]).to_bytes(8, "little"), np.uint8)
+            tail = np.full(8, 0x61, np.uint8)
+            other = tail ^ x
+            if ((other > 0x20) & (other < 0x7F) & ~((other >= 65) & (other <= 90))).all():
+                found.append((bytes(raw[order[i]]) + bytes(tail), bytes(raw[order[i + 1]]) + bytes(other)))
+    return [(a.decode(), b.decode()) for a, b in found[:n]]
+
+
+def test_texts_of_colliding_words_do_not_link(spark):
+    """Two texts without a common word whose words collide pairwise under a known key: no link, nothing cut, ids and pieces right."""
+    pairs = printable_collisions(24)
+    texts = [" ".join(p[k] for p in pairs) for k in (0, 1)]
+    assert not set(texts[0].split()) & set(texts[1].split())
+    docs = spark.createDataFrame([(1, texts[0]), (2, texts[1])], "doc_id long, text string")
+    known = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs, key=0).collect()}
+    assert known == {1: 1, 2: 1}  # this is what the construction does where the key is known
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs).collect()} == {1: (20, 1), 2: (20, 2)}
+    assert {r.doc_id: r.n_removed for r in substring.dedup_substrings(docs).collect()} == {1: 0, 2: 0}
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(path, "rb"))}
+    enc = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = {i: hashlib.sha256(" ".join(map(str, enc.encode_ordinary(t))).encode()).hexdigest() for i, t in enumerate(texts, 1)}
+    assert {r.doc_id: r.ids_sha256 for r in bpe.digests(docs, path).collect()} == want
+    from tokenizers import Tokenizer
+
+    words_ = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(words_)
+    pieces = {r.doc_id: r.ids_crc32 for r in packing.pack(docs, words_).collect()}
+    crc = lambda t: zlib.crc32(b"".join(i.to_bytes(4, "little") for i in [*tok.encode(t, add_special_tokens=False).ids, 0]))
+    assert pieces == {i: crc(t) for i, t in enumerate(texts, 1)}
+
+
 def thue_morse(n):
     """A string of a and b and its complement, which polynomial hashes modulo a power of two confuse."""
     bits = [bin(i).count("1") % 2 for i in range(n)]
@@ -109,7 +205,7 @@ def test_hashes_tell_thue_morse_strings_apart(spark):
 def test_distinct_slices_where_hashes_collide(monkeypatch):
     import pyarrow as pa
 
-    monkeypatch.setattr(kernels, "slice_hash", lambda data, s, e, seed=0: (e - s).astype("uint64") // 4)
+    monkeypatch.setattr(kernels, "slice_hash", lambda data, s, e, seed=0, key=0: (e - s).astype("uint64") // 4)
     texts = ["aa bb aa c", "dddd dddd eeee", "x" * 300 + " " + "x" * 299 + "y " + "x" * 300]
     _, data, off = next(kernels.chunks(pa.array(texts)))
     s, e, _ = kernels.words(data, off)

@@ -83,6 +83,12 @@ class Scratch:
             pass
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A table of few files, as a small one is, dealt over all cores before costly work on its rows; a larger one as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < 2 * cores else rows
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of a text column over all rows."""
     return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0

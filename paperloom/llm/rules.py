@@ -93,10 +93,10 @@ def judged(
     Plan: one scan of the texts writes metrics and line hashes; counts by
     (host, line) and the cut lines' words come from that small table.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("_pl_id"), F.col(text_col).alias("_pl_text"), F.col(host_col).alias("_pl_host"), *[c.alias(n) for n, c in _keys(id_col, text_col, host_col).items()]
     )
+    rows = cluster.spread(rows)
     line = lambda x: F.struct(F.xxhash64(normal_line(x)).alias("h"), F.size(words_of(x)).alias("w"))
     lines = F.filter(F.transform(F.split(F.coalesce("_pl_text", F.lit("")), "\n"), line), lambda x: x["w"] > 0)
     seen = base_metrics(rows.withColumn("_pl_lines_h", lines), "_pl_text").drop("_pl_text")

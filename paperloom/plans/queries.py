@@ -11,7 +11,7 @@ from ..functions import canonical
 from ..functions import scalars as S
 from ..operators import changes, export, generate, inventory, outbox, papers, search, versions
 from ..operators.search_index import StoredIndex
-from ..sources.shared import passing_folder
+from ..sources.shared import passing_folder, spread
 from . import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,7 +47,8 @@ WHERE lang IN ('en', 'fr') AND contains({TOKENS}, ' of the ')
 ORDER BY n_chars DESC, doc_id DESC LIMIT 51
 """)
 def search_phrase_filtered(spark, d):
-    hits = search.search(T.documents(spark, d), "of the", ["text"], {"lang": ["en", "fr"]})
+    bank = spread(T.documents(spark, d).select("doc_id", "text", "source", "lang", "n_chars"))
+    hits = search.search(bank, "of the", ["text"], {"lang": ["en", "fr"]})
     labelled = T.read(spark, d, "labels").where("quality = 1")
     rows = hits.join(labelled, "doc_id", "left_semi").select("doc_id", "source", "n_chars")
     return search.page(rows, [F.desc("n_chars"), F.desc("doc_id")])
@@ -74,7 +75,7 @@ SELECT doc_id, round(ln(1 + (docs - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2
 FROM c, s WHERE a > 0 OR b > 0
 """)
 def search_ranked(spark, d):
-    found = search.bm25(T.documents(spark, d).select("doc_id", "text"), ["with", "this"])
+    found = search.bm25(spread(T.documents(spark, d).select("doc_id", "text")), ["with", "this"])
     return found.select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -96,7 +97,7 @@ ORDER BY score, n_chars DESC, doc_id DESC LIMIT 51
 """)
 def search_ranked_page(spark, d):
     """One search: phrase, filters, a relation, relevance and a page."""
-    bank = T.documents(spark, d).select("doc_id", "text", "source", F.array("lang").alias("tags"), "lang", "n_chars")
+    bank = spread(T.documents(spark, d).select("doc_id", "text", "source", F.array("lang").alias("tags"), "lang", "n_chars"))
     hits = search.ranked(bank, "doc_id", search.document_fields(subjects=None), "of the")
     hits = search.search(hits, values={"lang": ["en", "fr"]}).join(T.read(spark, d, "labels").where("quality = 1"), "doc_id", "left_semi")
     rows = hits.select("doc_id", "source", "n_chars", F.round("score", 9).alias("score"))

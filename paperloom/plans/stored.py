@@ -74,22 +74,22 @@ def pull_cycle_baseline(spark, d):
 
 
 @query(f"""
-WITH RECURSIVE ev AS (SELECT user_id AS e, event_id AS at, event_id % 2 = 0 AS remote, 'o' || event_id AS op, {KIND} AS kind, 1 + event_id % 400 AS v, 'h' || event_id % 4 AS h,
+WITH RECURSIVE ev AS (SELECT user_id AS e, event_id AS seq, event_id % 2 = 0 AS remote, 'o' || event_id AS op, {KIND} AS kind, 1 + event_id % 400 AS v, 'h' || event_id % 4 AS h,
     event_id % 7 AS bv, 'h' || event_id % 3 AS bh, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
 s AS (
-  SELECT DISTINCT e, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS at, false AS remote, CAST(NULL AS VARCHAR) AS outcome, CAST(NULL AS VARCHAR) AS decision, CAST(NULL AS VARCHAR) AS operation_id,
+  SELECT DISTINCT e, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, false AS remote, CAST(NULL AS VARCHAR) AS outcome, CAST(NULL AS VARCHAR) AS decision, CAST(NULL AS VARCHAR) AS operation_id,
     CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS BOOLEAN) AS base_known, CAST(NULL AS BIGINT) AS cv, CAST(NULL AS VARCHAR) AS ch, CAST([] AS STRUCT(op VARCHAR, h VARCHAR, bv BIGINT, bh VARCHAR)[]) AS waiting FROM ev
   UNION ALL
-  SELECT e, n, at, remote, outcome, CASE WHEN outcome = 'applied' AND top IS NOT NULL THEN CASE WHEN top.h = h THEN 'settle' ELSE 'conflict' END END,
+  SELECT e, n, seq, remote, outcome, CASE WHEN outcome = 'applied' AND top IS NOT NULL THEN CASE WHEN top.h = h THEN 'settle' ELSE 'conflict' END END,
     CASE WHEN outcome = 'applied' THEN top.op END, CASE WHEN outcome = 'applied' AND top.h <> h THEN CASE WHEN kind = 'delete' THEN 'tombstoneDivergence' ELSE 'divergentContent' END END,
     CASE WHEN outcome = 'applied' AND top.h <> h THEN coalesce(cv = top.bv AND ch = top.bh, false) END,
     CASE WHEN outcome = 'applied' THEN v ELSE cv END, CASE WHEN outcome = 'applied' THEN h ELSE ch END,
     CASE WHEN NOT remote THEN list_append(waiting, own) WHEN outcome = 'applied' AND top.h = h THEN waiting[1 : len(waiting) - 1] ELSE waiting END
-  FROM (SELECT s.e, ev.n, ev.at, ev.remote, ev.kind, ev.v, ev.h, s.cv, s.ch, s.waiting, s.waiting[len(s.waiting)] AS top, struct_pack(op := ev.op, h := ev.h, bv := ev.bv, bh := ev.bh) AS own,
+  FROM (SELECT s.e, ev.n, ev.seq, ev.remote, ev.kind, ev.v, ev.h, s.cv, s.ch, s.waiting, s.waiting[len(s.waiting)] AS top, struct_pack(op := ev.op, h := ev.h, bv := ev.bv, bh := ev.bh) AS own,
           CASE WHEN NOT ev.remote THEN NULL WHEN s.cv > ev.v OR (s.cv = ev.v AND s.ch = ev.h) THEN 'ignored' WHEN s.cv = ev.v THEN 'corrupt' ELSE 'applied' END AS outcome
         FROM s JOIN ev ON ev.e = s.e AND ev.n = s.n + 1)
 )
-SELECT e AS entity_id, at, outcome, decision, operation_id, reason, base_known FROM s WHERE remote
+SELECT e AS entity_id, seq AS "at", outcome, decision, operation_id, reason, base_known FROM s WHERE remote
 """)
 def remote_against_queue(spark, d):
     """Remote changes and local operations as one keyed state: what each change does."""

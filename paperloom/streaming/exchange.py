@@ -103,6 +103,7 @@ def received(events: DataFrame, initial: DataFrame | None = None, output_mode: s
     order of ``at``; a later micro-batch comes after, whatever its ``at``.
     Streams need the RocksDB state store.
     """
+    assert events.sparkSession.streams is not None  # the session's stream manager keeps the state's stores, of a table too
     start = None if initial is None else initial.groupBy(*KEY)
     return events.groupBy(*KEY).transformWithStateInPandas(
         statefulProcessor=Exchange(), outputStructType=OUTPUT, outputMode=output_mode, timeMode="None", initialState=start

@@ -175,3 +175,61 @@ def test_best_copies_has_a_row_for_each_query(spark):
     assert got[50].image_id is None and got[50].n_classes == 0 and got[51].n_images == 0
 
 
+
+
+def pictures(n, seed=5):
+    """Grey pictures with structure at several sizes."""
+    rng, out = np.random.default_rng(seed), []
+    for _ in range(n):
+        x = np.zeros((128, 128), np.float32)
+        for cells, weight in ((4, 1.0), (8, 1.0), (16, 0.8), (32, 0.5)):
+            x += weight * np.kron(rng.normal(0, 1, (cells, cells)), np.ones((128 // cells, 128 // cells)))
+        out.append(np.clip(127 + 45 * images._box(x[None], 1)[0], 0, 255))
+    return out
+
+
+def drawn(image, scale, degrees, side):
+    """A scaled and turned view of the middle of an image."""
+    a = np.deg2rad(degrees)
+    c, s = np.cos(a) / scale, np.sin(a) / scale
+    y, x = np.mgrid[0:side, 0:side] - (side - 1) / 2
+    sx, sy = c * x - s * y + (image.shape[1] - 1) / 2, s * x + c * y + (image.shape[0] - 1) / 2
+    x0, y0 = np.floor(sx).astype(int), np.floor(sy).astype(int)
+    fx, fy = sx - x0, sy - y0
+    return image[y0, x0] * (1 - fx) * (1 - fy) + image[y0, x0 + 1] * fx * (1 - fy) + image[y0 + 1, x0] * (1 - fx) * fy + image[y0 + 1, x0 + 1] * fx * fy
+
+
+def test_recall_of_edited_copies(spark):
+    """Scaled, turned, noisy and blurred copies: at least nine of ten of each kind find their source, and no query another picture."""
+    rng = np.random.default_rng(9)
+    art = pictures(20)
+    part = lambda x: x[10:106, 14:118]
+    edits = {
+        "crop": part, "darker": lambda x: part(x) * 0.85 + 12, "noise 2": lambda x: part(x) + rng.normal(0, 2, (96, 104)), "noise 5": lambda x: part(x) + rng.normal(0, 5, (96, 104)),
+        "blur": lambda x: images._box(part(x)[None], 1)[0], "scale 0.9": lambda x: drawn(x, 0.9, 0, 100), "scale 0.8": lambda x: drawn(x, 0.8, 0, 96), "scale 0.65": lambda x: drawn(x, 0.65, 0, 80),
+        "turn 10": lambda x: drawn(x, 1, 10, 88), "turn 30": lambda x: drawn(x, 1, 30, 88), "turn 45": lambda x: drawn(x, 1, 45, 88), "turn 90": lambda x: np.rot90(part(x)), "both": lambda x: drawn(x, 0.85, 20, 84),
+    }
+    pgm = lambda x: images.pgm(np.clip(np.round(x), 0, 255))
+    media = spark.createDataFrame([(i, pgm(x)) for i, x in enumerate(art)], "image_id long, image binary").repartition(4)
+    asked = [(1000 * k + i, pgm(f(x))) for k, f in enumerate(edits.values()) for i, x in enumerate(art)]
+    asked += [(90_000 + i, pgm(x)) for i, x in enumerate(pictures(20, 77))]  # of nothing in the table
+    got = images.find_copies(spark.createDataFrame(asked, "image_id long, image binary").repartition(4), media).collect()
+    for k, name in enumerate(edits):
+        right = sum(r.query_id == 1000 * k + r.image_id for r in got)
+        assert right >= 18, (name, right)
+    wrong = [r for r in got if r.query_id % 1000 != r.image_id or r.query_id >= 90_000]
+    assert len(wrong) <= len(asked) // 100
+
+
+def test_a_repeating_image_is_quick():
+    """Equal corners in rows and columns, as in wallpaper: votes are linear in matches."""
+    import time
+
+    rng = np.random.default_rng(5)
+    tile = np.kron(rng.integers(0, 255, (8, 8)), np.ones((4, 4)))
+    d = images.describe(np.tile(tile, (8, 8))[None].astype(np.uint8))[0]
+    assert len(d["bits"]) > 1500
+    began = time.process_time()
+    votes, dx, dy = images.agreement(d["bits"].tobytes(), d["numbers"].tobytes(), d["bits"].tobytes(), d["numbers"].tobytes())
+    assert votes > 0.9 * len(d["bits"]) and abs(dx % 32) < 1 and abs(dy % 32) < 1
+    assert time.process_time() - began < 5

@@ -179,13 +179,15 @@ class Vocabulary:
 class Coder:
     """Encodes batches; distinct slices merge once while the bounded cache, which is keyed by their bytes, holds them."""
 
-    LIMIT = 300_000
+    #: Slices in the cache at most, and their bytes: long unbroken texts are slices too.
+    LIMIT, BYTES = 300_000, 16 << 20
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self._clear()
 
     def _clear(self) -> None:
+        self.bytes = 0
         self.place: dict[bytes, int] = {}
         self.sizes = np.zeros(0, np.int64)
         self.ids: list[np.ndarray] = []
@@ -204,7 +206,7 @@ class Coder:
             i = j
 
     def _run(self, texts: list[str]):
-        if len(self.place) > self.LIMIT:
+        if len(self.place) > self.LIMIT or self.bytes > self.BYTES:
             self._clear()
         joined = "\n".join(texts) + "\n"
         cps = np.frombuffer(joined.encode("utf-32-le"), "<u4").astype(np.int64)
@@ -229,6 +231,7 @@ class Coder:
             self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, merged), np.int64, len(merged))])
             for x, ids in zip(missing.tolist(), merged, strict=True):
                 entry[x] = self.place[slices[x]] = len(self.ids)
+                self.bytes += len(slices[x])
                 self.ids.append(ids.astype(np.int32))
                 self.decimal.append((" ".join(map(str, ids.tolist())) + " ").encode())
                 self.raw.append(self.vocabulary.decode(ids.tolist()))

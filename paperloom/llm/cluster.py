@@ -8,6 +8,7 @@ import re
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,6 +49,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_PASSING: list[list[Scratch]] = []
+
+
+@contextmanager
+def passing():
+    """Scratch tables that are begun inside are dropped at the end: what was made from them must be written by then."""
+    _PASSING.append([])
+    try:
+        yield
+    finally:
+        for scratch in _PASSING.pop():
+            scratch.keep_only()
+
+
 class Scratch:
     """Tables written once in the shared folder: dropped when their operator reads them no more, the others when the driver ends."""
 
@@ -56,6 +71,8 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/paperloom-{uuid.uuid4().hex}"
         self.names: list[str] = []
         atexit.register(self._end)
+        if _PASSING:
+            _PASSING[-1].append(self)
 
     def write(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
         path = f"{self.root}/{name}"

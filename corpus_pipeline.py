@@ -73,6 +73,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = cluster.Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = scratch.write(stage(spark, docs, sf_dir), name)
+        with cluster.passing():  # what a stage has written on its way goes when its rows are there
+            docs = scratch.write(stage(spark, docs, sf_dir), name)
         scratch.keep_only(name)
     return STAGES[-1][1](spark, docs, sf_dir)

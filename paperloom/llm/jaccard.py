@@ -38,6 +38,8 @@ PROFILE = "id long, n long, s1 long, s2 long, candidate boolean, elems binary, s
 LEAF, PIVOTS = 64, 4
 #: A cell is parted if its Voronoi cells hold at most these shares of its members, in all and each.
 ALL_SHARE, ONE_SHARE = 1.5, 0.75
+#: Times that a cell is parted at most: its path is the bits of a long.
+MAX_DEPTH = 62
 #: Members of a cell that one task pairs with others.
 BLOCK_MEMBERS = 4096
 _DIST = "a long, b long, n_a long, n_b long, both long"
@@ -272,7 +274,7 @@ def components_of_sets(nodes: DataFrame, threshold: int = THRESHOLD, scratch: cl
         fine = (
             parted.groupBy("cell", "size", "to.pivot").count()
             .groupBy("cell", "size").agg(F.sum("count").alias("all"), F.max("count").alias("one"))
-            .where((F.col("all") <= ALL_SHARE * F.col("size")) & (F.col("one") <= ONE_SHARE * F.col("size")))
+            .where((F.col("all") <= ALL_SHARE * F.col("size")) & (F.col("one") <= ONE_SHARE * F.col("size")) & F.lit(depth < MAX_DEPTH))
             .select("cell")
         )
         keep = ["cell", "node", "n", "score", "most", "homes"]

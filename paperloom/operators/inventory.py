@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.canonical import content_hash
+
 
 def live_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """(entity, live) for each table; rows with a deleted_at are not live."""
@@ -168,6 +170,18 @@ def link_errors(links: DataFrame, attachments: DataFrame, targets: DataFrame) ->
     return joined.withColumn("error", error).select(*links.columns, "error")
 
 
+#: What an attachment's content hash covers, by its JSON names (fixed values).
+ATTACHMENT = {
+    "targetType": "target_type", "targetId": "target_id", "fileName": "file_name", "mediaType": "media_type",
+    "byteSize": "byte_size", "blobHash": "blob_hash", "caption": "caption", "position": "position",
+}
+
+
+def attachment_hash() -> Column:
+    """The content hash of an attachment's row; its id, owner, scope, version and times are left out."""
+    return content_hash("attachment", 1, F.struct(*[F.col(c).alias(n) for n, c in ATTACHMENT.items()]))
+
+
 def device_states(devices: DataFrame, runtime: DataFrame) -> DataFrame:
     """Registered devices with their runtime state, by account and device."""
     return devices.join(runtime, ["account_id", "device_id"])

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.segments import SEGMENT, Segments
-from .search import index, index_hits, score_hits
+from .search import index, index_hits, score_hits, search
 
 #: Changed rows, as a share of all, and segments, from which a compaction pays.
 STALE_SHARE, MAX_SEGMENTS = 0.2, 16
@@ -98,6 +98,21 @@ class StoredIndex:
         manifest = self.store.manifest(version)
         return index_hits(self.store.read("postings", self.postings_schema, manifest), phrase, lambda found: self._alive(found, manifest))
 
+    def search(
+        self,
+        bank: DataFrame,
+        phrase: str = "",
+        values: Mapping[str, Sequence[str]] | None = None,
+        relations: Mapping[str, Sequence[str]] | None = None,
+        deleted: str = "exclude",
+        version: int | None = None,
+    ) -> DataFrame:
+        """Rows of the bank that pass all filters of ``search.search``; a phrase is looked up, not scanned for."""
+        rows = search(bank, "", (), values, relations, deleted)
+        if not phrase.strip():
+            return rows
+        return rows.join(self.hits(phrase, version).select(F.col("id").alias("_hit")), rows[self.id_col] == F.col("_hit"), "left_semi")
+
     def ranked(self, bank: DataFrame, phrase: str, version: int | None = None) -> DataFrame:
         """Rows of the bank that hold the phrase, with the score that a scan of all live rows gives."""
         facts = self.store.manifest(version)["facts"]

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import dependencies, export, inventory, settle, versions
+from ..operators import dependencies, export, inventory, search, settle, versions
+from ..operators.search_index import StoredIndex
 from ..sources.blobs import BlobStore
 from ..sources.shared import passing_folder
 from ..streaming import cycle, exchange
@@ -56,6 +57,21 @@ def lifecycle_fold_based(spark, d):
     )
 
 
+# --- filtered search on an index ---------------------------------------------------------------
+
+
+@query(ORACLE_SQL["search_phrase_filtered"])
+def search_filtered_on_index(spark, d):
+    """The flagship search, its phrase from a stored index that has taken in a third of the rows as a change."""
+    docs = T.documents(spark, d).select("doc_id", "text", "source", "lang", "n_chars")
+    stored = StoredIndex(spark, passing_folder(spark), {"text": F.coalesce("text", F.lit(""))}, "doc_id")
+    stored.build(docs.where("doc_id % 3 <> 0"))
+    stored.apply(docs.where("doc_id % 3 = 0"))
+    hits = stored.search(docs, "of the", {"lang": ["en", "fr"]})
+    rows = hits.join(T.read(spark, d, "labels").where("quality = 1"), "doc_id", "left_semi").select("doc_id", "source", "n_chars")
+    return search.page(rows, [F.desc("n_chars"), F.desc("doc_id")])
+
+
 # --- the pull cycle ----------------------------------------------------------------------------
 
 
@@ -182,9 +198,10 @@ def settled_batch(spark, d):
 
 
 @query("""
-SELECT doc_id AS upload_id, sha256(coalesce(text, '')) AS blob_hash, octet_length(encode(coalesce(text, ''))) AS byte_size,
-  CASE WHEN row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY CAST(doc_id AS VARCHAR)) = 1 AND max(doc_id % 5 = 0) OVER (PARTITION BY coalesce(text, '')) = false THEN 'stored' ELSE 'duplicate' END AS outcome
-FROM documents WHERE doc_id % 5 <> 0
+SELECT doc_id AS upload_id, sha256(t) AS blob_hash, octet_length(encode(t)) AS byte_size, CASE WHEN nth = 1 AND NOT there THEN 'stored' ELSE 'duplicate' END AS outcome
+FROM (SELECT doc_id, t, row_number() OVER (PARTITION BY t, doc_id % 5 = 0 ORDER BY CAST(doc_id AS VARCHAR)) AS nth, bool_or(doc_id % 5 = 0) OVER (PARTITION BY t) AS there
+      FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))
+WHERE doc_id % 5 <> 0
 """)
 def blob_uploads(spark, d):
     """Texts uploaded in chunks of 1,000 bytes to a store that has every fifth of them."""
@@ -268,3 +285,17 @@ def device_states(spark, d):
     devices = T.read(spark, d, "customer").select(F.col("c_nationkey").alias("account_id"), F.col("c_custkey").alias("device_id"), F.col("c_mktsegment").alias("state"))
     runtime = T.read(spark, d, "supplier").select(F.col("s_nationkey").alias("account_id"), F.col("s_suppkey").alias("device_id"), (F.col("s_acctbal") > 0).alias("ready"))
     return inventory.device_states(devices, runtime)
+
+
+@query("""
+SELECT event_id AS attachment_id, sha256('{"blobHash":"' || sha256(props) || '","byteSize":' || octet_length(encode(props)) || ',"caption":' || CASE WHEN event_id % 3 = 0 THEN 'null' ELSE '"c' || event_id % 5 || '"' END
+  || ',"entity":"attachment","fileName":"' || event_type || '.png","mediaType":"image/png","position":' || event_id % 4 || ',"schemaVersion":1,"targetId":"q' || user_id || '","targetType":"question"}') AS content_hash FROM events
+""")
+def attachment_hashes(spark, d):
+    n = F.col("event_id")
+    tag = lambda prefix, x: F.concat(F.lit(prefix), x.cast("string"))
+    rows = T.read(spark, d, "events").select(
+        n.alias("attachment_id"), F.lit("question").alias("target_type"), tag("q", F.col("user_id")).alias("target_id"), F.concat("event_type", F.lit(".png")).alias("file_name"),
+        F.lit("image/png").alias("media_type"), F.octet_length("props").alias("byte_size"), F.sha2("props", 256).alias("blob_hash"), F.when(n % 3 != 0, tag("c", n % 5)).alias("caption"), (n % 4).alias("position"),
+    )
+    return rows.select("attachment_id", inventory.attachment_hash().alias("content_hash"))

@@ -106,6 +106,9 @@ def test_index_follows_its_bank(spark, tmp_path):
     bank = bank_of(spark, texts)
     assert {r.id for r in stored.ranked(bank, "of the").collect()} == set(got)
     assert stored.hits("").collect() == [] and stored.hits("nowhere").collect() == []
+    for phrase, relations in (("of the", {"tags": ["t a"]}), ("of the", {"tags": ["no"]}), ("", {}), (" ", {})):
+        want = search.search(bank, phrase, ["text"], {"source": ["src", "x"]}, relations)
+        assert rows(stored.search(bank, phrase, {"source": ["src", "x"]}, relations).select("id")) == rows(want.select("id"))
 
 
 def test_a_rare_phrase_reads_few_rows(spark, tmp_path):
@@ -234,7 +237,7 @@ def test_rebinding_replaces_edges(spark):
 
 def test_settlement_is_whole_or_nothing(spark, tmp_path):
     kept = settle.Exchanged(spark, str(tmp_path / "tables"))
-    op = lambda i, batch="b", state="in_flight": (f"o{i}", "question", f"e{i % 2}", "update", i, "f" * 64, '{"b": 1, "a": 2}', [], batch, state, None, 0)
+    op = lambda i, batch="b", state="in_flight": (f"o{i}", "question", f"e{i % 2}", "update", i, "f" * 64, '{"b": 1, "a": 2}', [], batch, state, None, 0, i, None, 1, None, i)
     kept.enqueue(spark.createDataFrame([op(1), op(2), op(3), op(4, "c")], settle.QUEUE))
     good = [("o1", "applied", 2, "a" * 64, None, '{"changeCursor": "s9"}'), ("o2", "conflict", 5, "c" * 64, "x", "{}"), ("o3", "dependencyFailed", None, None, None, "null")]
     frame = lambda x: spark.createDataFrame(x, settle.OUTCOME)

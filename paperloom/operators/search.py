@@ -134,8 +134,10 @@ def index_hits(found: DataFrame, phrase: str, also: Callable[[DataFrame], DataFr
         return found.where(F.lit(False)).select("id", "size", F.lit(0).cast("long").alias("hits"))
     begins = F.flatten(F.transform("places", lambda p: F.transform(offsets[F.col("token")], lambda k: p - k)))
     entries = found.where(F.col("token").isin(*at))
+    entries = also(entries) if also else entries
+    # Dealt by id once, so that both steps below stay in the task that has a row's entries.
     return (
-        (also(entries) if also else entries)
+        entries.select("id", "size", "field", "token", "places").repartition("id")
         .select("id", "size", "field", F.explode(begins).alias("begin"))
         .groupBy("id", "size", "field", "begin")
         .count()

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.segments import SEGMENT, Segments
+from ..sources.shared import checkpoint
 from .search import index, index_hits, score_hits, search
 
 #: Changed rows, as a share of all, and segments, from which a compaction pays.
@@ -116,7 +117,7 @@ class StoredIndex:
     def ranked(self, bank: DataFrame, phrase: str, version: int | None = None) -> DataFrame:
         """Rows of the bank that hold the phrase, with the score that a scan of all live rows gives."""
         facts = self.store.manifest(version)["facts"]
-        hits = self.hits(phrase, version)
+        hits = checkpoint(self.hits(phrase, version))  # their number and their rows, of one reading
         docs = facts.get("docs", 0)
         stats = hits.agg(F.count("*").alias("held")).select(F.lit(docs).alias("docs"), F.lit(facts.get("tokens", 0) / docs if docs else None).cast("double").alias("mean_size"), "held")
         scored = score_hits(hits, stats)

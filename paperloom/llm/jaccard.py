@@ -112,11 +112,13 @@ def jaccard_components(
     grouped = rows.groupBy(BUCKET)
 
     def count(key, table):
+        K.release()
         return sketch.Keys(_sets(table["text"], shingle, secret)[1], n_blocks).parts(key[0].as_py())
 
     replies = sketch.merged(grouped.applyInArrow(count, sketch.PART))
 
     def profile(key, table, answer):
+        K.release()
         row, h, n_rows = _sets(table["text"], shingle, secret)
         df = sketch.Keys(h, n_blocks).estimates(answer[BLOCK].to_pylist(), answer["counts"].to_pylist())
         cut = np.searchsorted(row, np.arange(n_rows + 1))

@@ -6,6 +6,7 @@ run of bytes outside ``\x20 \x09-\x0D``; UTF-8 keeps that exact on bytes.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import secrets
 
@@ -21,6 +22,14 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 _GOLDEN = 0x9E3779B97F4A7C15
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Give memory that is free again back to the system: a worker lives for many groups, and its allocators would keep it."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -81,6 +81,7 @@ def _cells(keys: np.ndarray) -> list[np.ndarray]:
 
 
 def _merge(key, parts):
+    K.release()
     rows = [np.zeros(1 << WIDTH_BITS, np.uint32) for _ in range(ROWS)]
     names = parts.column_names
     packed, counts = parts.column(names.index("keys")), parts.column(names.index("counts"))

@@ -59,6 +59,7 @@ _SENT = pa.schema(
 
 def _first_bits(key, parts):
     """For each window that a bucket sent, whether no other sent it with a smaller id, or the same id from a smaller bucket."""
+    K.release()
     parts = parts.combine_chunks()
     read = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in parts[name]]
     h1, h2 = read("h1", np.uint64), read("h2", np.uint64)
@@ -111,12 +112,14 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
 
     def count(key, table):
         table, _ = _ordered(table, id_col, text_col)
+        K.release()
         a = _scan(table[text_col], window, secret)[0]
         return sketch.Keys(a, n_blocks).parts(key[0].as_py())
 
     replies = sketch.merged(grouped.applyInArrow(count, sketch.PART))
 
     def judge(table: pa.Table, answer: pa.Table):
+        K.release()
         table, ids = _ordered(table, id_col, text_col)
         a, b, row, start = _scan(table[text_col], window, secret)
         est = sketch.Keys(a, n_blocks).estimates(answer[BLOCK].to_pylist(), answer["counts"].to_pylist())

@@ -84,6 +84,10 @@ def _best_two(lengths: list[int], free: dict[int, int], gap: int, more_than: int
     return (int(own[best]), int(own[at[best]])) if total[best] > more_than else None
 
 
+#: Words that one call of the tokenizer encodes.
+GROUP = 128
+
+
 class WordTokens:
     """Token ids of blank-separated words from a library tokenizer, each distinct word once while the cache holds it.
 
@@ -101,6 +105,7 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_str(file.decode())
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.between = self._between()
         self.place: dict[bytes, int] = {}
         self.bytes = 0
         self.flat = np.zeros(0, np.uint32)
@@ -119,13 +124,42 @@ class WordTokens:
         self.place = dict(zip(words, range(len(words)), strict=True))
         self.bytes = sum(map(len, words))
 
+    def _between(self) -> tuple[str, int] | None:
+        """A word of the vocabulary that is always one token of its own, and that token; None if none is found at once."""
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        for token, i in sorted(self.tokenizer.get_vocab().items(), key=lambda x: -x[1])[:2000]:
+            word = token.removesuffix("</w>")
+            if word.isascii() and word.isalpha() and len(word) > 4 and ids(f"a {word} 1") == [*ids("a"), i, *ids("1")]:
+                return word, i
+        return None
+
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of words one after another, and their number for each word.
+
+        Many words are one call, with a word between them whose token tells where they end; a group that
+        holds that token itself is encoded word by word.
+        """
+        flat, sizes = [], []
+        groups = [words[k : k + GROUP] for k in range(0, len(words), GROUP)]
+        joined = self.tokenizer.encode_batch_fast([f" {self.between[0]} ".join(g) for g in groups], add_special_tokens=False) if self.between else [None] * len(groups)
+        for group, e in zip(groups, joined, strict=True):
+            ids = np.array(e.ids if e else [], np.uint32)
+            cut = np.flatnonzero(ids == self.between[1]) if e else []
+            if e and len(cut) == len(group) - 1:
+                flat.append(np.delete(ids, cut))
+                sizes.append(np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1)
+            else:
+                own = [x.ids for x in self.tokenizer.encode_batch_fast(group, add_special_tokens=False)]
+                flat.append(np.fromiter(chain.from_iterable(own), np.uint32))
+                sizes.append(np.fromiter(map(len, own), np.int64, len(own)))
+        return np.concatenate(flat), np.concatenate(sizes)
+
     def _add(self, words: list[bytes]) -> np.ndarray:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat, sizes = self._ids([w.decode() for w in words])
         place = np.arange(len(self.sizes), len(self.sizes) + len(words))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
+        self.flat = np.concatenate([self.flat, flat])
         self.uses = np.concatenate([self.uses, np.zeros(len(words), np.int64)])
         self.place.update(zip(words, place.tolist(), strict=True))
         self.bytes += sum(map(len, words))

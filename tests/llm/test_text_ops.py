@@ -577,3 +577,20 @@ def test_kernels_words():
         raw = data.tobytes()
         out += [[raw[s[k] : e[k]].decode() for k in range(fw[i], fw[i + 1])] for i in range(len(off) - 1)]
     assert out == [words(t) for t in texts]
+
+
+def test_word_tokens_with_the_word_between():
+    """Texts that hold the word which parts a call's words, white space beyond ASCII and marks at edges: ids as the library gives them."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, "rb") as f:
+        own = packing.WordTokens(f.read())
+    word, token = own.between
+    rng = random.Random(6)
+    parts = ["a", "B", "é", "J\u030c", "\u0301x", ".", "'s", "9", " ", "\n", "\u3000", word, f" {word} ", word.upper(), "<|endoftext|>", "\u00df", "\u03a3"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(3000)] + [None, ""]
+    got = [ids[a:b].tolist() for _, ids, off in own.encode(pa.array(texts)) for a, b in zip(off, off[1:], strict=False)]
+    want = Tokenizer.from_file(path).encode_batch([t or "" for t in texts], add_special_tokens=False)
+    assert got == [[*e.ids, packing.END_ID] for e in want] and any(token in g for g in got)

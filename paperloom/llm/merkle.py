@@ -10,7 +10,9 @@ join is associative, and forests of ranges of rows reduce in rounds.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -21,8 +23,8 @@ from .ranks import AT, PART
 
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 ARITY = 8
-#: Forests that one task joins, and rows of a range, about.
-FAN, RANGE_ROWS = 16, 32_768
+#: Forests that one task joins, rows of a range, about, and rows whose proofs are held at once.
+FAN, RANGE_ROWS, PROOFS = 16, 131_072, 4096
 #: The tree over the groups' roots.
 TOP = -1
 _HEX = 64
@@ -193,35 +195,35 @@ def manifest(
     back = runs.withColumn(PART, F.explode(F.sequence("lo", "hi"))).select(PART, "tree", "n", "level", "at", "digests")
     spare = [f"also_{k}" for k in also]
     proof = "array<struct<before:string,after:string>>"
-    fields = {"subroot": pa.string(), "root": pa.string()}
 
-    def prove(key, table, own):
-        table, own = table.combine_chunks(), own.combine_chunks()
-        is_run = own["level"].is_valid()
-        forest, placed = _local(table, own.filter(pc.invert(is_run)), arity)
-        for r in own.filter(is_run).to_pylist():
+    def prove(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(batches)
+        is_leaf, is_run = whole["leaf"].is_valid(), whole["level"].is_valid()
+        table = whole.filter(is_leaf).combine_chunks()
+        forest, placed = _local(table, whole.filter(pc.invert(pc.or_(is_leaf, is_run))), arity)
+        for r in whole.filter(is_run).select(["tree", "n", "level", "at", "digests"]).to_pylist():
             forest.sizes[r["tree"]] = r["n"]
             forest.runs[r["tree"], r["level"], r["at"]] = r["digests"], 0, 0
         subroots: dict[int, str] = {}
-        known: dict = {}
-        cut, before, after, subs = [0], [], [], []
-        for tree, at, digest in placed:
-            path = forest.path(tree, 0, at, known)
-            before += [b for b, _ in path]
-            after += [a for _, a in path]
-            cut.append(len(before))
+        for tree, _, digest in placed:
             if tree not in subroots:
                 subroots[tree] = forest.root(tree) or digest
-            subs.append(subroots[tree])
-        root = forest.root(TOP) or subs[0]
-        sides = pa.StructArray.from_arrays([pa.array(before, pa.string()), pa.array(after, pa.string())], ["before", "after"])
-        out = table.drop_columns([PART, AT])
-        out = out.append_column("subroot", pa.array(subs, fields["subroot"])).append_column("root", pa.array([root] * len(subs), fields["root"]))
-        return out.append_column("proof", pa.ListArray.from_arrays(pa.array(cut, pa.int32()), sides))
+        root = forest.root(TOP) or subroots[placed[0][0]]
+        table, known = table.select(carried), {}
+        for k in range(0, len(placed), PROOFS):
+            some = placed[k : k + PROOFS]
+            paths = [forest.path(tree, 0, at, known) for tree, at, _ in some]
+            sides = pa.StructArray.from_arrays([pa.array([x[i] for p in paths for x in p], pa.string()) for i in (0, 1)], ["before", "after"])
+            cut = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in paths])]), pa.int32())
+            own = [pa.array([subroots[tree] for tree, _, _ in some]), pa.array([root] * len(some)), pa.ListArray.from_arrays(cut, sides)]
+            part = table.slice(k, PROOFS).combine_chunks()
+            yield pa.RecordBatch.from_arrays([*[c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in part.columns], *own], [*carried, "subroot", "root", "proof"])
 
     kept = rows.select(PART, AT, "group", "id", "leaf", *spare)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name not in (PART, AT))
-    proved = kept.groupBy(PART).cogroup(spans.unionByName(back, allowMissingColumns=True).groupBy(PART)).applyInArrow(prove, f"{schema}, subroot string, root string, proof {proof}")
+    carried = [c for c in kept.columns if c not in (PART, AT)]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name in carried)
+    around = spans.unionByName(back, allowMissingColumns=True)
+    proved = kept.unionByName(around, allowMissingColumns=True).groupBy(PART).applyInArrow(prove, f"{schema}, subroot string, root string, proof {proof}")
     return proved.select(
         F.col("id").alias(id_col), F.col("group").alias(group_col), "leaf", "subroot", "root", "proof", *[F.col(f"also_{k}").alias(k) for k in also]
     )

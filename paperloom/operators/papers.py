@@ -31,13 +31,17 @@ def ordered(items: DataFrame, categorized: bool = False) -> DataFrame:
 
 
 def numbered(placed: DataFrame) -> DataFrame:
-    """number through the paper, number in the section, and whether a section starts, by place."""
+    """number through the paper, number in the section, and whether a section starts, by place.
+
+    A section is a run of places, so one order serves all: its first place is the last that starts one.
+    """
     paper = Window.partitionBy("paper_id").orderBy("place")
+    upto = paper.rowsBetween(Window.unboundedPreceding, 0)
     starts = F.coalesce(F.lag("question_type").over(paper) != F.col("question_type"), F.lit(True))
     out = placed.withColumn("starts_section", starts)
-    out = out.withColumn("section", F.sum(F.col("starts_section").cast("int")).over(paper))
-    section = Window.partitionBy("paper_id", "section").orderBy("place")
-    return out.withColumns({"number": F.col("place") + 1, "section_number": F.row_number().over(section)})
+    out = out.withColumn("section", F.sum(F.col("starts_section").cast("int")).over(upto))
+    first = F.max(F.when(F.col("starts_section"), F.col("place"))).over(upto)
+    return out.withColumns({"number": F.col("place") + 1, "section_number": F.col("place") - first + 1})
 
 
 def reorder(items: DataFrame, orders: DataFrame) -> DataFrame:

@@ -169,9 +169,11 @@ def _free_fold(ops: DataFrame) -> DataFrame:
     )
 
 
-_RESULT = "part int, entity_id long, op_id long, outcome string, version long, content_hash string, deleted boolean"
+_RESULT = "part long, entity_id long, op_id long, outcome string, version long, content_hash string, deleted boolean"
 #: Bases of a range's first based operations that are tried as the state it starts from, and rows of each trial.
 TRIALS, TRIAL_ROWS = 16, 256
+#: A range is one group in Python; its rows are 2 ** RANGE_BITS at most, however large a partition is.
+RANGE_BITS = 17
 
 
 def _run(rows: list, start: tuple, looked_up: dict) -> list[tuple]:
@@ -241,7 +243,9 @@ def _based_fold(ops: DataFrame) -> DataFrame:
     Where bases mostly name what was current, the guesses are right and two or
     three rounds suffice.
     """
-    ranged = checkpoint(ops.repartitionByRange("entity_id", "op_id").withColumn("part", F.spark_partition_id()))
+    # A row's number in its sorted partition cuts the partition into ranges of at most 2 ** RANGE_BITS operations.
+    sorted_ = ops.repartitionByRange("entity_id", "op_id").sortWithinPartitions("entity_id", "op_id")
+    ranged = checkpoint(sorted_.withColumn("part", F.shiftright(F.monotonically_increasing_id(), RANGE_BITS)))
     by_part = Window.orderBy("part")  # a row for each range
     spans = ranged.groupBy("part").agg(F.min("entity_id").alias("entity_id"), F.max("entity_id").alias("_last"))
     spans = checkpoint(spans.withColumn("crossing", F.coalesce(F.col("entity_id") == F.lag("_last").over(by_part), F.lit(False))))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from paperloom.operators import papers
+import pandas as pd
+from pyspark.sql import functions as F
+
+from paperloom.operators import papers, versions
 
 
 def test_numbering_sorts_by_place_once(spark):
@@ -14,3 +17,24 @@ def test_numbering_sorts_by_place_once(spark):
     assert found._jdf.queryExecution().executedPlan().toString().count("Sort [") == 2  # by type and item order, and by place
     got = {(r.paper_id, r.item_order): (r.number, r.section_number, r.starts_section) for r in found.where("paper_id = 1").collect()}
     assert got == {(1, 2): (1, 1, True), (1, 0): (2, 1, True), (1, 3): (3, 2, False), (1, 1): (4, 1, True)}
+
+
+def test_a_range_of_the_fold_is_bounded(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(versions, "RANGE_BITS", 4)
+    path, part = str(tmp_path / "sizes"), versions._part
+
+    def counted(key, ops: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        with open(path, "a") as f:
+            f.write(f"{len(ops)}\n")
+        return part(key, ops, given)
+
+    ops = spark.range(300).select(
+        F.col("id").alias("op_id"), (F.col("id") % 2).alias("entity_id"), F.when(F.col("id") < 2, "create").when(F.col("id") % 7 == 0, "revert").otherwise("update").alias("kind"),
+        F.lit(None).cast("long").alias("base_version"), F.lit(None).cast("string").alias("base_hash"), F.concat(F.lit("h"), F.col("id").cast("string")).alias("content_hash"), (F.col("id") % 5 + 1).alias("to_version"),
+    )
+    want = sorted(versions._based_fold(ops).collect())
+    monkeypatch.setattr(versions, "_part", counted)
+    got = sorted(versions._based_fold(ops).collect())
+    monkeypatch.setattr(versions, "RANGE_BITS", 17)
+    assert got == want == sorted(versions._based_fold(ops).collect()) and len(got) == 300
+    assert max(int(x) for x in open(path).read().split()[:20]) <= 16

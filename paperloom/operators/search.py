@@ -100,14 +100,18 @@ def index(bank: DataFrame, id_col: str, fields: Mapping[str, Column]) -> DataFra
     """
     rows = bank.select(F.col(id_col).alias("id"), *[F.split(F.trim(token_text(c)), " ").alias(f"f{k}") for k, c in enumerate(fields.values())])
     lists = [F.filter(F.col(f"f{k}"), lambda x: x != "") for k in range(len(fields))]
-    sized = rows.select("id", F.array(*lists).alias("l"), sum((F.size(x) for x in lists), F.lit(0)).alias("size"))
-    return (
+    sized = rows.select("id", F.array(*lists).alias("l")).withColumn("size", F.aggregate("l", F.lit(0), lambda n, x: n + F.size(x)))
+    words = (
         sized.select("id", "size", F.posexplode("l").alias("field", "tokens"))
         .where((F.size("tokens") > 0) | ((F.col("size") == 0) & (F.col("field") == 0)))
-        .select("id", "size", "field", F.posexplode_outer("tokens").alias("place", "token"))
-        .groupBy("token", "id", "field", "size")
-        .agg(F.array_sort(F.collect_list("place")).alias("places"))
+        .select("id", "size", "field", F.array_sort(F.transform("tokens", lambda t, k: F.struct(t.alias("token"), k.alias("place")))).alias("w"))
     )
+    # Sorted tokens with their places: a token is a run, so its places are a slice, and no token leaves its row.
+    new = lambda w, k: (k == 0) | (F.get(w, k - 1)["token"] != F.get(w, k)["token"])
+    runs = words.withColumn("s", F.filter(F.transform("w", lambda _, k: k), lambda k: new(F.col("w"), k)))
+    end = lambda k: F.coalesce(F.get("s", k + 1), F.size("w"))
+    entry = F.transform("s", lambda at, k: F.struct(F.get("w", at)["token"].alias("token"), F.slice("w", at + 1, end(k) - at)["place"].alias("places")))
+    return runs.select("id", "size", "field", F.explode_outer(entry).alias("e")).select("e.token", "id", "field", "size", F.coalesce("e.places", F.array().cast("array<int>")).alias("places"))
 
 
 def write_index(found: DataFrame, path: str) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from paperloom.operators import papers, versions
+from paperloom.operators import papers, search, versions
 
 
 def test_numbering_sorts_by_place_once(spark):
@@ -38,3 +38,11 @@ def test_a_range_of_the_fold_is_bounded(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(versions, "RANGE_BITS", 17)
     assert got == want == sorted(versions._based_fold(ops).collect()) and len(got) == 300
     assert max(int(x) for x in open(path).read().split()[:20]) <= 16
+
+
+def test_postings_are_made_without_a_shuffle(spark):
+    bank = spark.createDataFrame([(1, "b a b", "s"), (2, None, "s t"), (3, "", None)], "id long, text string, source string")
+    found = search.index(bank, "id", search.document_fields(subjects=None, tags=None))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted(((r.id, r.field, r.token, r.size, r.places) for r in found.collect()), key=str)
+    assert got == [(1, 0, "a", 4, [1]), (1, 0, "b", 4, [0, 2]), (1, 1, "s", 4, [0]), (2, 1, "s", 2, [0]), (2, 1, "t", 2, [1]), (3, 0, None, 0, [])]

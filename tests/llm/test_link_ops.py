@@ -164,6 +164,37 @@ def test_image_copies_meet_within_the_bits_that_count(spark, monkeypatch):
     assert {(r.query_id, r.image_id, r.agreeing) for r in got} == {(7, 1, 4)}
 
 
+def test_near_copies_are_not_joined_band_by_band(spark, monkeypatch, tmp_path):
+    """Queries that share bands are one list, an image meets a list once, and pairs without enough matches do not vote."""
+    rng = np.random.default_rng(12)
+    common, own = (rng.integers(0, 1 << 32, n, np.uint64).astype("<u4") for n in ((6, images.BANDS), (40, 6, images.BANDS)))
+    place = rng.uniform(20, 60, (6, 4)).astype(np.float32)
+    place[:, 2:] = (0, 1)
+    row = lambda i, bits: (i, np.ascontiguousarray(bits).tobytes(), place.tobytes())
+    one = lambda k: np.concatenate([common[:1], own[k][1:]])  # noqa: E731  one corner of the common ones, so too few to agree
+    asked = spark.createDataFrame([*[row(i, common) for i in range(9)], row(20, own[0])], images.POINTS)
+    points = spark.createDataFrame([*[row(i, common) for i in range(12)], *[row(30 + k, one(k)) for k in range(1, 5)], row(50, own[0]), row(60, own[9])], images.POINTS)
+    lists = images.band_lists(asked).collect()
+    assert sorted((x.queries, len(x.bands)) for x in lists) == [(list(range(9)), 48), ([20], 48)]
+    found = images.meeting(images.band_lists(asked), points).collect()
+    want = {(q, i) for q in range(9) for i in [*range(12), 31, 32, 33, 34]} | {(20, 50)}
+    assert {(r.query_id, r.id) for r in found} == want and len(found) == len(want)
+    path, whole = str(tmp_path / "voted"), images.agreement
+
+    def counted(*both):
+        with open(path, "a") as f:
+            f.write("1\n")
+        return whole(*both)
+
+    tables = iter([points, asked])
+    monkeypatch.setattr(images, "descriptors", lambda *a: next(tables))
+    monkeypatch.setattr(images, "agreement", counted)
+    media = spark.createDataFrame([(r.id, bytes([r.id])) for r in points.collect()], "image_id long, image binary")
+    got = images.find_copies(media.limit(0), media).collect()
+    assert {(r.query_id, r.image_id, r.agreeing) for r in got} == {(q, i, 6) for q in range(9) for i in range(12)} | {(20, 50, 6)}
+    assert len(open(path).read().split()) == 9 * 12 + 1  # and not the 36 pairs of one common corner
+
+
 def test_best_copies_has_a_row_for_each_query(spark):
     rng = np.random.default_rng(6)
     art = [np.kron(rng.integers(0, 255, (9, 9)), np.ones((8, 8))).astype(np.uint8) for _ in range(6)]

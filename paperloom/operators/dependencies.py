@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import checkpoint
+from ..sources.shared import checkpoint, passing_folder
 
 EDGE = ("operation_id", "depends_on")
 
 
 def edges(bound: DataFrame) -> DataFrame:
     """(operation_id, depends_on), each once, of rows with operation_id and dependencies, an array."""
-    return bound.select("operation_id", F.explode("dependencies").alias("depends_on")).where("depends_on is not null").distinct()
+    each = bound.select("operation_id", F.explode(F.array_distinct("dependencies")).alias("depends_on")).where("depends_on is not null")
+    return each.repartition("operation_id").distinct()  # dealt by operation, as levels joins them
 
 
 def bind(queue: DataFrame, devices: DataFrame, requests: DataFrame) -> DataFrame:
@@ -50,34 +51,57 @@ def levels(operations: DataFrame, dependencies: DataFrame) -> DataFrame:
     blocked (it depends on one of those).  Repeated edges count once; a self
     edge is a cycle.
 
-    Each round takes away the operations that wait for nothing, and then,
-    among those left, those that nothing waits for, so rounds are as many as
-    levels; only edges of operations that are still there are joined.  What
-    neither takes away lies between cycles, and ``_in_cycle`` decides it.
+    Each round takes away the operations that nothing waits for, whose levels
+    follow from the others', and those that wait for nothing any more, whose
+    level is the round.  So only edges between operations that are still there
+    are joined and written, and rounds are half as many as levels at most.
+    What neither takes away lies between cycles, and ``_in_cycle`` decides it.
+    Then the former get their levels, those taken last first.
     """
-    nodes = checkpoint(operations.select("operation_id").distinct())
-    wanted = dependencies.select(*EDGE).where("depends_on is not null").distinct().join(nodes, "operation_id", "left_semi")
-    wanted = checkpoint(wanted)
-    there = nodes.select(F.col("operation_id").alias("depends_on"))
-    missing = wanted.join(there, "depends_on", "left_anti").select("operation_id").distinct()
-    left, found, level = wanted, None, 0
-    ready = checkpoint(nodes.join(wanted, "operation_id", "left_anti"))
-    while not ready.isEmpty():
-        own = ready.withColumn("level", F.lit(level))
-        found = own if found is None else found.union(own)
-        left = checkpoint(left.join(ready.select(F.col("operation_id").alias("depends_on")), "depends_on", "left_anti").select(*EDGE))
-        waiting = wanted.join(ready.select(F.col("operation_id").alias("depends_on")), "depends_on", "left_semi").select("operation_id").distinct()
-        ready = checkpoint(waiting.join(left, "operation_id", "left_anti"))
+    spark = operations.sparkSession
+    root = passing_folder(spark)
+
+    def kept(rows: DataFrame, name: str, *by: str) -> DataFrame:
+        rows.write.mode("append").option("compression", "zstd").partitionBy(*by).parquet(f"{root}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{root}/{name}")
+
+    nodes, given = operations.select("operation_id").distinct(), dependencies.select(*EDGE).where("depends_on is not null").distinct()
+    every = kept(nodes.join(given, "operation_id", "left").withColumn("waits", F.col("depends_on").isNotNull()), "every", "waits")
+    core, ready = every.where("waits").select(*EDGE), every.where("not waits").select("operation_id")
+    there = every.select(F.col("operation_id").alias("depends_on")).distinct()
+    absent = kept(core.select("depends_on").distinct().join(there, "depends_on", "left_anti"), "absent")
+    missing = kept(core.join(absent, "depends_on", "left_semi").select("operation_id").distinct(), "missing")
+    found = kept(ready.withColumn("level", F.lit(0)), "levels")
+    tops, starts, level, layers = True, not ready.isEmpty(), 0, []
+    while (tops or starts) and not core.isEmpty():
         level += 1
-    if found is None:
-        found = nodes.where(F.lit(False)).withColumn("level", F.lit(0))
-    stuck = nodes.join(found, "operation_id", "left_anti")
-    cyclic = _in_cycle(left)
+        if tops:
+            asked = core.select(F.col("depends_on").alias("operation_id")).distinct().withColumn("_asked", F.lit(True))
+            split = core.join(asked, "operation_id", "left").select(*EDGE, F.col("_asked").isNull().alias("top"))
+            split = kept(split, f"core{level}", "top")
+            core, layer = split.where("not top").select(*EDGE), split.where("top").select(*EDGE)
+            tops = not layer.isEmpty()
+            layers += [layer] * tops
+        if starts:
+            done = ready.select(F.col("operation_id").alias("depends_on"))
+            freed = kept(core.join(done, "depends_on", "left_semi").select("operation_id").distinct(), f"freed{level}")
+            core = core.join(done, "depends_on", "left_anti").select(*EDGE)
+            core = core if tops else kept(core, f"rest{level}")  # the next split writes it otherwise
+            waiting = core.join(freed, "operation_id", "left_semi").select("operation_id").distinct()
+            ready = kept(freed.join(waiting, "operation_id", "left_anti"), f"ready{level}")
+            found = kept(ready.withColumn("level", F.lit(level)), "levels")
+            starts = not ready.isEmpty()
+    core = kept(core, "stuck")
+    for layer in reversed(layers):
+        # Edges to what has been ready before the layer was taken are gone, and those levels are lower.
+        known = layer.join(found.withColumnRenamed("operation_id", "depends_on"), "depends_on", "left")
+        own = known.groupBy("operation_id").agg(F.when(F.count("level") == F.count("*"), F.max("level") + 1).alias("level"))
+        found = kept(own, "levels")
+    found = found.union(core.select("operation_id").distinct().withColumn("level", F.lit(None).cast("int")))
     problem = F.when(F.col("_m"), "missing").when(F.col("_c"), "cycle").when(F.col("level").isNull(), "blocked")
     return (
-        found.unionByName(stuck.withColumn("level", F.lit(None).cast("int")))
-        .join(missing.withColumn("_m", F.lit(True)), "operation_id", "left")
-        .join(cyclic.withColumn("_c", F.lit(True)), "operation_id", "left")
+        found.join(missing.withColumn("_m", F.lit(True)), "operation_id", "left")
+        .join(_in_cycle(core).withColumn("_c", F.lit(True)), "operation_id", "left")
         .select("operation_id", "level", problem.alias("problem"))
     )
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from paperloom.operators import papers, search, versions
+from paperloom.operators import dependencies, papers, search, versions
 
 
 def test_numbering_sorts_by_place_once(spark):
@@ -46,3 +47,23 @@ def test_postings_are_made_without_a_shuffle(spark):
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
     got = sorted(((r.id, r.field, r.token, r.size, r.places) for r in found.collect()), key=str)
     assert got == [(1, 0, "a", 4, [1]), (1, 0, "b", 4, [0, 2]), (1, 1, "s", 4, [0]), (2, 1, "s", 2, [0]), (2, 1, "t", 2, [1]), (3, 0, None, 0, [])]
+
+
+def test_levels_write_edges_only_while_both_ends_are_there(spark, monkeypatch, tmp_path):
+    """Each operation waits for its half: what nothing waits for is half of those left, so all rounds together write few times the edges."""
+    cut, n = [], 512
+    whole = dependencies.checkpoint
+
+    def counted(rows):
+        made = whole(rows)
+        cut.append(made.count())
+        return made
+
+    monkeypatch.setattr(dependencies, "checkpoint", counted)
+    monkeypatch.setattr(dependencies, "passing_folder", lambda spark: str(tmp_path), raising=False)
+    ids = spark.range(1, n).withColumnRenamed("id", "operation_id")
+    edges = ids.where("operation_id > 1").withColumn("depends_on", F.expr("operation_id div 2"))
+    got = {r.operation_id: (r.level, r.problem) for r in dependencies.levels(ids, edges).collect()}
+    assert got == {i: (i.bit_length() - 1, None) for i in range(1, n)}
+    written = sum(pq.read_metadata(f).num_rows for f in tmp_path.rglob("*.parquet"))
+    assert sum(cut) + written < 6 * n

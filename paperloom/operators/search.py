@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ from ..functions.scalars import _FOLD, fold
 
 CURSOR = "tpq1."
 K1, B = 1.2, 0.75
+#: Bytes of text whose entries are one sorted run, and entries that leave Python at a time.
+RUN_BYTES, OUT_ROWS = 1 << 23, 1 << 16
 
 
 def token_text(col: Column) -> Column:
@@ -90,28 +95,80 @@ def document_fields(subjects: str | None = "subjects", tags: str | None = "tags"
     return out
 
 
+def _entries(run_bytes: int, out_rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function of ``index`` in Arrow batches; its parts are inside, so that workers need not import this package."""
+
+    def run(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        """One run: tokens as numbers in their order, sorted by (token, row, field), where equal ones are one entry."""
+        n, fields = rows.num_rows, rows.num_columns - 1
+        tokens, row, place, sizes = [], [], [], np.zeros(n, np.int64)
+        for k in range(fields):
+            lists = pc.split_pattern(rows.column(k + 1).combine_chunks(), " ")
+            count = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            words = lists.flatten()
+            at, begin = np.repeat(np.arange(n), count), np.repeat(np.cumsum(count) - count, count)
+            some = pc.not_equal(words, "").to_numpy(zero_copy_only=False)  # a text without tokens is one empty word
+            tokens.append(words.filter(pa.array(some)))
+            row.append((at * fields + k)[some])
+            place.append((np.arange(len(words)) - begin)[some])
+            sizes += np.bincount(at[some], minlength=n)
+        coded = pa.chunked_array(tokens, pa.string()).combine_chunks().dictionary_encode()
+        coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+        names = coded.dictionary
+        rank = np.empty(len(names), np.int64)
+        rank[pc.sort_indices(names).to_numpy()] = np.arange(len(names))
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        key = rank[code] * (n * fields) + np.concatenate(row)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        at, field = np.divmod(key[first] % (n * fields), fields)
+        empty = np.flatnonzero(sizes == 0)
+        places = pa.ListArray.from_arrays(
+            pa.array(np.concatenate([first, np.full(len(empty) + 1, len(key))]), pa.int32()), pa.array(np.concatenate(place)[order], pa.int32())
+        )
+        at, field = np.concatenate([at, empty]), np.concatenate([field, np.zeros(len(empty), np.int64)])
+        token = pa.concat_arrays([names.take(pa.array(code[order[first]])), pa.nulls(len(empty), pa.string())])
+        made = [token, rows.column(0).combine_chunks().take(pa.array(at)), pa.array(field, pa.int32()), pa.array(sizes[at], pa.int32()), places]
+        out = pa.RecordBatch.from_arrays(made, ["token", "id", "field", "size", "places"])
+        for i in range(0, out.num_rows, out_rows):
+            yield out.slice(i, out_rows)
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Entries of rows (id, a text of single-spaced tokens for each field), in runs sorted by token.
+
+        A run is the entries of ``RUN_BYTES`` of text or a little more, so a task's memory does not grow with its rows.
+        """
+        held, size = [], 0
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                # Rows' ends within the batch, all fields and 16 bytes more: a part ends where it fills the run.
+                ends = np.cumsum(16 + sum(pc.binary_length(c).to_numpy(zero_copy_only=False)[at:].astype(np.int64) for c in batch.columns[1:]))
+                n = min(int(np.searchsorted(ends, run_bytes - size)) + 1, batch.num_rows - at)
+                held.append(batch.slice(at, n))
+                at, size = at + n, size + int(ends[n - 1])
+                if size >= run_bytes:
+                    yield from run(pa.Table.from_batches(held))
+                    held, size = [], 0
+        if held:
+            yield from run(pa.Table.from_batches(held))
+
+    return runs
+
+
 def index(bank: DataFrame, id_col: str, fields: Mapping[str, Column]) -> DataFrame:
-    """(token, id, field, places, size): where each token stands in each field, with the row's tokens in all fields.
+    """(token, id, field, size, places): where each token stands in each field, with the row's tokens in all fields.
 
     A row without tokens has one entry, of a null token, so that statistics count it.
-    Write it sorted by token (``write_index``), and a search reads only the
-    row groups of its phrase's tokens.  A common token has a row for each
-    document, spread over many files.
+    A task gives its rows' entries in long runs sorted by token; no token
+    leaves its task.  Written so, or sorted through (``write_index``), a search
+    reads only the row groups and pages of its phrase's tokens.  A common token
+    has a row for each document.
     """
-    rows = bank.select(F.col(id_col).alias("id"), *[F.split(F.trim(token_text(c)), " ").alias(f"f{k}") for k, c in enumerate(fields.values())])
-    lists = [F.filter(F.col(f"f{k}"), lambda x: x != "") for k in range(len(fields))]
-    sized = rows.select("id", F.array(*lists).alias("l")).withColumn("size", F.aggregate("l", F.lit(0), lambda n, x: n + F.size(x)))
-    words = (
-        sized.select("id", "size", F.posexplode("l").alias("field", "tokens"))
-        .where((F.size("tokens") > 0) | ((F.col("size") == 0) & (F.col("field") == 0)))
-        .select("id", "size", "field", F.array_sort(F.transform("tokens", lambda t, k: F.struct(t.alias("token"), k.alias("place")))).alias("w"))
-    )
-    # Sorted tokens with their places: a token is a run, so its places are a slice, and no token leaves its row.
-    new = lambda w, k: (k == 0) | (F.get(w, k - 1)["token"] != F.get(w, k)["token"])
-    runs = words.withColumn("s", F.filter(F.transform("w", lambda _, k: k), lambda k: new(F.col("w"), k)))
-    end = lambda k: F.coalesce(F.get("s", k + 1), F.size("w"))
-    entry = F.transform("s", lambda at, k: F.struct(F.get("w", at)["token"].alias("token"), F.slice("w", at + 1, end(k) - at)["place"].alias("places")))
-    return runs.select("id", "size", "field", F.explode_outer(entry).alias("e")).select("e.token", "id", "field", "size", F.coalesce("e.places", F.array().cast("array<int>")).alias("places"))
+    texts = [F.trim(token_text(c)).alias(f"f{k}") for k, c in enumerate(fields.values())]
+    kind = bank.select(F.col(id_col)).dtypes[0][1]
+    return bank.select(F.col(id_col).alias("id"), *texts).mapInArrow(_entries(RUN_BYTES, OUT_ROWS), f"token string, id {kind}, field int, size int, places array<int>")
 
 
 def write_index(found: DataFrame, path: str) -> None:

@@ -32,21 +32,33 @@ class StoredIndex:
         self.postings_schema = f"token string, id {id_type}, field int, size int, places array<int>"
         self.rows_schema = f"id {id_type}, size int, live boolean"
 
-    def _made(self, bank: DataFrame) -> tuple[DataFrame, DataFrame]:
-        made = index(bank, self.id_col, self.fields)
-        rows = made.groupBy("id").agg(F.first("size").alias("size")).withColumn("live", F.lit(True))
-        postings = made.where("token is not null").select("token", "id", "field", "size", "places")
-        return postings.repartitionByRange("token", "id").sortWithinPartitions("token", "id"), rows
+    def _taken(self, bank: DataFrame) -> tuple[dict, DataFrame]:
+        """The segment of a bank's postings, and (id, size, live) of its rows as that segment has them: texts are read once.
+
+        Rows are dealt by id, as the files of a bank may be one part each.  A
+        file is runs sorted by token, each of many rows, so postings are
+        neither shuffled nor sorted through.
+        """
+        made = index(bank.repartition(self.id_col), self.id_col, self.fields).where("token is not null")
+        postings = self.store.write(made.select("token", "id", "field", "size", "places"))
+        sizes = self.store.written(postings, self.postings_schema).select("id", "size")
+        blank = bank.select(F.col(self.id_col).alias("id"), F.lit(0).alias("size"))  # rows without tokens have no postings
+        return postings, sizes.union(blank).groupBy("id").agg(F.max("size").alias("size")).withColumn("live", F.lit(True))
 
     def build(self, bank: DataFrame) -> dict:
         """The index of a bank, in place of what there was."""
-        postings, rows = self._made(bank)
-        total = rows.agg(F.count("*").alias("docs"), F.coalesce(F.sum("size"), F.lit(0)).alias("tokens")).first()
-        facts = {"docs": total["docs"], "tokens": total["tokens"]}
-        return self.store.commit(self.store.manifest(), replace={"postings": postings, "rows": self._by_id(rows)}, facts=facts)
+        postings, rows = self._taken(bank)
+        rows = self.store.write(self._by_id(rows))
+        facts = dict(zip(("docs", "tokens"), self._sums(self.store.written(rows, self.rows_schema)), strict=True))
+        return self.store.commit(self.store.manifest(), replace={"postings": postings, "rows": rows}, facts=facts)
 
     def _by_id(self, rows: DataFrame) -> DataFrame:
-        return rows.select("id", F.col("size").cast("int").alias("size"), "live").repartitionByRange("id").sortWithinPartitions("id")
+        return rows.select("id", F.col("size").cast("int").alias("size"), "live").sortWithinPartitions("id")
+
+    @staticmethod
+    def _sums(rows: DataFrame) -> tuple[int, int]:
+        """Live rows and their tokens."""
+        return tuple(rows.where("live").agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first())
 
     def rows(self, manifest: dict | None = None) -> DataFrame:
         """(id, size, live): the last word on each id, tombstones too."""
@@ -64,17 +76,15 @@ class StoredIndex:
             return base
         none = self.store.spark.createDataFrame([], self.rows_schema)
         gone = none.select("id") if deletes is None else deletes.select(F.col(self.id_col).alias("id")).distinct()
-        postings, rows = None, none
+        postings, rows = self.store.spark.createDataFrame([], self.postings_schema), none
         if upserts is not None:
-            postings, rows = self._made(upserts.join(gone, upserts[self.id_col] == gone["id"], "left_anti"))
-        change = rows.unionByName(gone.select("id", F.lit(0).alias("size"), F.lit(False).alias("live")))
+            postings, rows = self._taken(upserts.join(gone, upserts[self.id_col] == gone["id"], "left_anti"))
+        added = self.store.write(self._by_id(rows.unionByName(gone.select("id", F.lit(0).alias("size"), F.lit(False).alias("live")))))
+        change = self.store.written(added, self.rows_schema)
         old = self.rows(base).join(change.select("id"), "id", "left_semi")
-        sums = lambda df: df.where("live").agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("t")).first()
-        plus, minus = sums(change), sums(old)
-        facts = {"docs": base["facts"].get("docs", 0) + plus["n"] - minus["n"], "tokens": base["facts"].get("tokens", 0) + plus["t"] - minus["t"]}
-        if postings is None:
-            postings = self.store.spark.createDataFrame([], self.postings_schema)
-        new = self.store.commit(base, add={"postings": postings, "rows": self._by_id(change)}, facts=facts, batch=batch)
+        plus, minus = self._sums(change), self._sums(old)
+        facts = {k: base["facts"].get(k, 0) + p - m for k, p, m in zip(("docs", "tokens"), plus, minus, strict=True)}
+        new = self.store.commit(base, add={"postings": postings, "rows": added}, facts=facts, batch=batch)
         segments = new["tables"]["rows"]
         stale = sum(s["rows"] for s in segments[1:])
         if len(segments) > MAX_SEGMENTS or stale > STALE_SHARE * max(1, segments[0]["rows"]):
@@ -85,7 +95,7 @@ class StoredIndex:
         """One segment with what is live; old versions stay readable."""
         base = self.store.manifest()
         live = self._alive(self.store.read("postings", self.postings_schema, base), base).drop(SEGMENT)
-        live = live.repartitionByRange("token", "id").sortWithinPartitions("token", "id")
+        live = live.sortWithinPartitions("token", "id")  # each file by itself: a search reads some pages of each
         return self.store.commit(base, replace={"postings": live, "rows": self._by_id(self.rows(base).where("live"))})
 
     def _alive(self, postings: DataFrame, manifest: dict) -> DataFrame:

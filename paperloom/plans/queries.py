@@ -107,7 +107,7 @@ def search_ranked_page(spark, d):
 @query(f"SELECT doc_id, score FROM ({RANKED})")
 def search_index_hits(spark, d):
     """The same phrase through the inverted index."""
-    bank = T.documents(spark, d).select("doc_id", "text", "source", F.array("lang").alias("tags"))
+    bank = spread(T.documents(spark, d).select("doc_id", "text", "source", F.array("lang").alias("tags")))
     fields = search.document_fields(subjects=None)
     found = search.index(bank, "doc_id", fields)
     return search.ranked(bank, "doc_id", fields, "of the", found).select("doc_id", F.round("score", 9).alias("score"))

@@ -7,6 +7,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from paperloom.operators import dependencies, papers, search, versions
+from paperloom.operators.search_index import StoredIndex
 
 
 def test_numbering_sorts_by_place_once(spark):
@@ -49,6 +50,41 @@ def test_postings_are_made_without_a_shuffle(spark):
     assert got == [(1, 0, "a", 4, [1]), (1, 0, "b", 4, [0, 2]), (1, 1, "s", 4, [0]), (2, 1, "s", 2, [0]), (2, 1, "t", 2, [1]), (3, 0, None, 0, [])]
 
 
+def test_runs_of_entries_are_bounded_and_sorted(spark, monkeypatch):
+    texts = [(i, None if i % 7 == 0 else " ".join(f"w{(i * k) % 5}" for k in range(i % 9)), "s" if i % 2 else None) for i in range(50)]
+    bank = spark.createDataFrame(texts, "id long, text string, source string").coalesce(1)
+    monkeypatch.setattr(search, "RUN_BYTES", 200, raising=False)
+    monkeypatch.setattr(search, "OUT_ROWS", 3, raising=False)
+    want = []
+    for i, *fields in texts:
+        words = [(f or "").split() for f in fields]
+        size = sum(map(len, words))
+        want += [(i, k, t, size, [p for p, x in enumerate(w) if x == t]) for k, w in enumerate(words) for t in set(w)] or [(i, 0, None, 0, [])]
+    rows = search.index(bank, "id", search.document_fields(subjects=None, tags=None)).collect()
+    assert sorted(((r.id, r.field, r.token, r.size, r.places) for r in rows), key=str) == sorted(want, key=str)
+    falls = sum((a.token or "~") > (b.token or "~") for a, b in zip(rows, rows[1:], strict=False))
+    assert 2 < falls < 20  # a run has several rows, and there are several runs
+
+
+def test_a_stored_index_reads_texts_once(spark, tmp_path):
+    """One reading for postings, sizes and totals, of a build and of a change."""
+    path = str(tmp_path / "read")
+
+    @F.udf("string")
+    def text(i):
+        with open(path, "a") as f:
+            f.write("x")
+        return f"of the {i}" if i % 5 else ""
+
+    bank = spark.range(40).withColumn("text", text("id"))
+    stored = StoredIndex(spark, str(tmp_path / "index"), {"text": F.col("text")})
+    stored.build(bank.where("id < 30"))
+    assert len(open(path).read()) == 30 and stored.store.manifest()["facts"] == {"docs": 30, "tokens": 72}
+    stored.apply(bank.where("id >= 27"), bank.where("id < 3"))
+    assert len(open(path).read()) == 43 and stored.store.manifest()["facts"] == {"docs": 37, "tokens": 90}
+    assert {r.id for r in stored.hits("of the").collect()} == {i for i in range(3, 40) if i % 5}
+
+
 def test_levels_write_edges_only_while_both_ends_are_there(spark, monkeypatch, tmp_path):
     """Each operation waits for its half: what nothing waits for is half of those left, so all rounds together write few times the edges."""
     cut, n = [], 512

@@ -281,7 +281,8 @@ def apportion(items: DataFrame, key: str, index: str, weight: str, total: str) -
     group = Window.partitionBy(key)
     w = F.greatest(F.coalesce(F.col(weight), F.lit(1.0)), F.lit(0.01))
     out = items.withColumn("_w", w)
-    out = out.withColumn("_raw", F.greatest(F.col(total) * F.col("_w") / F.sum("_w").over(group), F.lit(1.0)))
+    whole = Window.partitionBy(key).orderBy(index).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # doubles add up in index order
+    out = out.withColumn("_raw", F.greatest(F.col(total) * F.col("_w") / F.sum("_w").over(whole), F.lit(1.0)))
     out = out.withColumn("_floor", F.floor("_raw"))
     out = out.withColumn("_left", F.col(total) - F.sum("_floor").over(group)).withColumn("_n", F.count("*").over(group))
     order = Window.partitionBy(key).orderBy(F.desc(F.col("_raw") - F.col("_floor")), index)

@@ -41,6 +41,16 @@ def test_apportion(spark):
     assert got == want
 
 
+def test_weights_add_up_in_index_order(spark):
+    """The last bit of the weights' sum decides between equal fractions, so it must not hang on the order of the rows."""
+    cases = {1: ([4.0, 1.7, 1.6, 2.3], 92, [38, 16, 16, 22]), 2: ([0.4, 2.8, 1.0, 2.3], 35, [2, 15, 5, 13]), 3: ([0.5, 3.3, 4.6, 1.1, 0.3], 84, [4, 28, 40, 9, 3])}
+    rows = [(p, i, x, total) for p, (w, total, _) in cases.items() for i, x in enumerate(w)]
+    for given in (rows, rows[::-1]):
+        df = spark.createDataFrame(given, "p int, i int, w double, total int").coalesce(1)
+        got = {(r.p, r.i): r.marks for r in G.apportion(df, "p", "i", "w", "total").collect()}
+        assert got == {(p, i): m for p, (_, _, marks) in cases.items() for i, m in enumerate(marks)}
+
+
 def test_difficulty_targets():
     assert G.difficulty_targets(0.5, 7) == {"easy": 0, "medium": 7, "hard": 0}
     assert G.difficulty_targets(0.25, 5) == {"easy": 3, "medium": 2, "hard": 0}

@@ -74,9 +74,9 @@ class StoredIndex:
         base = self.store.manifest()
         if batch and base["batches"].get(batch[0], -1) >= batch[1]:
             return base
-        none = self.store.spark.createDataFrame([], self.rows_schema)
+        none = self.store.empty(self.rows_schema)
         gone = none.select("id") if deletes is None else deletes.select(F.col(self.id_col).alias("id")).distinct()
-        postings, rows = self.store.spark.createDataFrame([], self.postings_schema), none
+        postings, rows = self.store.empty(self.postings_schema), none
         if upserts is not None:
             postings, rows = self._taken(upserts.join(gone, upserts[self.id_col] == gone["id"], "left_anti"))
         added = self.store.write(self._by_id(rows.unionByName(gone.select("id", F.lit(0).alias("size"), F.lit(False).alias("live")))))

@@ -85,6 +85,18 @@ def test_a_stored_index_reads_texts_once(spark, tmp_path):
     assert {r.id for r in stored.hits("of the").collect()} == {i for i in range(3, 40) if i % 5}
 
 
+def test_a_compacted_index_is_read_without_a_join(spark, tmp_path):
+    """No segment after the first: nothing is looked up, and no Python worker makes the empty table."""
+    stored = StoredIndex(spark, str(tmp_path / "index"), {"text": F.col("text")})
+    stored.build(spark.range(9).withColumn("text", F.lit("of the")))
+    plan = lambda: stored.hits("of")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan() and "ExistingRDD" not in plan()
+    stored.apply(None, spark.range(2, 3))  # deletes alone, too few to compact
+    assert "Join" in plan() and "ExistingRDD" not in plan() and stored.hits("of").count() == 8
+    assert stored.store.manifest()["facts"] == {"docs": 8, "tokens": 16} and stored.compact()["tables"]["rows"][0]["rows"] == 8
+    assert "Join" not in plan() and stored.hits("of").count() == 8
+
+
 def test_levels_write_edges_only_while_both_ends_are_there(spark, monkeypatch, tmp_path):
     """Each operation waits for its half: what nothing waits for is half of those left, so all rounds together write few times the edges."""
     cut, n = [], 512
